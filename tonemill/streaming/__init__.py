@@ -1,0 +1,6 @@
+"""No streaming operator exists in the workload this package covers.
+
+The projections in ``tonemill.functions`` and the in-row scorer
+``tonemill.operators.lexicon.score_with_sets`` are stateless column
+expressions, so they can be applied to a ``readStream`` DataFrame as they are.
+"""
