@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("text", "prepare", "profile")
+MODULES = ("text", "prepare", "profile", "lexicon", "models")
 
 
 def _collect(name: str) -> dict:

@@ -12,7 +12,7 @@ from tonemill.functions import labels, text, tokens
 
 def label_normalize(spark: SparkSession, sf: str) -> DataFrame:
     df = I.table(spark, sf, "labels")
-    number = F.concat(F.lit(" "), (F.col("quality") - F.col("toxic")).cast("string"), F.lit(" "))
+    number = F.concat(F.lit(" "), (F.col("quality") - F.col("toxic")).cast("string"), F.lit("\xa0"))
     word = F.when(F.col("toxic") == 1, " BEARISH").when(F.col("quality") == 1, "Pos").otherwise("mixed\t")
     return df.select(
         "doc_id",
