@@ -116,10 +116,8 @@ QUERIES = {f.__name__: f for f in (
 
 def vocabulary_ctes(p: str, train: str, label: str = "") -> str:
     """CTEs {p}tf, {p}vocab and {p}w (weights) of a training relation."""
-    keep = f"{label}, " if label else ""
-    return f"""{p}tf AS (
-  SELECT doc_id, {keep}term, count(*) AS tf FROM (SELECT doc_id, {keep}unnest({S.feature_terms('text')}) AS term FROM {train})
-  GROUP BY doc_id, {keep}term),
+    keep = f"doc_id, {label}" if label else "doc_id"
+    return f"""{p}tf AS (SELECT {keep}, term, count(*) AS tf FROM ({S.feature_terms(train, keep)}) GROUP BY ALL),
 {p}vocab AS (
   SELECT term, df, cf, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf
   FROM (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM {p}tf GROUP BY term), (SELECT count(*) AS n FROM {train})
@@ -141,8 +139,7 @@ def bayes_ctes(p: str, train: str, evals: str) -> str:
     return f"""{vocabulary_ctes(p, train, 'label')},
 {p}model AS (SELECT term, idf, {coef} FROM (SELECT term, idf, {mass} FROM {p}w GROUP BY term, idf)),
 {p}etf AS (
-  SELECT eval_name, doc_id, term, count(*) AS tf
-  FROM (SELECT eval_name, doc_id, unnest({S.feature_terms('text')}) AS term FROM {evals}) GROUP BY ALL),
+  SELECT eval_name, doc_id, term, count(*) AS tf FROM ({S.feature_terms(evals, 'eval_name, doc_id')}) GROUP BY ALL),
 {p}dots AS (
   SELECT eval_name, doc_id, {dots}
   FROM (SELECT *, (1 + ln(tf::DOUBLE)) * idf AS raw FROM {p}etf JOIN {p}model USING (term)) GROUP BY eval_name, doc_id),

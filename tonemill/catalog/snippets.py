@@ -44,13 +44,11 @@ def lexicon_tokens(t: str) -> str:
     return f"list_transform(regexp_extract_all({t}, '[A-Za-z][A-Za-z''-]*'), lambda x: upper(x))"
 
 
-def feature_terms(t: str) -> str:
-    """Unigrams followed by bigrams."""
-    tokens = rf"regexp_extract_all(strip_accents(lower({t})), '[{WORD}]{{2,}}')"
-    return (
-        f"list_concat({tokens}, list_transform(range(1, len({tokens})), "
-        f"lambda i: list_extract({tokens}, i) || ' ' || list_extract({tokens}, i + 1)))"
-    )
+def feature_terms(source: str, keep: str) -> str:
+    """Rows (keep..., term): unigrams and bigrams of every text in ``source``."""
+    tokens = rf"regexp_extract_all(strip_accents(lower(text)), '[{WORD}]{{2,}}')"
+    pairs = "list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])"
+    return f"SELECT {keep}, unnest(list_concat(t, {pairs})) AS term FROM (SELECT {keep}, {tokens} AS t FROM {source})"
 
 
 def split_ctes(

@@ -211,7 +211,7 @@ def _solve_logistic(rows: DataFrame, classes: int, penalty: float, max_iter: int
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-9,
+        tol=1e-6,
     )
     model = solver.fit(rows)
     matrix = model.coefficientMatrix.toArray()

@@ -58,10 +58,11 @@ def _partial_gradients(shape: tuple[int, int], shared) -> Callable[[Iterator[pa.
 
 
 def solve_squared_hinge(
-    rows: DataFrame, terms: int, classes: int, penalty: float, max_iter: int, tolerance: float = 1e-5
+    rows: DataFrame, terms: int, classes: int, penalty: float, max_iter: int, tolerance: float = 1e-4
 ) -> tuple[list[np.ndarray], list[float]]:
     """Minimise the joint objective of all classes; returns coefficients and intercepts per class."""
     spark = rows.sparkSession
+    scale = np.tile(1.0 / np.sqrt(_curvature(rows, terms, penalty)), classes)
     columns = rows.select("features.indices", "features.values", "target", "sample_weight").persist()
     shape = (classes, terms + 1)
 
@@ -78,13 +79,29 @@ def solve_squared_hinge(
         loss = float(value[~real].sum())
         return 0.5 * float(point @ point) + penalty * loss, point + penalty * gradient
 
+    def scaled(point: np.ndarray) -> tuple[float, np.ndarray]:
+        value, gradient = evaluate(point * scale)
+        return value, gradient * scale
+
     try:
-        best = _minimise(evaluate, np.zeros(classes * (terms + 1)), max_iter, tolerance).reshape(shape)
+        best = _minimise(scaled, np.zeros(classes * (terms + 1)), max_iter, tolerance) * scale
     finally:
         columns.unpersist()
+    best = best.reshape(shape)
     return [best[c, :-1] for c in range(classes)], [float(best[c, -1]) for c in range(classes)]
 
 
+def _curvature(rows: DataFrame, terms: int, penalty: float) -> np.ndarray:
+    """Diagonal of the Hessian at zero; scaling by it evens out common and rare terms."""
+    entries = rows.select("sample_weight", F.inline(F.arrays_zip("features.indices", "features.values")))
+    squares = entries.groupBy("indices").agg(F.sum(F.col("sample_weight") * F.col("values") * F.col("values")).alias("s"))
+    table = squares.toArrow()
+    diagonal = np.ones(terms + 1)
+    diagonal[table.column("indices").to_numpy()] += 2.0 * penalty * table.column("s").to_numpy()
+    diagonal[-1] += 2.0 * penalty * rows.agg(F.sum("sample_weight")).first()[0]
+    return diagonal
+
+
 def _minimise(
     evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]],
     point: np.ndarray,
