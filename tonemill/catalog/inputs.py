@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonemill.functions.labels import decode_label, normalize_label
+from tonemill.runtime import spread
 
 # The generated prose holds hardly any URL, ticker, percent sign or stray
 # whitespace, so some sources get a prefix and a suffix that do.
@@ -28,8 +29,12 @@ NOISE = {
 }
 
 
+TEXT_TABLES = ("documents", "conversations", "pages", "embeddings")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _noisy(text: Column, source: Column) -> Column:

@@ -17,8 +17,8 @@ KEYS = ["doc_id"]
 
 
 def fold_text(spark: SparkSession, sf: str) -> DataFrame:
-    docs = I.table(spark, sf, "documents")
-    return docs.select("doc_id", fold_accents(F.lower("text")).alias("folded"))
+    docs = I.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    return docs.select("doc_id", fold_accents(F.col("text")).alias("folded"))
 
 
 def _terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

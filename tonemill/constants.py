@@ -53,6 +53,7 @@ RIGHT_QUOTE = "\u2019"
 COUNT_TOKEN = r"[A-Za-z]+(?:'[A-Za-z]+)?"
 LEXICON_TOKEN = r"[A-Za-z][A-Za-z'-]*"
 FEATURE_TOKEN = rf"[{WORD}]{{2,}}"
+ASCII_FEATURE_TOKEN = r"[A-Za-z0-9_]{2,}"
 
 # --- metrics -----------------------------------------------------------------
 METRICS = (

@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tonemill.functions.text import is_ascii
+
 
 def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
@@ -67,9 +69,15 @@ def _fold_udf() -> Callable[[Column], Column]:
 
 
 def fold_accents(text: Column, expand: bool = True) -> Column:
-    """Fold accents; ``expand=False`` skips the multi-character decompositions and stays in the JVM."""
+    """Fold accents; ``expand=False`` skips the multi-character decompositions and stays in the JVM.
+
+    Pass a plain column: it is tested, translated and shipped, and an expression
+    would be evaluated for each of these.
+    """
     source, target, expanding = _tables()
-    native = F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, source, target)).otherwise(text)
+    native = F.when(is_ascii(text), text).otherwise(F.translate(text, source, target))
     if not expand:
         return native
-    return F.coalesce(_fold_udf()(F.when(text.rlike(expanding), text)), native)
+    # Latin letters are ruled out by a cheap range test before the long class is tried.
+    needs = ~is_ascii(text) & text.rlike(r"[\xa0-\xbf\x{130}-\x{10ffff}]") & text.rlike(expanding)
+    return F.coalesce(_fold_udf()(F.when(needs, text)), native)

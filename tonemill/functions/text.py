@@ -13,18 +13,32 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(C.WS_CHARS))
 
 
+def is_ascii(text: Column) -> Column:
+    """One byte per character; cheaper than any pattern."""
+    return F.octet_length(text) == F.char_length(text)
+
+
 def fix_encoding(text: Column) -> Column:
     """Drop ``+`` before a Latin-1 high byte, ``++`` before a letter, then U+FFFD."""
-    text = F.regexp_replace(text, C.PLUS_BEFORE_BYTE, "")
-    text = F.regexp_replace(text, C.DOUBLE_PLUS, "")
+    unplussed = F.regexp_replace(F.regexp_replace(text, C.PLUS_BEFORE_BYTE, ""), C.DOUBLE_PLUS, "")
+    text = F.when(F.contains(text, F.lit("+")), unplussed).otherwise(text)
     return F.replace(text, F.lit(C.REPLACEMENT_CHAR), F.lit(""))
 
 
+def _may_hold_url(text: Column) -> Column:
+    return F.contains(text, F.lit("://")) | F.contains(text, F.lit("www."))
+
+
+def replace_urls(text: Column, by: str) -> Column:
+    """Only texts that can match pay for the pattern."""
+    return F.when(_may_hold_url(text), F.regexp_replace(text, C.URL, by)).otherwise(text)
+
+
 def clean_text(text: Column, remove_urls: bool = True) -> Column:
     """Strip, drop URLs, collapse whitespace runs of two or more, strip again."""
     text = strip(text)
     if remove_urls:
-        text = F.regexp_replace(text, C.URL, "")
+        text = replace_urls(text, "")
     return strip(F.regexp_replace(text, C.SPACE_RUN, " "))
 
 
@@ -34,20 +48,23 @@ def word_count(stripped: Column) -> Column:
     return F.when(stripped == "", F.lit(0)).otherwise(words)
 
 
+# Each predicate first tests for a literal its pattern needs.
+
+
 def has_url(text: Column) -> Column:
-    return text.rlike(C.URL)
+    return _may_hold_url(text) & text.rlike(C.URL)
 
 
 def has_ticker(text: Column) -> Column:
-    return text.rlike(C.TICKER)
+    return F.contains(text, F.lit("$")) & text.rlike(C.TICKER)
 
 
 def has_number(text: Column) -> Column:
-    return text.rlike(C.NUMBER)
+    return text.rlike(r"\p{Nd}") & text.rlike(C.NUMBER)
 
 
 def has_percent(text: Column) -> Column:
-    return text.rlike(C.PERCENT)
+    return F.contains(text, F.lit("%")) & text.rlike(C.PERCENT)
 
 
 def has_replacement_char(text: Column) -> Column:

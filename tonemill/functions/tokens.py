@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tonemill import constants as C
+from tonemill.functions.text import is_ascii, replace_urls
 
 
 def build_stopwords(remove_english: bool, extra: Iterable[str] | None = None) -> list[str]:
@@ -21,7 +22,7 @@ def build_stopwords(remove_english: bool, extra: Iterable[str] | None = None) ->
 def count_tokens(text: Column, stopwords: Iterable[str] = ()) -> Column:
     """Tokens for counting: URLs blanked, curly quotes straightened, lowercased,
     at least two characters, stop-words removed (repeats kept)."""
-    text = F.regexp_replace(text, C.URL, " ")
+    text = replace_urls(text, " ")
     text = F.lower(F.replace(text, F.lit(C.RIGHT_QUOTE), F.lit("'")))
     tokens = F.regexp_extract_all(text, F.lit(C.COUNT_TOKEN), F.lit(0))
     stopwords = list(stopwords)
@@ -39,8 +40,11 @@ def lexicon_tokens(text: Column) -> Column:
 
 
 def feature_tokens(folded: Column) -> Column:
-    """Runs of at least two word characters."""
-    return F.regexp_extract_all(folded, F.lit(C.FEATURE_TOKEN), F.lit(0))
+    """Runs of at least two word characters; ASCII texts take the cheaper equivalent pattern."""
+    ascii_only = F.regexp_extract_all(folded, F.lit(C.ASCII_FEATURE_TOKEN), F.lit(0))
+    return F.when(is_ascii(folded), ascii_only).otherwise(
+        F.regexp_extract_all(folded, F.lit(C.FEATURE_TOKEN), F.lit(0))
+    )
 
 
 def ngrams(tokens: Column, n: int) -> Column:

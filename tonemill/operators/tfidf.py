@@ -27,7 +27,9 @@ def doc_terms(
     """
     carry = carry or []
     placed = docs.select(*keys, *carry, F.col(text).alias("_text")).repartition(*keys)
-    tokens = placed.select(*keys, *carry, feature_tokens(fold_accents(F.lower("_text"))).alias("_tokens"))
+    lowered = placed.withColumn("_text", F.lower("_text"))
+    folded = lowered.withColumn("_text", fold_accents(F.col("_text")))
+    tokens = folded.select(*keys, *carry, feature_tokens(F.col("_text")).alias("_tokens"))
     terms = tokens.select(*keys, *carry, F.explode_outer(ngram_range(F.col("_tokens"), *ngrams)).alias("term"))
     return terms.groupBy(*keys, *carry, "term").agg(F.count("*").alias("tf"))
 

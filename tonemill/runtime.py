@@ -39,6 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy text work on a table that arrives in few partitions.
+
+    A small table may sit in one unsplittable file; a large one has more
+    partitions than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def work_path(df: DataFrame, name: str) -> str:
     """Write ``df`` as a parquet table in the shared folder; it goes away with the application."""
     spark = df.sparkSession
