@@ -39,10 +39,11 @@ def encode(
     """
     carry = carry or []
     head = F.slice(word_tokens(F.col(text)), 1, max_length - 2)
-    tokens = df.select(*keys, *carry, F.posexplode_outer(head).alias("_pos", "word"))
-    looked_up = tokens.join(F.broadcast(words), "word", "left")
+    tokens = df.select(*keys, *carry, F.posexplode_outer(head).alias("_pos", "_word"))
+    renamed = words.select(F.col("word").alias("_word"), F.col("id").alias("_id"))
+    looked_up = tokens.join(F.broadcast(renamed), "_word", "left")
     entry = F.when(
-        F.col("word").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(C.UNK_ID)).alias("id"))
+        F.col("_word").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(C.UNK_ID)).alias("id"))
     )
     rows = looked_up.groupBy(*keys, *carry).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
     used = F.size("_e") + 2

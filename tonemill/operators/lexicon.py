@@ -50,10 +50,10 @@ def score_by_join(
     row per text; adaptive execution splits its join partition or broadcasts a
     lexicon that turns out small.
     """
-    tokens = df.select(*keys, F.explode(lexicon_tokens(F.col(text))).alias("word"))
-    counts = tokens.groupBy(*keys, "word").agg(F.count("*").alias("_n"))
+    tokens = df.select(*keys, F.explode(lexicon_tokens(F.col(text))).alias("_word"))
+    counts = tokens.groupBy(*keys, "_word").agg(F.count("*").alias("_n"))
     hits = (
-        counts.join(lexicon, "word")
+        counts.join(lexicon.select(F.col("word").alias("_word"), "positive", "negative"), "_word")
         .groupBy(*keys)
         .agg(
             F.sum(F.when(F.col("positive"), F.col("_n")).otherwise(0)).alias("positive_hits"),

@@ -83,7 +83,7 @@ class Features:
         if size == 0:
             raise ValueError("The vocabulary is empty.")
         order = F.row_number().over(Window.orderBy("term")) - 1
-        return work_table(self.vocabulary.select(order.alias("id"), "term", "idf"), "numbered")
+        return work_table(self.vocabulary.select(order.alias("term_id"), "term", "idf"), "numbered")
 
     @cached_property
     def size(self) -> int:
@@ -164,12 +164,12 @@ def _model(kind: str, scores: str, features: Features, intercepts, terms: DataFr
 
 def feature_rows(weighted: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., label, indices, values): one sparse row per text, empty for texts without known terms."""
-    entries = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "weight"))))
+    entries = F.array_sort(F.collect_list(F.when(F.col("term_id").isNotNull(), F.struct("term_id", "weight"))))
     rows = weighted.groupBy(*keys, "label").agg(entries.alias("_e"))
     return rows.select(
         *keys,
         "label",
-        F.transform("_e", lambda e: e["id"]).alias("indices"),
+        F.transform("_e", lambda e: e["term_id"]).alias("indices"),
         F.transform("_e", lambda e: e["weight"]).alias("values"),
     )
 
@@ -195,8 +195,8 @@ def _fit_dense(kind: str, features: Features, config: Mapping[str, Any]) -> Term
         coefficients, intercepts = solve_squared_hinge(
             rows, features.size, len(classes), penalty, config.get("max_iter", 3000)
         )
-    table = pd.DataFrame({"id": range(features.size), **{f"coef_{c}": coefficients[i] for i, c in enumerate(classes)}})
-    joined = features.numbered.join(spark.createDataFrame(table), "id").drop("id")
+    table = pd.DataFrame({"term_id": range(features.size), **{f"coef_{c}": coefficients[i] for i, c in enumerate(classes)}})
+    joined = features.numbered.join(spark.createDataFrame(table), "term_id").drop("term_id")
     return _model(kind, "prob" if kind == "logreg" else "score", features, intercepts, work_table(joined, kind))
 
 
