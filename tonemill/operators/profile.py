@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonemill.functions.text import PATTERNS, add_text_features
@@ -48,19 +48,19 @@ def length_stats(lengths: DataFrame, group: list[str], digits: int = 4) -> DataF
     )
 
 
-def pattern_counts(lengths: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Rows hit by each pattern, blank rows, parse failures and the row count."""
-    once = lengths.where(F.col("feature") == LENGTHS[0])
+def _hit_totals(counted: Column) -> dict[str, Column]:
+    """Row-count sums over the length rows of one feature, so that every text counts once."""
+    names = {"n": "num_rows", "is_blank": "empty_text_rows", "parse_failed": "parse_failures"}
+    names.update({flag: flag.replace("has_", "rows_with_") for flag in PATTERNS})
+    return {
+        name: F.coalesce(F.sum(F.when(counted, F.col(column))), F.lit(0)).cast("long") for column, name in names.items()
+    }
 
-    def total(column: str, name: str) -> Column:
-        return F.coalesce(F.sum(column), F.lit(0)).cast("long").alias(name)
 
-    return once.groupBy(*(group or [])).agg(
-        total("n", "num_rows"),
-        total("is_blank", "empty_text_rows"),
-        total("parse_failed", "parse_failures"),
-        *[total(flag, flag.replace("has_", "rows_with_")) for flag in PATTERNS],
-    )
+def pattern_counts(lengths: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Rows hit by each pattern, blank rows, parse failures and the row count."""
+    totals = _hit_totals(F.col("feature") == LENGTHS[0])
+    return lengths.groupBy(*(group or [])).agg(*[v.alias(k) for k, v in totals.items()])
 
 
 def label_distribution(df: DataFrame, label: str = "label", group: list[str] | None = None) -> DataFrame:
@@ -94,12 +94,14 @@ def histogram(lengths: DataFrame, group: list[str] | None = None, bins: int = 30
     [x - 0.5, x + 0.5].
     """
     keys = [*(group or []), "feature"]
-    span = lengths.groupBy(*keys).agg(F.min("value").cast("double").alias("_lo"), F.max("value").cast("double").alias("_hi"))
-    flat = F.col("_lo") == F.col("_hi")
-    span = span.select(
-        *keys,
-        F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
-        F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
+    every = Window.partitionBy(*keys)
+    low, high = F.min("value").over(every).cast("double"), F.max("value").over(every).cast("double")
+    spanned = lengths.withColumns({"_lo": low, "_hi": high}).withColumn("_flat", F.col("_lo") == F.col("_hi"))
+    spanned = spanned.withColumns(
+        {
+            "_lo": F.when(F.col("_flat"), F.col("_lo") - 0.5).otherwise(F.col("_lo")),
+            "_hi": F.when(F.col("_flat"), F.col("_hi") + 0.5).otherwise(F.col("_hi")),
+        }
     ).withColumn("_w", (F.col("_hi") - F.col("_lo")) / bins)
 
     def edge(i: Column) -> Column:
@@ -114,21 +116,18 @@ def histogram(lengths: DataFrame, group: list[str] | None = None, bins: int = 30
         .when((F.col("value") >= edge(F.col("_g") + 1)) & (F.col("_g") < bins - 1), F.col("_g") + 1)
         .otherwise(F.col("_g"))
     )
-    counted = (
-        _by_keys(lengths, span, keys)
-        .withColumn("_g", guess)
-        .withColumn("bin", settled.cast("int"))
-        .groupBy(*keys, "bin")
-        .agg(F.sum("n").alias("count"))
+    counted = spanned.withColumn("_g", guess).withColumn("bin", settled.cast("int"))
+    counted = counted.groupBy(*keys, "_lo", "_hi", "_w", "bin").agg(F.sum("n").alias("_n"))
+    filled = counted.groupBy(*keys, "_lo", "_hi", "_w").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "_n"))).alias("_counts")
     )
-    scaffold = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    filled = _by_keys(scaffold, counted, [*keys, "bin"], how="left")
+    filled = filled.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return filled.select(
         *keys,
         "bin",
         edge(F.col("bin")).alias("low"),
         edge(F.col("bin") + 1).alias("high"),
-        F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+        F.coalesce(F.try_element_at("_counts", F.col("bin")), F.lit(0)).cast("long").alias("count"),
     )
 
 
@@ -138,22 +137,17 @@ def box_plot(lengths: DataFrame, group: list[str], whisker: float = 1.5) -> Data
     for g in group:
         lengths = lengths.where(F.col(g).isNotNull())
     value, n = F.col("value"), F.col("n")
-    quartiles = lengths.groupBy(*keys).agg(
-        F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), n).alias("_q")
-    )
-    quartiles = quartiles.select(
-        *keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")
+    quantiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), n)
+    quartiles = lengths.withColumn("_q", quantiles.over(Window.partitionBy(*keys))).select(
+        *keys, "value", "n",
+        F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"),
     )
     reach = whisker * (F.col("q3") - F.col("q1"))
     low, high = value >= F.col("q1") - reach, value <= F.col("q3") + reach
-    whiskers = (
-        _by_keys(lengths, quartiles, keys)
-        .groupBy(*keys, "q1", "median", "q3")
-        .agg(
-            F.min(F.when(low, value)).cast("double").alias("_low"),
-            F.max(F.when(high, value)).cast("double").alias("_high"),
-            F.sum(F.when(low & high, 0).otherwise(n)).alias("outliers"),
-        )
+    whiskers = quartiles.groupBy(*keys, "q1", "median", "q3").agg(
+        F.min(F.when(low, value)).cast("double").alias("_low"),
+        F.max(F.when(high, value)).cast("double").alias("_high"),
+        F.sum(F.when(low & high, 0).otherwise(n)).alias("outliers"),
     )
     return whiskers.select(
         *keys,
@@ -166,26 +160,19 @@ def box_plot(lengths: DataFrame, group: list[str], whisker: float = 1.5) -> Data
     )
 
 
-def _by_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on keys where null equals null; the right side holds one short row per key."""
-    renamed = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return left.join(F.broadcast(renamed), condition, how).drop(*[f"_k_{k}" for k in keys])
-
-
-def summary_rows(lengths: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """(group..., stat, value): every scalar of the profile in one long table."""
+def summary_rows(lengths: DataFrame, group: list[str] | None = None, digits: int = 4) -> DataFrame:
+    """(group..., stat, value): every scalar of the profile in one long table, from one aggregation."""
     group = group or []
-    counts = pattern_counts(lengths, group)
-    counts = counts.unpivot(group, [c for c in counts.columns if c not in group], "stat", "value")
-    stats = length_stats(lengths, group)
-    stats = stats.unpivot(
-        [*group, "feature"],
-        [F.col(c).cast("double").alias(c) for c in ("mean", "median", "min", "max")], "part", "value",
-    ).select(*group, F.concat_ws("_", "feature", "part").alias("stat"), "value")
-    return counts.withColumn("value", F.col("value").cast("double")).unionByName(stats)
+    stats = _hit_totals(F.col("feature") == LENGTHS[0])
+    for feature in LENGTHS:
+        value = F.when(F.col("feature") == feature, F.col("value"))
+        n = F.when(F.col("feature") == feature, F.col("n"))
+        stats[f"{feature}_mean"] = F.round(F.sum(value * n) / F.sum(n), digits)
+        stats[f"{feature}_median"] = F.round(F.percentile(value, 0.5, F.coalesce(n, F.lit(0))), digits)
+        stats[f"{feature}_min"] = F.min(value)
+        stats[f"{feature}_max"] = F.max(value)
+    wide = lengths.groupBy(*group).agg(*[v.cast("double").alias(k) for k, v in stats.items()])
+    return wide.unpivot(group, list(stats), "stat", "value")
 
 
 def compare(rows: DataFrame, corpus: str, names: list[str]) -> DataFrame:

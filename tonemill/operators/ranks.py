@@ -11,14 +11,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_thresholds(df: DataFrame, cuts: DataFrame, group: list[str], bucket: str, order: list[str]) -> DataFrame:
+def bucket_sizes(df: DataFrame, group: list[str], bucket: str) -> DataFrame:
+    """(group..., bucket, _n)"""
+    return df.groupBy(*group, bucket).agg(F.count("*").alias("_n"))
+
+
+def rank_thresholds(
+    df: DataFrame, sizes: DataFrame, cuts: DataFrame, group: list[str], bucket: str, order: list[str]
+) -> DataFrame:
     """``cuts`` has (group..., cut, wanted): the position, 1-based, of the last row before the cut.
 
-    Returns (group..., cut, threshold STRUCT<order...>), without rows for cuts
-    at position zero. ``bucket`` must not decrease along ``order``.
+    ``sizes`` are the ``bucket_sizes`` of ``df``; ``bucket`` must not decrease
+    along ``order``. Returns (group..., cut, threshold STRUCT<order...>), without
+    rows for cuts at position zero.
     """
     running = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = df.groupBy(*group, bucket).agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_upto", F.sum("_n").over(running))
     inside = (
         (F.col("wanted") > F.col("_upto") - F.col("_n")) & (F.col("wanted") <= F.col("_upto"))

@@ -6,7 +6,7 @@ from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonemill.operators.ranks import rank_thresholds
+from tonemill.operators.ranks import bucket_sizes, rank_thresholds
 
 
 def _order_key(key: str, seed: int) -> Column:
@@ -77,14 +77,15 @@ def stratified_split(
     """
     hashed = df.select(F.col(label), F.col(key), _order_key(key, seed).alias("_h"))
     hashed = hashed.withColumn("_bucket", F.substring("_h", 1, 4))
-    counts = hashed.groupBy(label).agg(F.count("*").alias("n"))
+    sizes = bucket_sizes(hashed, [label], "_bucket")
+    counts = sizes.groupBy(label).agg(F.sum("_n").alias("n"))
     quotas = split_quotas(counts, label, fractions)
     upto, cuts = F.lit(0), []
     for i in range(len(fractions)):
         upto = upto + F.col(f"keep_{i}")
         cuts.append(F.struct(F.lit(i).alias("cut"), upto.alias("wanted")))
     cut_rows = quotas.select(label, F.inline(F.array(*cuts)))
-    thresholds = rank_thresholds(hashed, cut_rows, [label], "_bucket", ["_h", key])
+    thresholds = rank_thresholds(hashed, sizes, cut_rows, [label], "_bucket", ["_h", key])
     per_label = thresholds.groupBy(label).pivot("cut", list(range(len(fractions)))).agg(F.first("threshold"))
     per_label = per_label.select(
         F.col(label).alias("_label"), *[F.col(str(i)).alias(f"_t{i}") for i in range(len(fractions))]
@@ -119,10 +120,9 @@ def head_tail_split(df: DataFrame, key: str, val_ratio: float = 0.05, buckets: i
         numBuckets=buckets, inputCol="_key", outputCol="_bucket", relativeError=1.0 / (4 * buckets)
     )
     bucketed = cutter.fit(keyed).transform(keyed)
-    cuts = bucketed.agg(
-        F.lit(0).alias("cut"), F.floor(F.count("*") * (F.lit(1.0) - F.lit(val_ratio))).alias("wanted")
-    )
-    threshold = rank_thresholds(bucketed, cuts, [], "_bucket", [key]).select(F.col(f"threshold.{key}").alias("_last"))
+    sizes = bucket_sizes(bucketed, [], "_bucket")
+    cuts = sizes.agg(F.lit(0).alias("cut"), F.floor(F.sum("_n") * (F.lit(1.0) - F.lit(val_ratio))).alias("wanted"))
+    threshold = rank_thresholds(bucketed, sizes, cuts, [], "_bucket", [key]).select(F.col(f"threshold.{key}").alias("_last"))
     last = threshold.agg(F.max("_last").alias("_last"))
     return (
         df.join(F.broadcast(last))

@@ -21,14 +21,14 @@ def doc_terms(
 ) -> DataFrame:
     """(keys..., carry..., term, tf): lowercase, fold accents, words of two or more characters, n-grams.
 
-    Texts are partitioned by key once, before they are exploded; counting terms
-    per text and every later per-text step then needs no further exchange. A text
-    without terms keeps one row with a null term.
+    Folded texts are partitioned by key once, before they are exploded; counting
+    terms per text and every later per-text step then needs no further exchange.
+    Folding comes first because a Python step would hide the partitioning. A
+    text without terms keeps one row with a null term.
     """
     carry = carry or []
-    placed = docs.select(*keys, *carry, F.col(text).alias("_text")).repartition(*keys)
-    lowered = placed.withColumn("_text", F.lower("_text"))
-    folded = lowered.withColumn("_text", fold_accents(F.col("_text")))
+    lowered = docs.select(*keys, *carry, F.lower(text).alias("_text"))
+    folded = lowered.withColumn("_text", fold_accents(F.col("_text"))).repartition(*keys)
     tokens = folded.select(*keys, *carry, feature_tokens(F.col("_text")).alias("_tokens"))
     terms = tokens.select(*keys, *carry, F.explode_outer(ngram_range(F.col("_tokens"), *ngrams)).alias("term"))
     return terms.groupBy(*keys, *carry, "term").agg(F.count("*").alias("tf"))
