@@ -34,14 +34,14 @@ def encode(
     """(keys..., carry..., input_ids, attention_mask), both of exactly ``max_length``.
 
     Start and end markers enclose the text's first ``max_length - 2`` tokens,
-    padding fills the rest, unknown words get the unknown id. ``words`` must be
-    bounded, as ``fit_word_ids`` makes it.
+    padding fills the rest, unknown words get the unknown id. The optimizer
+    broadcasts ``words`` when it is small and splits frequent words when it is not.
     """
     carry = carry or []
     head = F.slice(word_tokens(F.col(text)), 1, max_length - 2)
     tokens = df.select(*keys, *carry, F.posexplode_outer(head).alias("_pos", "_word"))
     renamed = words.select(F.col("word").alias("_word"), F.col("id").alias("_id"))
-    looked_up = tokens.join(F.broadcast(renamed), "_word", "left")
+    looked_up = tokens.join(renamed, "_word", "left")
     entry = F.when(
         F.col("_word").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(C.UNK_ID)).alias("id"))
     )

@@ -28,6 +28,8 @@ from tonemill.runtime import work_path, work_table
 
 # Coefficients of the iterative estimators pass through the driver.
 MAX_DENSE_TERMS = 2_000_000
+# Every iteration moves one gradient per partition, so small corpora use few partitions.
+ROWS_PER_PARTITION = 20_000
 
 
 @dataclass(frozen=True)
@@ -182,16 +184,22 @@ def _fit_dense(kind: str, features: Features, config: Mapping[str, Any]) -> Term
     per_row = F.element_at(F.array(*[F.lit(weights[c]) for c in classes]), F.col("target").cast("int") + 1)
     penalty = float(config.get("C", 1.0))
     spark = features.terms.sparkSession
+    # Coalescing merges partitions without a shuffle and never makes more than there are.
+    partitions = math.ceil(sum(features.counts.values()) / ROWS_PER_PARTITION)
+
+    def few(rows: DataFrame) -> DataFrame:
+        return rows.coalesce(partitions)
+
     if kind == "logreg":
         total = sum(weights[c] * n for c, n in features.counts.items())
         # The stored layout is read back as vectors, so no row passes through Python.
         schema = StructType([StructField("target", DoubleType()), StructField("features", VectorUDT())])
-        rows = spark.read.schema(schema).parquet(features.rows_path).withColumn("sample_weight", per_row)
+        rows = few(spark.read.schema(schema).parquet(features.rows_path)).withColumn("sample_weight", per_row)
         coefficients, intercepts = _solve_logistic(
             rows, len(classes), 1.0 / (penalty * total), config.get("max_iter", 300)
         )
     else:
-        rows = spark.read.parquet(features.rows_path).withColumn("sample_weight", per_row)
+        rows = few(spark.read.parquet(features.rows_path)).withColumn("sample_weight", per_row)
         coefficients, intercepts = solve_squared_hinge(
             rows, features.size, len(classes), penalty, config.get("max_iter", 3000)
         )
