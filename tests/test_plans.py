@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tonemill.functions.text import clean_text
 from tonemill.operators import encoding, lexicon, manifest
-from tonemill.plans import experiments, prepare, pretraining, profile
+from tonemill.plans import experiments, prepare, pretraining, profile, reporting
 from tonemill.sources.raw import load_delimited, load_split_csvs
 from tonemill.sources.runs import load_runs
 
@@ -63,6 +63,17 @@ def test_statistical_run(spark, files, tmp_path, kind):
     assert confusion.count() == 6 and confusion.columns == ["eval_name", "label", "positive", "neutral", "negative"]
 
 
+def test_grid_and_reports(spark, files, tmp_path):
+    specs = [{"type": "naive_bayes", "alpha": 1.0}, {"type": "logreg"}]
+    summary = experiments.run_statistical_grid(spark, [config(files, tmp_path)], specs, str(tmp_path / "summary"))
+    assert {(r.run_name, r.eval_name) for r in summary.collect()} == {
+        (f"smoke_{m}", e) for m in ("naive_bayes", "logreg") for e in ("a_test", "b_test")}
+    table = reporting.write_reports(spark, str(tmp_path / "metrics"), str(tmp_path / "reports"))
+    assert table.count() == 4
+    assert spark.read.csv(str(tmp_path / "reports" / "generalisation_drop"), header=True).count() == 2
+    assert spark.read.csv(str(tmp_path / "summary"), header=True).count() == 4
+
+
 def test_lexicon_run(spark, files, tmp_path):
     summary = experiments.run_lexicon(spark, config(files, tmp_path, lexicon_path=str(files / "lex.csv")), "lex")
     assert {r.eval_name: r.accuracy for r in summary.collect()} == {"a_test": 1.0, "b_test": 1.0}
@@ -122,6 +133,7 @@ def test_profile(spark, tmp_path):
     profile.write_profile(result, str(tmp_path / "eda"))
     report = "".join(p.read_text() for p in Path(tmp_path / "eda" / "report" / "dataset=a").glob("part-*"))
     assert "# A Corpus Profile" in report and "- Rows: 3" in report and "- pos: 2 (66.67%)" in report and "- Rows with ticker: 1" in report
+    assert "- Columns: k, text, label, text_stripped" in report and "- Duplicate texts: 0" in report
     comparison = {r.stat: (r.a, r.b) for r in spark.read.csv(str(tmp_path / "eda" / "comparison"), header=True).collect()}
     assert comparison["num_rows"] == ("3.0", "2.0") and comparison["char_length_max"] == ("18.0", "4.0")
     top = spark.read.csv(str(tmp_path / "eda" / "top_ngrams" / "a"), header=True).where("size = 1").first()
@@ -138,6 +150,13 @@ def test_pretraining_corpus(spark, tmp_path):
     assert {r.row_number for r in stored.where("split = 'val'").collect()} == set(range(96, 101))
 
 
+def test_corpus_from_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text,label\n" + "".join(f"first {i},x\n" for i in range(30)) + "  ,x\n")
+    (tmp_path / "b.csv").write_text("text,label\n" + "".join(f"second {i},x\n" for i in range(10)))
+    config = {"data": {"corpus_paths": [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], "val_ratio": 0.1}, "model": {"max_length": 8}}
+    assert pretraining.run_corpus(spark, config, str(tmp_path / "out")) == {"train": 36, "val": 4}
+
+
 def test_projections_apply_to_streams(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(1, " good  https://u.v "), (2, "bad")], "id long, text string").write.parquet(str(source))

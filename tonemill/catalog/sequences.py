@@ -33,21 +33,21 @@ def logit_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(metrics.logit_metrics(_logits(spark, sf), [], "truth", "logits"))
 
 
-def _make_scorer():
+def batch_inference(spark: SparkSession, sf: str) -> DataFrame:
     """A linear model: class c sums the vector's dimensions c, c + 3, c + 6, ..."""
 
-    def predict(vectors):
-        import numpy as np
-
-        wide = vectors.astype(np.float64)
-        return np.stack([wide[:, c::3].sum(axis=1) for c in range(3)], axis=1)
+    # Nested, so that it is shipped by value and executors need no copy of this package.
+    def make_scorer():
+        def predict(vectors):
+            import numpy as np
 
-    return predict
+            wide = vectors.astype(np.float64)
+            return np.stack([wide[:, c::3].sum(axis=1) for c in range(3)], axis=1)
 
+        return predict
 
-def batch_inference(spark: SparkSession, sf: str) -> DataFrame:
     vectors = I.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    scored = inference.batch_logits(vectors, _make_scorer, ["embedding"], [[64]])
+    scored = inference.batch_logits(vectors, make_scorer, ["embedding"], [[64]])
     return _rounded(inference.classify_logits(scored).drop("embedding", "logits"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonemill.operators.ranks import bucket_sizes, rank_thresholds
+from tonemill.sources.numbering import quantile_buckets
 
 
 def _order_key(key: str, seed: int) -> Column:
@@ -73,7 +73,8 @@ def stratified_split(
     ``names`` has one more entry than ``fractions``: with ``["train", "val",
     "test"]`` and ``[0.30, 0.50]``, 30 % leave train, and half of those leave val.
     Rows are taken in seeded hash order of a unique key, so the result does not
-    depend on partitioning. Three narrow passes, no per-class sort.
+    depend on partitioning. Three narrow passes, no per-class sort. Labels are
+    few: thresholds, one row per label, are broadcast.
     """
     hashed = df.select(F.col(label), F.col(key), _order_key(key, seed).alias("_h"))
     hashed = hashed.withColumn("_bucket", F.substring("_h", 1, 4))
@@ -110,16 +111,9 @@ def holdout_split(
     return official_train.unionByName(official_val.select(official_train.columns))
 
 
-def head_tail_split(df: DataFrame, key: str, val_ratio: float = 0.05, buckets: int = 512) -> DataFrame:
-    """Append ``split``: the first floor(n x (1 - ratio)) rows by ``key`` are train, the tail is val.
-
-    Buckets follow approximate quantiles of the key, so they are even for any key distribution.
-    """
-    keyed = df.select(F.col(key), F.col(key).cast("double").alias("_key"))
-    cutter = QuantileDiscretizer(
-        numBuckets=buckets, inputCol="_key", outputCol="_bucket", relativeError=1.0 / (4 * buckets)
-    )
-    bucketed = cutter.fit(keyed).transform(keyed)
+def head_tail_split(df: DataFrame, key: str, val_ratio: float = 0.05, buckets: int | None = None) -> DataFrame:
+    """Append ``split``: the first floor(n x (1 - ratio)) rows by ``key`` are train, the tail is val."""
+    bucketed = quantile_buckets(df.select(key), key, buckets)
     sizes = bucket_sizes(bucketed, [], "_bucket")
     cuts = sizes.agg(F.lit(0).alias("cut"), F.floor(F.sum("_n") * (F.lit(1.0) - F.lit(val_ratio))).alias("wanted"))
     threshold = rank_thresholds(bucketed, sizes, cuts, [], "_bucket", [key]).select(F.col(f"threshold.{key}").alias("_last"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +47,17 @@ def write_json(documents: DataFrame, path: str) -> None:
     writer.json(path)
 
 
-def report_lines(summary: DataFrame, distribution: DataFrame, corpus: str) -> DataFrame:
+def report_lines(
+    summary: DataFrame, distribution: DataFrame, corpus: str, columns: Mapping[str, list[str]] | None = None
+) -> DataFrame:
     """(corpus, position, line): one Markdown line per statistic.
 
-    ``summary`` is (corpus, stat, value), ``distribution`` is (corpus, label, count, ratio).
+    ``summary`` is (corpus, stat, value), ``distribution`` is (corpus, label, count,
+    ratio), ``columns`` names the columns of each corpus.
     """
+    names = F.lit(None).cast("string")
+    for name, listed in (columns or {}).items():
+        names = F.when(F.col(corpus) == name, F.lit(", ".join(listed))).otherwise(names)
     stats = summary.groupBy(corpus).agg(F.map_from_entries(F.collect_list(F.struct("stat", "value"))).alias("_s"))
     labels = distribution.groupBy(corpus).agg(
         F.array_sort(
@@ -78,7 +85,10 @@ def report_lines(summary: DataFrame, distribution: DataFrame, corpus: str) -> Da
     lines = [
         F.format_string("# %s Corpus Profile", F.upper(corpus)),
         whole("Rows", "num_rows"),
+        F.concat(F.lit("- Columns: "), F.coalesce(names, F.lit("-"))),
         whole("Empty text rows", "empty_text_rows"),
+        whole("Duplicate rows", "duplicate_rows"),
+        whole("Duplicate texts", "duplicate_texts"),
         whole("Parse failures", "parse_failures"),
     ]
     for name in LENGTHS:

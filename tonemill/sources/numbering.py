@@ -35,25 +35,31 @@ def number_file_rows(df: DataFrame, name: str, order: list[str] | None = None) -
     )
 
 
-def number_rows(df: DataFrame, key: str, name: str, buckets: int = 512) -> DataFrame:
-    """Number rows 1..N by a unique numeric key.
+def quantile_buckets(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """Append ``_bucket``: ranges of a numeric key cut at approximate quantiles.
 
-    The key range is cut at approximate quantiles, so buckets are even whatever
-    the distribution; rows are ranked inside their bucket and shifted by the
-    sizes of the buckets before it.
+    Buckets are even whatever the distribution. By default there is one per
+    million rows, so a bucket stays a small sort at any table size.
     """
+    buckets = buckets or min(max(df.count() // 1_000_000, 64), 20_000)
+    keyed = df.withColumn("_key", F.col(key).cast("double"))
     cutter = QuantileDiscretizer(
         numBuckets=buckets, inputCol="_key", outputCol="_bucket", relativeError=1.0 / (4 * buckets)
     )
-    keyed = df.withColumn("_key", F.col(key).cast("double"))
-    keyed = cutter.fit(keyed.select("_key")).transform(keyed)
-    sizes = keyed.groupBy("_bucket").count()
+    return cutter.fit(keyed.select("_key")).transform(keyed).drop("_key")
+
+
+def number_rows(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+    """Number rows 1..N by a unique numeric key: ranked inside even buckets, then
+    shifted by the sizes of the buckets before."""
+    bucketed = quantile_buckets(df, key, buckets)
+    sizes = bucketed.groupBy("_bucket").count()
     before = F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_offset"))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
     return (
-        keyed.withColumn("_rank", rank.cast("long"))
+        bucketed.withColumn("_rank", rank.cast("long"))
         .join(F.broadcast(offsets), "_bucket")
         .withColumn(name, F.col("_offset") + F.col("_rank"))
-        .drop("_key", "_bucket", "_rank", "_offset")
+        .drop("_bucket", "_rank", "_offset")
     )
