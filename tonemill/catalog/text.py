@@ -82,7 +82,8 @@ ORACLES = {
     "fix_encoding": f"WITH {I.NOISY} SELECT doc_id, {S.repair('text')} AS repaired FROM noisy",
     "text_features": f"""
         WITH {I.NOISY}, s AS (SELECT doc_id, {S.strip('text')} AS text_stripped FROM noisy)
-        SELECT doc_id, text_stripped, {_F} FROM s""",
+        SELECT * REPLACE (char_length::INT AS char_length, word_count::INT AS word_count)
+        FROM (SELECT doc_id, text_stripped, {_F} FROM s)""",
     "count_tokens": f"""
         WITH {I.NOISY}, t AS (SELECT doc_id, {S.count_tokens('text', ['the', 'of', 'la'])} AS t FROM noisy)
         SELECT doc_id, len(t) AS n, coalesce(array_to_string(t, ' '), '') AS tokens FROM t""",
