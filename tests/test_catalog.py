@@ -12,7 +12,8 @@ FOLDER = "/root/testdata/sf0.001"
 CHECKED = (
     "label_normalize clean_text fix_encoding text_features clean_dedup clean_stats parse_lines stratified_split_70_15_15 "
     "head_tail_split profile_summary length_histogram length_boxplot top_bigrams lexicon_score lexicon_score_learned "
-    "class_report tfidf_weights logits_to_probs encode_fixed_length best_step"
+    "class_report tfidf_weights logits_to_probs encode_fixed_length best_step decode_codes lexicon_paths labeled_files "
+    "delimited_files split_files corpus_files stopword_files run_files table_files report_files"
 ).split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
@@ -21,7 +22,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not pr
 def test_registry_is_consistent():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"logreg_predict", "svm_predict", "model_grid"}
+    # Their scores are a solver's; logreg_optimality, svm_optimality and model_grid_cells hold them to SQL instead.
+    own = {q for q in queries if not (q == "pipeline" or q.startswith("op"))}
+    assert own - set(oracles) == {"logreg_predict", "svm_predict", "model_grid"}
 
 
 def test_entry(spark):

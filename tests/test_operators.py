@@ -13,9 +13,10 @@ def test_lexicon_paths_agree(spark):
     words = spark.createDataFrame([("GOOD", True, False), ("BAD", False, True), ("BOTH", True, True)],
                                   "word string, positive boolean, negative boolean")
     docs = spark.createDataFrame(
-        [(1, "good Good bad"), (2, "both"), (3, ""), (4, "nothing here"), (5, "bad-good bad")], "id long, text string")
-    in_row = {r.id: r for r in lexicon.score(docs, ["id"], words).collect()}
-    joined = {r.id: r for r in lexicon.score(docs, ["id"], words, max_set_words=0).collect()}
+        [(1, "good Good bad"), (2, "both"), (3, ""), (4, "nothing here"), (5, "bad-good bad"), (6, None), (None, "good")], "id long, text string")
+    in_row = {r.id: r for r in lexicon.score_with_sets(docs, ["GOOD", "BOTH"], ["BAD", "BOTH"]).collect()}
+    joined = {r.id: r for r in lexicon.score(docs, ["id"], words).collect()}
+    assert (joined[None].positive_hits, joined[6].positive_hits) == (1, 0)
     assert in_row.keys() == joined.keys()
     for k, r in in_row.items():
         assert (r.positive_hits, r.negative_hits, r.prediction) == (
@@ -228,3 +229,64 @@ def test_generalisation_drop(spark):
     assert len(drop) == 1 and drop[0].generalisation_drop == pytest.approx(0.4) and drop[0].cross_eval_domain == "b"
     best = manifest.leaderboard(table).collect()
     assert [r.macro_f1 for r in best if r.run_name == "r1"] == [0.9, 0.8, 0.5]
+
+
+def test_many_ngrams_are_ranked_in_parts(spark):
+    """Above the size that Spark limits within a window, parts still pass on no more than top_k rows."""
+    from tonemill.operators import ngrams
+
+    df = spark.createDataFrame([(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + j)}" for j in range(26))) for i in range(60)], "id long, text string")
+    table = ngrams.top_ngram_table(df, "id", [1, 2], 5000)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in plan
+    rows = {n: [r for r in table.collect() if r.size == n] for n in (1, 2)}
+    assert [r.rank for r in sorted(rows[1], key=lambda r: r.rank)] == list(range(1, len(rows[1]) + 1)) and len(rows[1]) == 26 * 26
+    words = [(r.ngram, r["count"]) for r in ngrams.top_ngrams(df, "id", 1, 7).collect()]
+    assert words == [(r.ngram, r["count"]) for r in sorted(rows[1], key=lambda r: r.rank)[:7]]
+
+
+def test_stopword_tables_and_lists_agree(spark):
+    from tonemill.functions.tokens import stopword_table
+    from tonemill.operators import ngrams
+
+    df = spark.createDataFrame([(1, "the cat and the dog"), (2, "a cat, the dog"), (3, None)], "id long, text string")
+    extra = spark.createDataFrame([(" The ",), ("and",)], "word string")
+    by_table = ngrams.top_ngrams(df, "id", 2, 10, stopword_table(spark, False, extra)).collect()
+    assert by_table == ngrams.top_ngrams(df, "id", 2, 10, ["the", "and"]).collect()
+    assert ("cat dog", 2) in [tuple(r) for r in by_table]
+    assert stopword_table(spark, True).where("word = 'the'").count() == 1
+
+
+def test_cleaning_runs_once(spark):
+    from tonemill.operators import cleaning
+
+    df = spark.createDataFrame([(1, "a  b", "x"), (2, " ", "x")], "k long, text string, label string")
+    kept = cleaning.kept_rows(cleaning.distinct_texts(df, "k"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("https?") == 1 and kept.count() == 1
+
+
+def test_label_codes(spark):
+    from tonemill.functions.labels import decode_label
+
+    codes = ["0", "1", "2", "1.0", "1.7", "x", "3", None]
+    df = spark.createDataFrame([(c,) for c in codes], "code string")
+    got = [r[0] for r in df.select(decode_label(F.col("code"))).collect()]
+    assert got == ["negative", "positive", "neutral", "positive", None, None, None, None]
+
+
+def test_file_rows_are_numbered_across_splits(spark, tmp_path):
+    from tonemill.sources.numbering import number_file_rows, with_file_position
+
+    lines = [f"line {i} " + "x" * 200 for i in range(4000)]
+    for part in range(2):
+        (tmp_path / f"part-{part}.txt").write_text("\n".join(lines[part * 2000 : part * 2000 + 2000]) + "\n", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = number_file_rows(with_file_position(spark.read.text(str(tmp_path))), "n")
+        assert df.rdd.getNumPartitions() >= 1
+        assert [r.value for r in df.orderBy("n").collect()] == lines and df.agg(F.max("n")).first()[0] == 4000
+        assert "BroadcastHint" not in df._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

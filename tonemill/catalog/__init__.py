@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("text", "prepare", "profile", "lexicon", "models", "sequences", "reports")
+MODULES = ("text", "prepare", "profile", "lexicon", "models", "sequences", "reports", "files")
 
 
 def _collect(name: str) -> dict:

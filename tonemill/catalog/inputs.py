@@ -107,13 +107,35 @@ PAGE_KEY = 10**12
 
 
 def mixed_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """(row_id, text, label): decorated documents, plus page addresses, which cleaning empties."""
-    pages = table(spark, sf, "pages").select(
-        (F.col("page_id") + PAGE_KEY).alias("row_id"), F.col("url").alias("text"), F.lit(None).cast("string").alias("label")
-    )
-    return profiled_documents(spark, sf).withColumnRenamed("doc_id", "row_id").unionByName(pages)
+    """(row_id, text, label): decorated documents, page addresses, which cleaning empties, and whole pages."""
+    pages = table(spark, sf, "pages")
+    parts = [
+        pages.select(
+            (F.col("page_id") + place * PAGE_KEY).alias("row_id"), F.col(name).alias("text"), F.lit(None).cast("string").alias("label")
+        )
+        for place, name in enumerate(("url", "html"), 1)
+    ]
+    return profiled_documents(spark, sf).withColumnRenamed("doc_id", "row_id").unionByName(parts[0]).unionByName(parts[1])
 
 
 MIXED = f"""{PROFILED}, mixed AS (
   SELECT doc_id AS row_id, text, label FROM profiled
-  UNION ALL SELECT page_id + {PAGE_KEY}, url, NULL FROM pages)"""
+  UNION ALL SELECT page_id + {PAGE_KEY}, url, NULL FROM pages
+  UNION ALL SELECT page_id + {2 * PAGE_KEY}, html, NULL FROM pages)"""
+
+# Vectors stand in for model outputs: class c's logit sums the dimensions c, c + 3, c + 6, ...
+CLASSES = 3
+
+
+def logits(vector: str = "embedding") -> Column:
+    def summed(c: int) -> Column:
+        own = F.filter(vector, lambda x, i: i % CLASSES == c)
+        return F.aggregate(own, F.lit(0.0), lambda total, x: total + x.cast("double"))
+
+    return F.array(*[summed(c) for c in range(CLASSES)])
+
+
+LOGITS = ", ".join(
+    f"list_sum(list_transform(range({c + 1}, len(embedding) + 1, {CLASSES}), lambda i: embedding[i]::DOUBLE)) AS {n}"
+    for c, n in enumerate("abc")
+)

@@ -42,10 +42,21 @@ def lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexicon_score_learned(spark: SparkSession, sf: str) -> DataFrame:
-    """The join path: a lexicon that grows with the corpus."""
+    """A lexicon that grows with the corpus."""
     docs = I.table(spark, sf, "documents").select("doc_id", "text")
     words = read_words(_learned(spark, sf), threshold=3)
-    return lexicon.score_by_join(docs, ["doc_id"], words, min_count_diff=2).drop("text")
+    return lexicon.score(docs, ["doc_id"], words, min_count_diff=2).drop("text")
+
+
+def lexicon_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with missing texts and a missing key, scored by the join and in the row: the same hits."""
+    docs = I.table(spark, sf, "documents").select(
+        F.nullif("doc_id", F.lit(0)).alias("doc_id"), F.when(F.col("doc_id") % 5 != 1, F.col("text")).alias("text")
+    )
+    sets = [[w.upper() for w, *years in WORDS if years[k] > 0] for k in (0, 1)]
+    ways = {"join": lexicon.score(docs, ["doc_id"], _lexicon(spark)), "row": lexicon.score_with_sets(docs, *sets)}
+    parts = [scored.drop("text").withColumn("way", F.lit(way)) for way, scored in ways.items()]
+    return parts[0].unionByName(parts[1])
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +82,7 @@ def class_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    lexicon_words, lexicon_score, lexicon_score_learned, lexicon_metrics, confusion_matrix, class_report,
+    lexicon_words, lexicon_score, lexicon_score_learned, lexicon_paths, lexicon_metrics, confusion_matrix, class_report,
 )}
 
 _VALUES = ", ".join(f"('{w.upper()}', {p} > 0, {n} > 0)" for w, p, n in WORDS)
@@ -108,7 +119,19 @@ _PER = f"""per AS (
 prf AS (SELECT eval_name, entry, CASE WHEN prd = 0 THEN 0 ELSE hit / prd END AS p, CASE WHEN sup = 0 THEN 0 ELSE hit / sup END AS r,
                CASE WHEN prd + sup = 0 THEN 0 ELSE 2 * hit / (prd + sup) END AS f, sup FROM per)"""
 
+def _listed(place: int) -> str:
+    words = ", ".join(f"'{w.upper()}'" for w, *years in WORDS if years[place] > 0)
+    return f"len(list_filter(words, lambda w: w IN ({words})))"
+
+
+_PATHS = f"""WITH t AS (SELECT nullif(doc_id, 0) AS doc_id, {S.lexicon_tokens("coalesce(CASE WHEN doc_id % 5 <> 1 THEN text END, '')")} AS words FROM documents),
+h AS (SELECT doc_id, {_listed(0)} AS p, {_listed(1)} AS n FROM t)
+SELECT way, doc_id, p AS positive_hits, n AS negative_hits, p - n AS lexicon_score,
+       CASE WHEN p - n >= 1 THEN 'positive' WHEN p - n <= -1 THEN 'negative' ELSE 'neutral' END AS prediction
+FROM h CROSS JOIN (VALUES ('join'), ('row')) w(way)"""
+
 ORACLES = {
+    "lexicon_paths": _PATHS,
     "lexicon_words": f"WITH {I.LABELLED}, {_LEARNED} SELECT word, positive, negative FROM learned",
     "lexicon_score": f"WITH {_LEX}, {scored_cte('documents', 'lex')} SELECT {_HITS} FROM scored",
     "lexicon_score_learned": f"WITH {I.LABELLED}, {_LEARNED}, {scored_cte('documents', 'learned', 2)} SELECT {_HITS} FROM scored",

@@ -9,7 +9,7 @@ from tonemill.catalog import inputs as I
 from tonemill.catalog import snippets as S
 from tonemill.functions.accents import fold_accents
 from tonemill.operators import linear, metrics, splits, tfidf
-from tonemill.plans.experiments import statistical_grid
+from tonemill.plans.experiments import grid_predictions, statistical_grid
 from tonemill.runtime import work_table
 
 CONFIG = {"max_features": 20000, "min_df": 2, "ngram_range": [1, 2], "C": 2.0, "max_iter": 500, "class_weight": "balanced"}
@@ -85,8 +85,31 @@ def svm_predict(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_predicted(spark, sf, "linear_svm"), 3)
 
 
-def model_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Two training domains x three models x each domain's test set."""
+SPECS = [{"type": "logreg"}, {"type": "linear_svm"}, {"type": "naive_bayes", "alpha": 1.0}]
+# A solver has converged when the gradient's length has shrunk to this share of its length at zero.
+CONVERGED = 0.01
+
+
+def _optimality(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Per class of a trained model: rows, weight, terms, and whether its gradient vanishes."""
+    train, _ = _train_and_evals(spark, sf)
+    config = {**CONFIG, "type": kind}
+    features = linear.build_features(train, KEYS, config)
+    found = linear.optimality(features, linear.fit(features, config), config)
+    return found.select(
+        "label", F.col("rows").cast("long").alias("rows"), F.round("class_weight", 6).alias("class_weight"), "terms", (F.col("gradient") <= CONVERGED).alias("optimal")
+    )
+
+
+def logreg_optimality(spark: SparkSession, sf: str) -> DataFrame:
+    return _optimality(spark, sf, "logreg")
+
+
+def svm_optimality(spark: SparkSession, sf: str) -> DataFrame:
+    return _optimality(spark, sf, "linear_svm")
+
+
+def _grid(spark: SparkSession, sf: str) -> tuple:
     rows = work_table(domain_splits(spark, sf), "domains")
     evals = rows.where("split = 'test'").select(
         F.concat_ws("_", "domain", "split").alias("eval_name"), "doc_id", "text", "label"
@@ -95,8 +118,21 @@ def model_grid(spark: SparkSession, sf: str) -> DataFrame:
         name: (rows.where((F.col("domain") == name) & (F.col("split") == "train")).select("doc_id", "text", "label"), evals)
         for name in I.DOMAINS
     }
-    specs = [{"type": "logreg"}, {"type": "linear_svm"}, {"type": "naive_bayes", "alpha": 1.0}]
-    return _rounded(statistical_grid(corpora, specs, CONFIG, ["eval_name", "doc_id"], KEYS), 4)
+    return corpora, SPECS, CONFIG, ["eval_name", "doc_id"], KEYS
+
+
+def model_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Two training domains x three models x each domain's test set."""
+    return _rounded(statistical_grid(*_grid(spark, sf)), 4)
+
+
+def model_grid_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Each cell of the grid: rows, rows of each true label, and rows with a label predicted."""
+    cells = metrics.cell_counts(grid_predictions(*_grid(spark, sf)), ["run_name", "model_type", "train_name", "eval_name"])
+    predicted = F.col("predicted_positive") + F.col("predicted_neutral") + F.col("predicted_negative")
+    return cells.select(
+        "run_name", "model_type", "train_name", "eval_name", "size", *[f"support_{c}" for c in S.LABELS], predicted.alias("predicted")
+    )
 
 
 def domain_splits(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,6 +147,7 @@ def domain_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     fold_text, tfidf_vocab, tfidf_weights, nb_model, nb_predict, nb_eval, logreg_predict, svm_predict, model_grid,
+    logreg_optimality, svm_optimality, model_grid_cells,
 )}
 
 
@@ -162,7 +199,26 @@ evals AS (SELECT split AS eval_name, doc_id, text, label FROM divided WHERE spli
 {bayes_ctes('b_', 'train', 'evals')}"""
 _PROBS = ", ".join(f"round(prob_{c}, 6) AS prob_{c}" for c in S.LABELS)
 
+_TRAIN = f"""WITH {I.LABELLED}, {_SPLIT}, train AS (SELECT doc_id, text, label FROM divided WHERE split = 'train'), {vocabulary_ctes('o_', 'train', 'label')}"""
+_OPTIMAL = f"""{_TRAIN}
+SELECT label, count(*) AS rows, round((SELECT count(*) FROM train)::DOUBLE / (3 * count(*)), 6) AS class_weight,
+       (SELECT count(*) FROM o_vocab) AS terms, TRUE AS optimal
+FROM train GROUP BY label"""
+_DOMAIN_SPLITS = ", ".join(
+    S.split_ctes("labelled", f"{d}_rows", "doc_id", ["train", "val", "test"], [0.30, 0.50], where=f"({I.DOMAIN}) = '{d}'") for d in I.DOMAINS
+)
+_TESTS = " UNION ALL ".join(f"SELECT '{d}_test' AS eval_name, label FROM {d}_rows WHERE split = 'test'" for d in I.DOMAINS)
+_CELLS = f"""WITH {I.LABELLED}, {_DOMAIN_SPLITS}, tests AS ({_TESTS}),
+m AS (SELECT * FROM (VALUES ('logreg'), ('linear_svm'), ('naive_bayes')) t(model_type)),
+d AS (SELECT * FROM (VALUES ('en'), ('other')) t(train_name))
+SELECT train_name || '_' || model_type AS run_name, model_type, train_name, eval_name, count(*) AS size,
+       {", ".join(f"count(*) FILTER (WHERE label = '{c}') AS support_{c}" for c in S.LABELS)}, count(*) AS predicted
+FROM tests CROSS JOIN m CROSS JOIN d GROUP BY ALL"""
+
 ORACLES = {
+    "logreg_optimality": _OPTIMAL,
+    "svm_optimality": _OPTIMAL,
+    "model_grid_cells": _CELLS,
     "fold_text": "SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents",
     "tfidf_vocab": f"WITH {I.LABELLED}, {_PLAIN}, {vocabulary_ctes('v_', 'plain')} SELECT term, df, cf, round(idf, 6) AS idf FROM v_vocab",
     "tfidf_weights": f"WITH {I.LABELLED}, {_PLAIN}, {vocabulary_ctes('v_', 'plain')} SELECT doc_id, term, tf, round(weight, 6) AS weight FROM v_w",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonemill.catalog import inputs as I
 from tonemill.catalog import snippets as S
+from tonemill.functions.labels import decode_label
 from tonemill.operators import cleaning, splits
 from tonemill.plans.prepare import Prepared, prepare_coded, prepare_word_labelled
 from tonemill.sources.numbering import number_rows
@@ -24,13 +25,22 @@ def clean_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def parse_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = I.mixed_rows(spark, sf).select(
-        "row_id", F.concat(F.when(F.col("row_id") < I.PAGE_KEY, F.col("text")).otherwise(""),
-                           F.coalesce(F.concat(F.lit("@"), "label"), F.lit(""))).alias("raw_line")
+        "row_id", F.concat("text", F.coalesce(F.concat(F.lit("@"), "label"), F.lit(""))).alias("raw_line")
     )
     parsed = parse_delimited(lines)
     return parsed.select("row_id", F.md5("text").alias("text_md5"), "label", "parse_ok")
 
 
+CODES = ["0", "1", "2", "1.0", " 2", "1.7", "x", "-1", "3", None]
+
+
+def decode_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers, fractions, words and gaps as label codes, one to each document."""
+    code = F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.col("doc_id") % len(CODES) + 1).cast("int"))
+    docs = I.table(spark, sf, "documents").select("doc_id", code.alias("code"))
+    return docs.select("doc_id", "code", decode_label(F.col("code")).alias("label"))
+
+
 def row_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return number_rows(I.mixed_rows(spark, sf).select("row_id"), "row_id", "row_number")
 
@@ -90,7 +100,7 @@ def prepare_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    clean_dedup, clean_stats, parse_lines, row_numbers, stratified_split_70_15_15, holdout_split_15,
+    clean_dedup, clean_stats, parse_lines, decode_codes, row_numbers, stratified_split_70_15_15, holdout_split_15,
     head_tail_split, split_summary, prepare_report,
 )}
 
@@ -138,13 +148,16 @@ ORACLES = {
     "clean_stats": f"WITH {_RANKED} SELECT * EXCLUDE (part) FROM ({_stats('ranked', '1')})",
     "parse_lines": f"""
         WITH {I.MIXED}, l AS (
-          SELECT row_id, CASE WHEN row_id < {I.PAGE_KEY} THEN text ELSE '' END || coalesce('@' || label, '') AS line FROM mixed),
+          SELECT row_id, text || coalesce('@' || label, '') AS line FROM mixed),
         p AS (SELECT *, {S.strip('line')} <> '' AND contains(line, '@') AS ok,
                      len(string_split(line, '@')) AS pieces FROM l)
         SELECT row_id, md5(CASE WHEN {S.strip('line')} = '' THEN ''
                                 WHEN ok THEN array_to_string(string_split(line, '@')[:pieces - 1], '@') ELSE line END) AS text_md5,
                CASE WHEN ok THEN string_split(line, '@')[pieces] END AS label, ok AS parse_ok
         FROM p""",
+    "decode_codes": """
+        WITH c AS (SELECT doc_id, (['0', '1', '2', '1.0', ' 2', '1.7', 'x', '-1', '3', NULL])[doc_id % 10 + 1] AS code FROM documents)
+        SELECT doc_id, code, CASE try_cast(code AS DOUBLE) WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' WHEN 2 THEN 'neutral' END AS label FROM c""",
     "row_numbers": f"WITH {I.MIXED} SELECT row_id, row_number() OVER (ORDER BY row_id) AS row_number FROM mixed",
     "stratified_split_70_15_15": f"WITH {I.LABELLED}, {_SPLIT} SELECT doc_id, label, split FROM divided",
     "holdout_split_15": f"""

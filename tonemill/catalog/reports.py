@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonemill import constants as C
 from tonemill.catalog import inputs as I
 from tonemill.catalog import lexicon as L
 from tonemill.catalog import models as M
@@ -32,7 +33,7 @@ def _predictions(spark: SparkSession, sf: str) -> DataFrame:
         model = linear.fit(linear.build_features(train, ["doc_id"], M.CONFIG), {"type": "naive_bayes"})
         scored = linear.score(evals, model, keys, carry)
         runs.append((f"{name}_bayes", "naive_bayes", f"data/{name}/train.csv", scored))
-    runs.append(("lexicon", "lm_lexicon_rule", None, lexicon.score(evals, keys, L._lexicon(spark))))
+    runs.append(("lexicon", C.LEXICON_MODEL, None, lexicon.score(evals, keys, L._lexicon(spark))))
     union = None
     for run_name, model_type, train_path, scored in runs:
         part = scored.select(
@@ -88,7 +89,7 @@ def _history(spark: SparkSession, sf: str) -> DataFrame:
         F.floor(F.col("vec_id") / 50).cast("long").alias("step"),
         (F.col("label") < 5).alias("training"),
         (F.col("label") % 3).alias("truth"),
-        F.slice("embedding", 1, 3).alias("logits"),
+        I.logits().alias("logits"),
     )
     vectors = vectors.withColumn("_loss", -F.log(F.get(softmax(F.col("logits")), F.col("truth"))))
     train = vectors.where("training").groupBy("run_name", "step").agg(F.avg("_loss").alias("loss"))
@@ -147,7 +148,7 @@ def _domain_ctes() -> str:
         f"SELECT '{d}_bayes' AS run_name, 'naive_bayes' AS model, '{d}' AS train_domain, eval_name, label, prediction FROM {d}_b_pred"
         for d in I.DOMAINS
     ]
-    runs.append("SELECT 'lexicon', 'lm_lexicon_rule', 'none', eval_name, label, prediction FROM scored")
+    runs.append(f"SELECT 'lexicon', '{C.LEXICON_MODEL}', 'none', eval_name, label, prediction FROM scored")
     parts.append(f"preds AS ({' UNION ALL '.join(runs)})")
     parts.append(f"summary AS ({S.evaluation('preds', 'run_name, model, train_domain, eval_name')})")
     parts.append(
@@ -167,7 +168,7 @@ _COLS = f"run_name, model, train_domain, eval_name, eval_domain, eval_split, set
 _TOP = "greatest(a, b, c)"
 _HIST = f"""WITH v AS (
   SELECT CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS run_name, floor(vec_id / 50)::BIGINT AS step, label < 5 AS training,
-         label % 3 AS truth, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings),
+         label % 3 AS truth, {I.LOGITS} FROM embeddings),
 l AS (SELECT *, -ln(exp(CASE truth WHEN 0 THEN a WHEN 1 THEN b ELSE c END - {_TOP})
                     / (exp(a - {_TOP}) + exp(b - {_TOP}) + exp(c - {_TOP}))) AS loss FROM v),
 ev AS (SELECT run_name, step, CASE truth WHEN 0 THEN 'positive' WHEN 1 THEN 'neutral' ELSE 'negative' END AS label,

@@ -18,7 +18,7 @@ LENGTH = 128
 
 def _logits(spark: SparkSession, sf: str) -> DataFrame:
     vectors = I.table(spark, sf, "embeddings")
-    return vectors.select("vec_id", (F.col("label") % 3).alias("truth"), F.slice("embedding", 1, 3).alias("logits"))
+    return vectors.select("vec_id", (F.col("label") % 3).alias("truth"), I.logits().alias("logits"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -92,11 +92,7 @@ QUERIES = {f.__name__: f for f in (
     logits_to_probs, logit_metrics, batch_inference, word_ids, encode_fixed_length, mask_tokens, mlm_corpus,
 )}
 
-_LOGITS = """logits AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c,
-  (label % 3) AS truth FROM embeddings)"""
-_SUMS = "logits AS (SELECT vec_id, " + ", ".join(
-    f"list_sum(list_transform(range({c + 1}, 65, 3), lambda i: embedding[i]::DOUBLE)) AS {n}" for c, n in enumerate("abc")
-) + " FROM embeddings)"
+_LOGITS = f"logits AS (SELECT vec_id, {I.LOGITS}, label % 3 AS truth FROM embeddings)"
 _CLASS = "CASE WHEN a >= b AND a >= c THEN 'positive' WHEN b >= c THEN 'neutral' ELSE 'negative' END"
 _TOP = "greatest(a, b, c)"
 _SUM = f"(exp(a - {_TOP}) + exp(b - {_TOP}) + exp(c - {_TOP}))"
@@ -135,7 +131,7 @@ ORACLES = {
         WITH {_LOGITS}, ev AS (SELECT 1 AS g, CASE truth WHEN 0 THEN 'positive' WHEN 1 THEN 'neutral' ELSE 'negative' END AS label,
                                       {_CLASS} AS prediction FROM logits)
         SELECT size, {S.rounded_metrics(("accuracy", "macro_f1", "weighted_f1"))} FROM ({S.evaluation('ev', 'g')})""",
-    "batch_inference": f"WITH {_SUMS} SELECT vec_id, {_CLASS} AS prediction, {_PROBS} FROM logits",
+    "batch_inference": f"WITH {_LOGITS} SELECT vec_id, {_CLASS} AS prediction, {_PROBS} FROM logits",
     "word_ids": f"WITH {_IDS} SELECT word, id FROM ids",
     "encode_fixed_length": f"""
         WITH {I.LABELLED}, {_IDS}, {_encoded('labelled', 'doc_id, label')}

@@ -67,8 +67,24 @@ METRIC_NAMES = {
     "weighted_f1": "Weighted-F1",
 }
 
+# Names of the curves in tables of training logs.
+LOSS_NAMES = {"loss": "Train Loss", "eval_loss": "Eval Loss"}
+EVAL_METRIC_NAMES = {
+    "eval_accuracy": "Eval Accuracy",
+    "eval_macro_f1": "Eval Macro-F1",
+    "eval_weighted_f1": "Eval Weighted-F1",
+}
+
+# Columns of the run manifest, in order.
+MANIFEST = (
+    "run_name", "model", "train_domain", "eval_name", "eval_domain", "eval_split", "setting",
+    "accuracy", "macro_f1", "weighted_f1",
+    "metrics_path", "prediction_path", "confusion_matrix_path", "confusion_figure_path",
+)
+
 # --- models ------------------------------------------------------------------
 MODEL_TYPES = ("logreg", "linear_svm", "naive_bayes")
+LEXICON_MODEL = "lm_lexicon_rule"
 
 # --- fixed-length encoding: special ids, then vocabulary ids ------------------
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4

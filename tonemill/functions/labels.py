@@ -42,8 +42,9 @@ def normalize_label(label: Column, overrides: Mapping[Any, Any] | None = None) -
 
 
 def decode_label(code: Column) -> Column:
-    """Integer-coded labels 0/1/2, or null for any other code."""
-    return _lookup(code.cast("int"), C.CODED_LABELS)
+    """Integer-coded labels 0/1/2, or null for any other code: 1.7, text and null stay unmapped, "1.0" is 1."""
+    number = code.try_cast("double")
+    return F.when(number == F.floor(number), _lookup(number.try_cast("int"), C.CODED_LABELS))
 
 
 def reject_unmapped(df: DataFrame, raw: str, mapped: str, shown: int = 5) -> DataFrame:

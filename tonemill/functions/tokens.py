@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonemill import constants as C
@@ -19,6 +19,14 @@ def build_stopwords(remove_english: bool, extra: Iterable[str] | None = None) ->
     return sorted(words)
 
 
+def stopword_table(spark: SparkSession, remove_english: bool, extra: DataFrame | None = None) -> DataFrame:
+    """The stop-word set as a table (word): Spark's English list if asked for, plus a table of extras of any size."""
+    words = spark.createDataFrame([(w,) for w in build_stopwords(remove_english)], "word string")
+    if extra is not None:
+        words = words.union(extra.select(F.lower(F.trim("word")).alias("word")).where("word <> ''"))
+    return words.distinct()
+
+
 def count_tokens(text: Column, stopwords: Iterable[str] = ()) -> Column:
     """Tokens for counting: URLs blanked, curly quotes straightened, lowercased,
     at least two characters, stop-words removed (repeats kept)."""

@@ -32,12 +32,18 @@ def distinct_texts(
     cleaned = df.select(
         F.col(key), cleaned_text(F.col("text"), remove_urls, repair, null_text).alias("text"), *by
     )
-    return cleaned.groupBy("text", *by).agg(F.min(key).alias(key), F.count("*").alias("copies"))
+    return cleaned.groupBy("text", *by).agg(
+        F.min(key).alias(key), F.count("*").alias("copies"), F.max(F.length("text")).alias("chars")
+    )
 
 
 def kept_rows(distinct: DataFrame) -> DataFrame:
-    """The cleaned, deduplicated, non-empty rows."""
-    return distinct.where(F.col("text") != "").drop("copies")
+    """The cleaned, deduplicated, non-empty rows.
+
+    The test is on an aggregate: one on the text would be moved below the
+    aggregation, where the whole cleaning chain would run once more for it.
+    """
+    return distinct.where(F.col("chars") > 0).drop("copies", "chars")
 
 
 def clean_stats(distinct: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOSSES = {"loss": "Train Loss", "eval_loss": "Eval Loss"}
-EVAL_METRICS = {
-    "eval_accuracy": "Eval Accuracy",
-    "eval_macro_f1": "Eval Macro-F1",
-    "eval_weighted_f1": "Eval Weighted-F1",
-}
+from tonemill import constants as C
 
 
 def _series(history: DataFrame, ids: list[str], columns: dict[str, str]) -> DataFrame:
@@ -22,12 +17,12 @@ def _series(history: DataFrame, ids: list[str], columns: dict[str, str]) -> Data
 
 def loss_series(history: DataFrame, ids: list[str]) -> DataFrame:
     """(ids..., step, series, value) for training and evaluation loss, absent values skipped."""
-    return _series(history, ids, LOSSES)
+    return _series(history, ids, C.LOSS_NAMES)
 
 
 def metric_series(history: DataFrame, ids: list[str]) -> DataFrame:
     """(ids..., step, series, value) for the evaluation metrics."""
-    return _series(history, ids, EVAL_METRICS)
+    return _series(history, ids, C.EVAL_METRIC_NAMES)
 
 
 def best_steps(history: DataFrame, ids: list[str]) -> DataFrame:

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemill.functions.tokens import lexicon_tokens
 
-# Up to this many words the lexicon travels inside the expression as a hash set.
-MAX_SET_WORDS = 20_000
-
 
 def polarity(score: Column, min_count_diff: int = 1) -> Column:
     """Positive is tested first, so it wins ties when the difference may be zero."""
@@ -28,57 +27,44 @@ def _with_prediction(df: DataFrame, min_count_diff: int) -> DataFrame:
 def score_with_sets(
     df: DataFrame, positive: Iterable[str], negative: Iterable[str], min_count_diff: int = 1, text: str = "text"
 ) -> DataFrame:
-    """In-row scoring: every token occurrence is looked up in a set; no shuffle, no join."""
+    """In-row scoring with word sets that the caller wrote down, as streams need it; no shuffle, no join.
+
+    The same hits as ``score``: a null text has none.
+    """
 
     def hits(words: list[str]) -> Column:
         if not words:
             return F.lit(0).cast("long")
         return F.size(F.filter(F.col("_tokens"), lambda t: t.isin(words))).cast("long")
 
-    scored = df.withColumn("_tokens", lexicon_tokens(F.col(text))).withColumns(
+    scored = df.withColumn("_tokens", lexicon_tokens(F.coalesce(text, F.lit("")))).withColumns(
         {"positive_hits": hits(sorted(positive)), "negative_hits": hits(sorted(negative))}
     )
     return _with_prediction(scored.drop("_tokens"), min_count_diff)
 
 
-def score_by_join(
+def score(
     df: DataFrame, keys: list[str], lexicon: DataFrame, min_count_diff: int = 1, text: str = "text"
 ) -> DataFrame:
-    """Scoring for a lexicon of any size: per-row token counts joined with the lexicon on the word.
+    """Append positive_hits, negative_hits, lexicon_score and prediction, for a lexicon of any size.
 
-    Repeats collapse inside their row first, so a frequent word contributes one
-    row per text; adaptive execution splits its join partition or broadcasts a
-    lexicon that turns out small.
+    ``keys`` identify a row; null counts as a key value, and a null text has no
+    hits. Repeats collapse inside their row first, so a frequent word
+    contributes one row per text; adaptive execution splits its join partition or
+    broadcasts a lexicon that turns out small. Only keys and counts are joined
+    back to the rows.
     """
-    tokens = df.select(*keys, F.explode(lexicon_tokens(F.col(text))).alias("_word"))
+    tokens = df.select(*keys, F.explode(lexicon_tokens(F.coalesce(text, F.lit("")))).alias("_word"))
     counts = tokens.groupBy(*keys, "_word").agg(F.count("*").alias("_n"))
+    listed = lexicon.select(F.col("word").alias("_word"), "positive", "negative")
     hits = (
-        counts.join(lexicon.select(F.col("word").alias("_word"), "positive", "negative"), "_word")
-        .groupBy(*keys)
+        counts.join(listed, "_word")
+        .groupBy(*[F.col(k).alias(f"_hit_{k}") for k in keys])
         .agg(
             F.sum(F.when(F.col("positive"), F.col("_n")).otherwise(0)).alias("positive_hits"),
             F.sum(F.when(F.col("negative"), F.col("_n")).otherwise(0)).alias("negative_hits"),
         )
     )
-    scored = df.join(hits, keys, "left").fillna(0, ["positive_hits", "negative_hits"])
-    return _with_prediction(scored, min_count_diff)
-
-
-def score(
-    df: DataFrame,
-    keys: list[str],
-    lexicon: DataFrame,
-    min_count_diff: int = 1,
-    text: str = "text",
-    max_set_words: int = MAX_SET_WORDS,
-) -> DataFrame:
-    """Append positive_hits, negative_hits, lexicon_score and prediction.
-
-    The lexicon's size decides the way: small ones become sets, larger ones are joined.
-    """
-    words = lexicon.limit(max_set_words + 1).collect()
-    if len(words) > max_set_words:
-        return score_by_join(df, keys, lexicon, min_count_diff, text)
-    positive = [w["word"] for w in words if w["positive"]]
-    negative = [w["word"] for w in words if w["negative"]]
-    return score_with_sets(df, positive, negative, min_count_diff, text)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hit_{k}")) for k in keys])
+    scored = df.join(hits, same, "left").drop(*[f"_hit_{k}" for k in keys])
+    return _with_prediction(scored.fillna(0, ["positive_hits", "negative_hits"]), min_count_diff)

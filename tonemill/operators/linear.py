@@ -26,10 +26,8 @@ from tonemill.operators import tfidf
 from tonemill.operators.svm import solve_squared_hinge
 from tonemill.runtime import work_path, work_table
 
-# Coefficients of the iterative estimators pass through the driver.
-MAX_DENSE_TERMS = 2_000_000
-# Every iteration moves one gradient per partition, so small corpora use few partitions.
-ROWS_PER_PARTITION = 20_000
+# Buckets in which the terms of a vocabulary are numbered side by side.
+ID_BUCKETS = 256
 
 
 @dataclass(frozen=True)
@@ -78,14 +76,16 @@ class Features:
 
     @cached_property
     def numbered(self) -> DataFrame:
-        """Vocabulary with ids 0..V-1 in term order; its size is checked before it is ordered."""
-        size = self.vocabulary.count()
-        if size > MAX_DENSE_TERMS:
-            raise ValueError(f"{size} terms are too many for a dense solver; set max_features.")
-        if size == 0:
+        """Vocabulary with ids 0..V-1: in term order within hash buckets, which follow each other."""
+        bucketed = self.vocabulary.select("term", "idf", F.pmod(F.xxhash64("term"), F.lit(ID_BUCKETS)).alias("_bucket"))
+        before = F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+        offsets = bucketed.groupBy("_bucket").count().select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+        place = F.row_number().over(Window.partitionBy("_bucket").orderBy("term")) - 1
+        numbered = bucketed.withColumn("_place", place).join(offsets, "_bucket")
+        numbered = work_table(numbered.select((F.col("_before") + F.col("_place")).cast("int").alias("term_id"), "term", "idf"), "numbered")
+        if numbered.isEmpty():
             raise ValueError("The vocabulary is empty.")
-        order = F.row_number().over(Window.orderBy("term")) - 1
-        return work_table(self.vocabulary.select(order.alias("term_id"), "term", "idf"), "numbered")
+        return numbered
 
     @cached_property
     def size(self) -> int:
@@ -104,11 +104,15 @@ class Features:
 
 
 def build_features(docs: DataFrame, keys: list[str], config: Mapping[str, Any] | None = None) -> Features:
-    """Features of (keys..., text, label) under the configured vocabulary."""
+    """Features of (keys..., text, label) under the configured vocabulary.
+
+    The term counts are stored, so texts are folded and split once, however many
+    passes and classifiers follow. ``keys`` have to be unique.
+    """
     config = dict(config or {})
     ngrams = tuple(config.get("ngram_range") or (1, 2))
     max_features = config.get("max_features")
-    terms = tfidf.doc_terms(docs, keys, ngrams, carry=["label"])
+    terms = work_table(tfidf.doc_terms(docs, keys, ngrams, carry=["label"]), "terms")
     vocabulary = tfidf.fit_vocabulary(terms, docs, config.get("min_df", 1), max_features)
     return Features(terms, work_table(vocabulary, "vocabulary"), class_counts(docs), keys, ngrams, max_features)
 
@@ -118,7 +122,7 @@ def fit(features: Features, config: Mapping[str, Any] | None = None) -> TermMode
     config = dict(config or {})
     kind = config.get("type", "logreg")
     if kind not in C.MODEL_TYPES:
-        raise ValueError(f"Unsupported model type '{kind}'. Supported values: {C.MODEL_TYPES}.")
+        raise ValueError(f"No classifier is called '{kind}'; choose one of {', '.join(C.MODEL_TYPES)}.")
     if kind == "naive_bayes":
         return _fit_bayes(features, float(config.get("alpha", 1.0)))
     return _fit_dense(kind, features, config)
@@ -184,22 +188,16 @@ def _fit_dense(kind: str, features: Features, config: Mapping[str, Any]) -> Term
     per_row = F.element_at(F.array(*[F.lit(weights[c]) for c in classes]), F.col("target").cast("int") + 1)
     penalty = float(config.get("C", 1.0))
     spark = features.terms.sparkSession
-    # Coalescing merges partitions without a shuffle and never makes more than there are.
-    partitions = math.ceil(sum(features.counts.values()) / ROWS_PER_PARTITION)
-
-    def few(rows: DataFrame) -> DataFrame:
-        return rows.coalesce(partitions)
-
     if kind == "logreg":
         total = sum(weights[c] * n for c, n in features.counts.items())
         # The stored layout is read back as vectors, so no row passes through Python.
         schema = StructType([StructField("target", DoubleType()), StructField("features", VectorUDT())])
-        rows = few(spark.read.schema(schema).parquet(features.rows_path)).withColumn("sample_weight", per_row)
+        rows = spark.read.schema(schema).parquet(features.rows_path).withColumn("sample_weight", per_row)
         coefficients, intercepts = _solve_logistic(
             rows, len(classes), 1.0 / (penalty * total), config.get("max_iter", 300)
         )
     else:
-        rows = few(spark.read.parquet(features.rows_path)).withColumn("sample_weight", per_row)
+        rows = spark.read.parquet(features.rows_path).withColumn("sample_weight", per_row)
         coefficients, intercepts = solve_squared_hinge(
             rows, features.size, len(classes), penalty, config.get("max_iter", 3000)
         )
@@ -237,42 +235,118 @@ def score(docs: DataFrame, model: TermModel, keys: list[str], carry: list[str] |
     """(keys..., carry..., prediction, prob_/score_ per label in canonical order).
 
     A label unseen in training has a null column. Unknown terms are ignored; a
-    text without known terms gets the intercepts.
+    text without known terms gets the intercepts. ``keys`` have to be unique: rows
+    that share them are scored as one text.
+    """
+    return score_terms(tfidf.doc_terms(docs, keys, model.ngrams, carry), {"": model}, keys, carry).drop("model")
+
+
+def stored_terms(docs: DataFrame, keys: list[str], ngrams: tuple[int, int], carry: list[str] | None = None) -> DataFrame:
+    """The term counts of ``docs``, written once for any number of scoring passes."""
+    return work_table(tfidf.doc_terms(docs, keys, ngrams, carry), "terms")
+
+
+def score_terms(terms: DataFrame, models: Mapping[str, TermModel], keys: list[str], carry: list[str] | None = None) -> DataFrame:
+    """(model, keys..., carry..., prediction, prob_/score_ columns) of stored term counts, for several models in one pass.
+
+    The models come from one corpus: they share its vocabulary, n-grams and classes.
+    Their coefficients are laid side by side, so terms are joined and summed once.
     """
-    carry = carry or []
-    terms = tfidf.doc_terms(docs, keys, model.ngrams, carry)
-    joined = terms.join(tfidf.bounded(model.terms, model.max_features), "term", "left")
+    carry, first = carry or [], next(iter(models.values()))
+    stacked = None
+    for number, model in enumerate(models.values()):
+        part = model.terms.select("term", "idf", *[F.col(f"coef_{c}").alias(f"_c_{number}_{c}") for c in model.classes])
+        stacked = part if stacked is None else stacked.join(part.drop("idf"), "term")
+    joined = terms.join(tfidf.bounded(stacked, first.max_features), "term", "left")
     raw = tfidf.raw_weight()
     sums = joined.groupBy(*keys, *carry).agg(
         F.sqrt(F.sum(raw * raw)).alias("_norm"),
-        *[F.sum(raw * F.col(f"coef_{c}")).alias(f"_s_{c}") for c in model.classes],
-    )
-    scores = F.array(
-        *[
-            F.coalesce(F.try_divide(F.col(f"_s_{c}"), F.col("_norm")), F.lit(0.0)) + F.lit(b)
-            for c, b in zip(model.classes, model.intercepts)
-        ]
+        *[F.sum(raw * F.col(f"_c_{n}_{c}")).alias(f"_s_{n}_{c}") for n, m in enumerate(models.values()) for c in m.classes],
     )
-    scored = sums.withColumn("_scores", scores)
-    if model.kind == "prob":
-        scored = scored.withColumn("_out", softmax(F.col("_scores")))
-    else:
-        scored = scored.withColumn("_out", F.col("_scores"))
+    kinds = sorted({m.kind for m in models.values()})
+    rows = []
+    for number, (name, model) in enumerate(models.items()):
+        scores = F.array(
+            *[
+                F.coalesce(F.try_divide(F.col(f"_s_{number}_{c}"), F.col("_norm")), F.lit(0.0)) + F.lit(b)
+                for c, b in zip(model.classes, model.intercepts)
+            ]
+        )
+        rows.append(F.struct(F.lit(name).alias("model"), F.lit(model.kind).alias("_kind"), scores.alias("_scores")))
+    scored = sums.select(*keys, *carry, F.inline(F.array(*rows)))
+    scored = scored.withColumn("_out", F.when(F.col("_kind") == "prob", softmax(F.col("_scores"))).otherwise(F.col("_scores")))
     return scored.select(
+        "model",
         *keys,
         *carry,
-        decode(argmax(F.col("_scores")), model.classes).alias("prediction"),
-        *[_class_column(model, label) for label in C.LABELS],
+        decode(argmax(F.col("_scores")), first.classes).alias("prediction"),
+        *[_class_column(kind, label, first.classes) for kind in kinds for label in C.LABELS],
     )
 
 
-def _class_column(model: TermModel, label: str) -> Column:
-    name = f"{model.kind}_{label}"
-    if label not in model.classes:
+def _class_column(kind: str, label: str, classes: tuple[str, ...]) -> Column:
+    name = f"{kind}_{label}"
+    if label not in classes:
         return F.lit(None).cast("double").alias(name)
-    return F.col("_out")[model.classes.index(label)].alias(name)
+    return F.when(F.col("_kind") == kind, F.col("_out")[classes.index(label)]).alias(name)
 
 
 def attach(docs: DataFrame, scored: DataFrame, keys: list[str]) -> DataFrame:
     """Predictions next to their rows."""
     return docs.join(scored, keys)
+
+
+# --- optimality ---------------------------------------------------------------
+
+
+def optimality(features: Features, model: TermModel, config: Mapping[str, Any]) -> DataFrame:
+    """(label, rows, class_weight, terms, gradient): how far each class's part of a dense model is from the optimum.
+
+    ``gradient`` is the length of the objective's gradient at the model, as a share of
+    its length at zero, computed from the stored features in one pass.
+    """
+    classes = list(model.classes)
+    weights, penalty = class_weights(features.counts, config.get("class_weight")), float(config.get("C", 1.0))
+    weighted = tfidf.tfidf_weights(
+        features.terms, features.vocabulary.select("term", "idf"), features.keys, features.max_features, keep_empty=True
+    )
+    coefficients = model.terms.select("term", *[f"coef_{c}" for c in classes])
+    known = weighted.join(tfidf.bounded(coefficients, model.max_features), "term", "left")
+    margins = known.groupBy(*features.keys, "label").agg(
+        F.array(
+            *[
+                F.coalesce(F.sum(F.col("weight") * F.col(f"coef_{c}")), F.lit(0.0)) + F.lit(b)
+                for c, b in zip(classes, model.intercepts)
+            ]
+        ).alias("_margins")
+    )
+    weight = F.element_at(F.create_map(*[F.lit(x) for c in classes for x in (c, weights[c])]), F.col("label"))
+
+    def pull(values: Column, number: int) -> Column:
+        own = F.col("label") == classes[number]
+        if model.kind == "prob":
+            return weight * (softmax(values)[number] - own.cast("double"))
+        sign = F.when(own, 1.0).otherwise(-1.0)
+        return -2.0 * weight * sign * F.greatest(F.lit(0.0), 1.0 - sign * values[number])
+
+    zero = F.array(*[F.lit(0.0) for _ in classes])
+    pulls = margins.select(
+        *features.keys,
+        *[pull(F.col("_margins"), n).alias(f"_p{n}") for n in range(len(classes))],
+        *[pull(zero, n).alias(f"_z{n}") for n in range(len(classes))],
+    )
+    sums = [F.sum(F.col("weight") * F.col(f"_{k}{n}")).alias(f"_{k}{n}") for k in "pz" for n in range(len(classes))]
+    per_term = weighted.where(F.col("weight").isNotNull()).join(pulls, features.keys).groupBy("term").agg(*sums).join(coefficients, "term")
+    lengths = per_term.agg(
+        F.count("*").alias("terms"),
+        *[F.sum(F.pow(penalty * F.col(f"_p{n}") + F.col(f"coef_{c}"), 2)).alias(f"_g{n}") for n, c in enumerate(classes)],
+        *[F.sum(F.pow(penalty * F.col(f"_z{n}"), 2)).alias(f"_h{n}") for n in range(len(classes))],
+    )
+    biases = pulls.agg(*[F.sum(f"_{k}{n}").alias(f"_b{k}{n}") for k in "pz" for n in range(len(classes))])
+    both = lengths.crossJoin(F.broadcast(biases))  # one row each
+    rows = []
+    for n, (c, b) in enumerate(zip(classes, model.intercepts)):
+        bias = penalty * F.col(f"_bp{n}") + (0.0 if model.kind == "prob" else b)
+        share = F.sqrt((F.col(f"_g{n}") + bias * bias) / (F.col(f"_h{n}") + F.pow(penalty * F.col(f"_bz{n}"), 2)))
+        rows.append(F.struct(F.lit(c).alias("label"), F.lit(features.counts[c]).alias("rows"), F.lit(weights[c]).alias("class_weight"), "terms", share.alias("gradient")))
+    return both.select(F.inline(F.array(*rows)))

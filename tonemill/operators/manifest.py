@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonemill import constants as C
 from tonemill.functions.paths import parent_name, stem
 
-COLUMNS = [
-    "run_name", "model", "train_domain", "eval_name", "eval_domain", "eval_split", "setting",
-    "accuracy", "macro_f1", "weighted_f1",
-    "metrics_path", "prediction_path", "confusion_matrix_path", "confusion_figure_path",
-]
-
 
 def explode_runs(runs: DataFrame) -> DataFrame:
     """Run records -> one row per (run, evaluation set)."""
@@ -28,7 +23,7 @@ def manifest(rows: DataFrame) -> DataFrame:
     Needs run_name, eval_name, path, train_path and the three headline metrics;
     other columns of the manifest are null when absent.
     """
-    for name in ("model_name", "model_type", "metrics_path", *COLUMNS[-3:]):
+    for name in ("model_name", "model_type", "metrics_path", *C.MANIFEST[-3:]):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
 
@@ -49,7 +44,7 @@ def manifest(rows: DataFrame) -> DataFrame:
         .when(F.col("train_domain") == F.col("eval_domain"), "in_domain")
         .otherwise("cross_domain")
     )
-    return rows.withColumn("setting", setting).select(*COLUMNS)
+    return rows.withColumn("setting", setting).select(*C.MANIFEST)
 
 
 def ordered(table: DataFrame) -> DataFrame:

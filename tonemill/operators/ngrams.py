@@ -9,16 +9,37 @@ from pyspark.sql import functions as F
 
 from tonemill.functions.tokens import count_tokens, ngrams
 
+# Salted parts of a size that rank their n-grams side by side.
+RANK_PARTS = 64
 
-def ngram_counts(df: DataFrame, key: str, sizes: list[int], stopwords: Iterable[str] = (), text: str = "text") -> DataFrame:
+
+def listed_tokens(df: DataFrame, key: str, stopwords: DataFrame, text: str = "text") -> DataFrame:
+    """(key, _tokens): count tokens in order, less those in the table ``stopwords`` (word), of any size.
+
+    Tokens meet the table in an anti-join and come back together by key; a null key is a key like others.
+    """
+    words = df.select(key, F.posexplode(count_tokens(F.col(text))).alias("_pos", "word"))
+    kept = words.join(stopwords.select("word").distinct(), "word", "left_anti")
+    ordered = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "word"))).alias("_t"))
+    return ordered.select(key, F.transform("_t", lambda t: t["word"]).alias("_tokens"))
+
+
+def ngram_counts(
+    df: DataFrame, key: str, sizes: list[int], stopwords: Iterable[str] | DataFrame = (), text: str = "text"
+) -> DataFrame:
     """(size, ngram, count, first_seen): every n-gram of the given sizes.
 
+    ``stopwords`` is a short list written down by the caller, or a table (word) of any size.
+
     ``first_seen`` packs (key, position) into one decimal, a fixed-width value
     that keeps the aggregation hash-based; a struct would force a sort. The key
     must be a non-negative integer.
     """
     base = F.col(key).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)")
-    tokens = df.select(base.alias("_base"), count_tokens(F.col(text), stopwords).alias("_tokens"))
+    if isinstance(stopwords, DataFrame):
+        tokens = listed_tokens(df, key, stopwords, text).select(base.alias("_base"), "_tokens")
+    else:
+        tokens = df.select(base.alias("_base"), count_tokens(F.col(text), stopwords).alias("_tokens"))
     grams = [_placed(ngrams(F.col("_tokens"), n), n) for n in sizes]
     rows = tokens.select("_base", F.inline(F.concat(*grams) if len(grams) > 1 else grams[0]))
     rows = rows.select("size", "ngram", (F.col("_base") + F.col("pos")).alias("_at"))
@@ -32,7 +53,7 @@ def _placed(grams: Column, n: int) -> Column:
 
 
 def top_ngrams(
-    df: DataFrame, key: str, n: int, top_k: int = 20, stopwords: Iterable[str] = (), text: str = "text"
+    df: DataFrame, key: str, n: int, top_k: int = 20, stopwords: Iterable[str] | DataFrame = (), text: str = "text"
 ) -> DataFrame:
     """The ``top_k`` most frequent n-grams; equal counts are ordered by first occurrence."""
     counts = ngram_counts(df, key, [n], stopwords, text)
@@ -40,9 +61,16 @@ def top_ngrams(
 
 
 def top_ngram_table(
-    df: DataFrame, key: str, sizes: list[int], top_k: int = 20, stopwords: Iterable[str] = (), text: str = "text"
+    df: DataFrame, key: str, sizes: list[int], top_k: int = 20, stopwords: Iterable[str] | DataFrame = (), text: str = "text"
 ) -> DataFrame:
-    """(size, rank, ngram, count) for several sizes; each task passes on at most ``top_k`` rows per size."""
-    order = Window.partitionBy("size").orderBy(F.desc("count"), "first_seen")
-    ranked = ngram_counts(df, key, sizes, stopwords, text).withColumn("rank", F.row_number().over(order))
+    """(size, rank, ngram, count) for several sizes.
+
+    N-grams are ranked within salted parts of a size first, whatever ``top_k``; the final
+    ranking sees at most ``top_k`` rows of each part.
+    """
+    order = [F.desc("count"), "first_seen"]
+    counts = ngram_counts(df, key, sizes, stopwords, text).withColumn("_part", F.pmod(F.xxhash64("ngram"), F.lit(RANK_PARTS)))
+    within = F.row_number().over(Window.partitionBy("size", "_part").orderBy(*order))
+    best = counts.withColumn("_place", within).where(F.col("_place") <= top_k)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy(*order)))
     return ranked.where(F.col("rank") <= top_k).select("size", "rank", "ngram", "count")

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Steps remembered by the minimiser are kept within this much driver memory.
-MEMORY_BYTES = 200_000_000
+# Steps that the minimiser remembers, the same for any vocabulary; each is two vectors of the model's size on the driver.
+HISTORY = 30
 
 
 def _partial_gradients(shape: tuple[int, int], shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -67,7 +67,6 @@ def solve_squared_hinge(
     spark = rows.sparkSession
     # The fourth root evens out common and rare terms best between no and full diagonal scaling.
     scale = np.tile(_curvature(rows, terms, penalty) ** -0.25, classes)
-    memory = int(np.clip(MEMORY_BYTES // (16 * scale.size), 10, 80))
     columns = rows.select("features.indices", "features.values", "target", "sample_weight").persist()
     shape = (classes, terms + 1)
 
@@ -89,7 +88,7 @@ def solve_squared_hinge(
         return value, gradient * scale
 
     try:
-        best = _minimise(scaled, np.zeros(classes * (terms + 1)), max_iter, tolerance, memory) * scale
+        best = _minimise(scaled, np.zeros(classes * (terms + 1)), max_iter, tolerance, HISTORY) * scale
     finally:
         columns.unpersist()
     best = best.reshape(shape)

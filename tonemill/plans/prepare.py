@@ -46,7 +46,7 @@ def prepare_coded(
     mapped = raw.select(key, "text", "split", F.col("label").alias("_code"), decode_label(F.col("label")).alias("label"))
     unmapped = mapped.where(F.col("label").isNull()).count()
     if unmapped:
-        raise ValueError(f"{dataset} has {unmapped} unmapped labels.")
+        raise ValueError(f"{unmapped} unmapped codes among the labels of {dataset}.")
     distinct = work_table(cleaning.distinct_texts(mapped, key, by=["label", "split"]), f"{dataset}-distinct")
     kept = cleaning.kept_rows(distinct)
     train = kept.where("split = 'train'").groupBy("label").agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonemill.functions.text import add_text_features, strip
-from tonemill.functions.tokens import build_stopwords
+from tonemill.functions.tokens import build_stopwords, stopword_table
 from tonemill.operators import ngrams, profile
 from tonemill.runtime import work_table
 from tonemill.sinks import writers
@@ -35,10 +35,13 @@ def profile_corpora(
     key: str,
     top_k: int = 20,
     remove_stopwords: bool = False,
-    extra_stopwords: Iterable[str] = (),
+    extra_stopwords: Iterable[str] | DataFrame = (),
 ) -> Profile:
     """Profile corpora with (key, text, label). One scan fills the length table all statistics come from."""
-    stop = build_stopwords(remove_stopwords, extra_stopwords)
+    if isinstance(extra_stopwords, DataFrame):
+        stop = stopword_table(extra_stopwords.sparkSession, remove_stopwords, extra_stopwords)
+    else:
+        stop = build_stopwords(remove_stopwords, extra_stopwords)
     lengths, texts = None, None
     for name, df in corpora.items():
         filled = F.coalesce("text", F.lit(""))

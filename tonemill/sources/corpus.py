@@ -29,13 +29,7 @@ def load_texts(
     return number_file_rows(combined, "row_number", order=["_part"]).drop("_part")
 
 
-def load_stopwords(spark: SparkSession, path: str | None) -> list[str]:
-    """Extra stop-words, one per line. The list parameterises expressions, so it is size-checked."""
-    if not path:
-        return []
-    limit = 100_000
-    lines = spark.read.text(path).select(strip(F.col("value")).alias("word")).where("word <> ''")
-    words = [row["word"] for row in lines.distinct().limit(limit + 1).collect()]
-    if len(words) > limit:
-        raise ValueError(f"{path} holds more than {limit} stop-words.")
-    return sorted(words)
+def load_stopwords(spark: SparkSession, path: str) -> DataFrame:
+    """Extra stop-words, one per line, as a table (word) for ``functions.tokens.stopword_table``."""
+    lines = spark.read.text(path).select(F.lower(strip(F.col("value"))).alias("word"))
+    return lines.where("word <> ''").distinct()

@@ -22,16 +22,20 @@ def with_file_position(df: DataFrame) -> DataFrame:
 def number_file_rows(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
     """Number rows 1..N in file order (``order`` ranks files before the path does).
 
-    Only one small row per input split is ordered globally; every row then adds
-    its own position inside the split to the split's offset.
+    Sums run on two levels, over the splits of a file and over the files, so that the only
+    global ordering is of one small row per file; every row then adds its own
+    position inside the split to the offsets. Adaptive execution picks the join.
     """
-    keys = [*(order or []), "_file", "_block"]
-    blocks = df.groupBy(keys).agg(F.min("_seq").alias("_first"), F.count("*").alias("_rows"))
-    before = F.sum("_rows").over(Window.orderBy(keys).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = blocks.select(*keys, "_first", F.coalesce(before, F.lit(0)).alias("_offset"))
-    numbered = df.join(F.broadcast(offsets), keys)
-    return numbered.withColumn(name, F.col("_offset") + F.col("_seq") - F.col("_first") + 1).drop(
-        *FILE_KEYS, "_first", "_offset"
+    files = [*(order or []), "_file"]
+    blocks = df.groupBy(*files, "_block").agg(F.min("_seq").alias("_first"), F.count("*").alias("_rows"))
+    totals = blocks.groupBy(*files).agg(F.sum("_rows").alias("_rows"))
+    before_file = F.sum("_rows").over(Window.orderBy(*files).rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select(*files, F.coalesce(before_file, F.lit(0)).alias("_start"))
+    before_block = F.sum("_rows").over(Window.partitionBy(*files).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.select(*files, "_block", "_first", F.coalesce(before_block, F.lit(0)).alias("_offset")).join(starts, files)
+    numbered = df.join(offsets, [*files, "_block"])
+    return numbered.withColumn(name, F.col("_start") + F.col("_offset") + F.col("_seq") - F.col("_first") + 1).drop(
+        *FILE_KEYS, "_first", "_offset", "_start"
     )
 
 
@@ -39,9 +43,9 @@ def quantile_buckets(df: DataFrame, key: str, buckets: int | None = None) -> Dat
     """Append ``_bucket``: ranges of a numeric key cut at approximate quantiles.
 
     Buckets are even whatever the distribution. By default there is one per
-    million rows, so a bucket stays a small sort at any table size.
+    million rows and 64 at least, so a bucket stays a small sort at any table size.
     """
-    buckets = buckets or min(max(df.count() // 1_000_000, 64), 20_000)
+    buckets = buckets or max(df.count() // 1_000_000, 64)
     keyed = df.withColumn("_key", F.col(key).cast("double"))
     cutter = QuantileDiscretizer(
         numBuckets=buckets, inputCol="_key", outputCol="_bucket", relativeError=1.0 / (4 * buckets)
@@ -59,7 +63,7 @@ def number_rows(df: DataFrame, key: str, name: str, buckets: int | None = None)
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
     return (
         bucketed.withColumn("_rank", rank.cast("long"))
-        .join(F.broadcast(offsets), "_bucket")
+        .join(offsets, "_bucket")
         .withColumn(name, F.col("_offset") + F.col("_rank"))
         .drop("_bucket", "_rank", "_offset")
     )
