@@ -65,7 +65,9 @@ def test_too_few_labels(spark, corpus):
 
 
 def test_gains_of_short_windows():
-    """A window that a dictionary holds is shorter under it, also one of a few bytes."""
-    gains = toxicity.Gains(b"the of and " * 50 + b" scum  idiot ", b"the of and " * 50)
-    assert gains(b" scum ") > 0 and gains(b" idiot ") > 0 and gains(b" the ") == 0
-    assert np.isfinite(gains.features(b"")).all() and len(gains.features(b"")) == len(gains.features(b"a scum, a"))
+    """A window that a dictionary holds is shorter under it, though zstandard leaves blocks of its length alone."""
+    rng = random.Random(1)
+    base = " ".join("".join(rng.choice("etaoinshrd") for _ in range(rng.randint(2, 9))) for _ in range(9000)).encode()
+    gains = toxicity.Gains(base + b" scumbag  pathetic  idiot " + base, base + base)
+    assert gains(b" scumbag ") > 0 and gains(b" pathetic ") > 0 and abs(gains(b" the ")) <= 1
+    assert np.isfinite(gains.features(b"")).all() and len(gains.features(b"")) == len(gains.features(b"a scumbag, a"))
