@@ -169,16 +169,18 @@ def model_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows, duplicates and labels of both domains as report lines, written and read as text."""
+    """Rows and labels of both domains in their reports, and rows in the comparison, written and read as text."""
     docs = I.labelled_documents(spark, sf).select(I.domain(F.col("lang")).alias("dataset"), "text", "label")
     lengths = work_table(profile.length_table(docs, ["dataset", "label"]), "lengths")
     totals = lengths.where(F.col("feature") == profile.LENGTHS[0]).groupBy("dataset", "label").agg(F.sum("n").alias("count"))
     everything = totals.groupBy("dataset").agg(F.sum("count").alias("all"))
     shares = totals.join(everything, "dataset").select("dataset", "label", "count", F.round(F.col("count") / F.col("all"), 4).alias("ratio"))
-    path = _folder(spark, "report")
-    writers.write_report(writers.report_lines(profile.summary_rows(lengths, ["dataset"]), shares, "dataset"), "dataset", path)
-    lines = spark.read.text(path).select("dataset", F.col("value").alias("line"))
-    return lines.where("line LIKE '- Rows: %' OR line LIKE '- positive: %' OR line LIKE '- neutral: %' OR line LIKE '- negative: %'")
+    summary = profile.summary_rows(lengths, ["dataset"])
+    reports, comparison = _folder(spark, "report"), _folder(spark, "comparison")
+    writers.write_report(writers.report_lines(summary, shares, "dataset"), "dataset", reports)
+    writers.write_report(writers.comparison_lines(summary, "dataset", list(I.DOMAINS)), "dataset", comparison)
+    lines = spark.read.text(reports).unionByName(spark.read.text(comparison)).select("dataset", F.col("value").alias("line"))
+    return lines.where("line LIKE '#%' OR line LIKE '- num rows: %' OR line LIKE '- positive: %' OR line LIKE '- neutral: %' OR line LIKE '- negative: %'")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -224,6 +226,11 @@ ORACLES = {
     "report_files": f"""
         WITH {I.LABELLED}, n AS (SELECT {I.DOMAIN} AS dataset, label, count(*) AS n FROM labelled GROUP BY ALL),
         t AS (SELECT dataset, sum(n)::BIGINT AS total FROM n GROUP BY dataset)
-        SELECT dataset, '- Rows: ' || total AS line FROM t
-        UNION ALL SELECT dataset, printf('- %s: %d (%.2f%%)', label, n, round(n / total, 4) * 100) FROM n JOIN t USING (dataset)""",
+        SELECT dataset, '- num rows: ' || total AS line FROM t
+        UNION ALL SELECT dataset, printf('- %s: %d rows, %.2f%%', label, n, round(n / total, 4) * 100) FROM n JOIN t USING (dataset)
+        UNION ALL SELECT dataset, unnest(['# ' || dataset, '## Statistics', '## Labels']) FROM t
+        UNION ALL SELECT 'en and other', '# en and other'
+        UNION ALL SELECT 'en and other', printf('- num rows: en %d, other %d; most in %s', e.total, o.total,
+                         CASE WHEN e.total = o.total THEN 'en, other' WHEN e.total > o.total THEN 'en' ELSE 'other' END)
+        FROM t e, t o WHERE e.dataset = 'en' AND o.dataset = 'other'""",
 }

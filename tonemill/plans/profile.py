@@ -89,7 +89,7 @@ def features_of(df: DataFrame) -> list[str]:
 
 
 def write_profile(result: Profile, path: str) -> None:
-    """Tables as CSV, report lines as Markdown, the comparison as one wide CSV."""
+    """Tables as CSV, report lines as Markdown, the comparison as one wide CSV and as Markdown."""
     writers.write_csv(result.distribution.orderBy(CORPUS, F.desc("count")), f"{path}/label_distribution")
     writers.write_csv(result.by_label.orderBy(CORPUS, "label", "feature"), f"{path}/length_by_label")
     writers.write_csv(result.histogram.orderBy(CORPUS, "feature", "bin"), f"{path}/histogram")
@@ -104,3 +104,4 @@ def write_profile(result: Profile, path: str) -> None:
     writers.write_report(writers.report_lines(result.summary, result.distribution, CORPUS, result.columns), CORPUS, f"{path}/report")
     names = list(result.top_ngrams)
     writers.write_csv(profile.compare(result.summary, CORPUS, names).orderBy("stat"), f"{path}/comparison")
+    writers.write_report(writers.comparison_lines(result.summary, CORPUS, names), CORPUS, f"{path}/comparison_report")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonemill import constants as C
 from tonemill.operators.linear import TermModel
-from tonemill.operators.profile import LENGTHS
 
 
 def write_splits(df: DataFrame, path: str, fmt: str = "parquet", split: str = "split") -> None:
@@ -47,61 +47,61 @@ def write_json(documents: DataFrame, path: str) -> None:
     writer.json(path)
 
 
+def _said(value: Column) -> Column:
+    """Whole numbers without a point."""
+    return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
+
+
+def _numbered(lines: DataFrame, corpus: str) -> DataFrame:
+    """Lines in the order of section and place; a corpus has a few dozen."""
+    order = Window.partitionBy(corpus).orderBy("section", "place", "line")
+    return lines.select(corpus, (F.row_number().over(order) - 1).alias("position"), "line")
+
+
 def report_lines(
     summary: DataFrame, distribution: DataFrame, corpus: str, columns: Mapping[str, list[str]] | None = None
 ) -> DataFrame:
-    """(corpus, position, line): one Markdown line per statistic.
+    """(corpus, position, line): a Markdown line for each statistic and each label of a corpus.
 
     ``summary`` is (corpus, stat, value), ``distribution`` is (corpus, label, count,
     ratio), ``columns`` names the columns of each corpus.
     """
-    names = F.lit(None).cast("string")
-    for name, listed in (columns or {}).items():
-        names = F.when(F.col(corpus) == name, F.lit(", ".join(listed))).otherwise(names)
-    stats = summary.groupBy(corpus).agg(F.map_from_entries(F.collect_list(F.struct("stat", "value"))).alias("_s"))
-    labels = distribution.groupBy(corpus).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    (-F.col("count")).alias("_o"),
-                    F.format_string(
-                        "- %s: %d (%.2f%%)", F.coalesce("label", F.lit("None")), F.col("count"), F.col("ratio") * 100
-                    ).alias("line"),
-                )
-            )
-        ).alias("_l")
+    title = F.array(
+        F.struct(F.lit(0).alias("section"), F.lit(0.0).alias("place"), F.concat(F.lit("# "), corpus).alias("line")),
+        F.struct(F.lit(2).alias("section"), F.lit(0.0).alias("place"), F.lit("## Statistics").alias("line")),
+        F.struct(F.lit(4).alias("section"), F.lit(0.0).alias("place"), F.lit("## Labels").alias("line")),
     )
-
-    def stat(name: str) -> Column:
-        return F.try_element_at("_s", F.lit(name))
-
-    def whole(title: str, name: str) -> Column:
-        return F.format_string(f"- {title}: %d", stat(name).cast("long"))
-
-    def pair(title: str, first: str, second: str, fmt: str = "%s") -> Column:
-        kind = "long" if fmt == "%d" else "string"
-        return F.format_string(f"- {title}: {fmt} / {fmt}", stat(first).cast(kind), stat(second).cast(kind))
-
-    lines = [
-        F.format_string("# %s Corpus Profile", F.upper(corpus)),
-        whole("Rows", "num_rows"),
-        F.concat(F.lit("- Columns: "), F.coalesce(names, F.lit("-"))),
-        whole("Empty text rows", "empty_text_rows"),
-        whole("Duplicate rows", "duplicate_rows"),
-        whole("Duplicate texts", "duplicate_texts"),
-        whole("Parse failures", "parse_failures"),
-    ]
-    for name in LENGTHS:
-        title = name.replace("_", " ").capitalize()
-        lines.append(pair(f"{title} mean / median", f"{name}_mean", f"{name}_median"))
-        lines.append(pair(f"{title} min / max", f"{name}_min", f"{name}_max", "%d"))
-    for pattern in ("url", "ticker", "number", "percent", "replacement_char"):
-        lines.append(whole(f"Rows with {pattern.replace('_', ' ')}", f"rows_with_{pattern}"))
-    joined = stats.join(labels, corpus)
-    every = F.concat(
-        F.array(*lines), F.array(F.lit("## Label Distribution")), F.transform("_l", lambda x: x["line"])
-    )
-    return joined.select(corpus, F.posexplode(every).alias("position", "line"))
+    parts = [
+        summary.select(corpus).distinct().select(corpus, F.inline(title)),
+        summary.select(
+            corpus, F.lit(3).alias("section"), F.lit(0.0).alias("place"),
+            F.concat(F.lit("- "), F.translate("stat", "_", " "), F.lit(": "), F.coalesce(_said(F.col("value")), F.lit("none"))).alias("line"),
+        ),
+        distribution.select(
+            corpus, F.lit(5).alias("section"), (-F.col("count")).cast("double").alias("place"),
+            F.format_string("- %s: %d rows, %.2f%%", F.coalesce("label", F.lit("without a label")), F.col("count"), F.col("ratio") * 100).alias("line"),
+        ),
+    ]
+    listed = [(name, 1, 0.0, "columns " + ", ".join(own)) for name, own in (columns or {}).items()]
+    if listed:
+        parts.append(summary.sparkSession.createDataFrame(listed, f"{corpus} string, section int, place double, line string"))
+    return _numbered(reduce(DataFrame.unionByName, parts), corpus)
+
+
+def comparison_lines(summary: DataFrame, corpus: str, names: list[str]) -> DataFrame:
+    """(corpus, position, line): for each statistic, a line with its value in every corpus, and which has most.
+
+    ``corpus`` holds the names joined, as the report is one document.
+    """
+    values = summary.groupBy("stat").agg(F.map_from_entries(F.collect_list(F.struct(corpus, "value"))).alias("_v"))
+    told = [F.concat(F.lit(f"{n} "), F.coalesce(_said(F.try_element_at("_v", F.lit(n))), F.lit("none"))) for n in names]
+    largest = F.array_max(F.map_values("_v"))
+    most = F.array_join(F.map_keys(F.map_filter("_v", lambda _, v: v == largest)), ", ")
+    whole = " and ".join(names)
+    line = F.concat(F.lit("- "), F.translate("stat", "_", " "), F.lit(": "), F.concat_ws(", ", *told), F.lit("; most in "), F.coalesce(most, F.lit("none")))
+    head = summary.sparkSession.createDataFrame([(whole, 0, 0.0, f"# {whole}")], f"{corpus} string, section int, place double, line string")
+    rows = values.select(F.lit(whole).alias(corpus), F.lit(1).alias("section"), F.lit(0.0).alias("place"), line.alias("line"))
+    return _numbered(head.unionByName(rows), corpus)
 
 
 def write_report(lines: DataFrame, corpus: str, path: str) -> None:

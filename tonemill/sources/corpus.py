@@ -11,7 +11,7 @@ from tonemill.sources.numbering import number_file_rows, with_file_position
 
 
 def load_texts(
-    spark: SparkSession, paths: list[str], text_column: str = "text", multi_line: bool = True
+    spark: SparkSession, paths: list[str], text_column: str = "text", multi_line: bool | None = None
 ) -> DataFrame:
     """(row_number, text): nulls and blanks dropped, numbered in path order then file order."""
     parts = []

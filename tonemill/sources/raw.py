@@ -52,7 +52,7 @@ def load_delimited(
 
 
 def load_split_csvs(
-    spark: SparkSession, paths: Mapping[str, str], dataset: str, multi_line: bool = True
+    spark: SparkSession, paths: Mapping[str, str], dataset: str, multi_line: bool | None = None
 ) -> DataFrame:
     """One CSV per named split -> union tagged with dataset, split, source_file, row_number."""
     parts = [
