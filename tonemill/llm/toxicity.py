@@ -24,6 +24,7 @@ TYPICAL, SHARE, LEAST_DOCS = 10.0, 0.007, 3
 #: zstandard gives up on short blocks and doesn't search their last eight bytes: a run on both sides changes that.
 RUN = b"0" * 24
 CUT = 0.7
+CALIBRATION_PARTS, SHRINK, LEAST_FOUND = 5, 1.0, 5
 CACHED = 500_000
 _LOW, _HIGH = -3, 9
 
@@ -105,7 +106,7 @@ def _per_text(gains_of, model_bytes):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 50) -> np.ndarray:
     z, w = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -126,9 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     often than the other one train its own part, which is laid behind a part
     trained on ordinary running text, the same for both, so that ordinary
     windows compress alike. The others calibrate: a logistic law over a text's
-    window gains, moved such that CUT is where the F1 score is best. Without
-    documents of both classes the model gives every text the rate of the toxic
-    class, below CUT.
+    window gains, moved such that CUT is where the F1 score is best; too few toxic
+    texts to tell leave all texts below CUT. Without documents of both classes
+    the model gives every text the rate of the toxic class, below CUT.
     """
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1))
     chosen = F.broadcast(_sample(labelled, {1: MAX_TOXIC, 0: MAX_ORDINARY}))  # MAX_TOXIC + MAX_ORDINARY ids at most
@@ -179,20 +180,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = held_out.mapInArrow(_per_text(Gains, (toxic, plain)), "toxic int, features array<double>").collect()
     x, y = np.array([r["features"] for r in rows]), np.array([r["toxic"] for r in rows], dtype=float)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights = _logistic((x - mean) / scale, y)
-    logits = np.c_[(x - mean) / scale, np.ones(len(x))] @ weights
-    weights[-1] += np.log(CUT / (1 - CUT)) - _best_cut(logits, y)
+    weights, cut = _calibrated((x - mean) / scale, y)
+    weights[-1] += np.log(CUT / (1 - CUT)) - cut
     return Model(toxic, plain, mean, scale, weights)
 
 
-def _best_cut(logits: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap below the last accepted text at the best F1 score."""
+def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights, and the logit above which a text counts as toxic.
+
+    Few toxic texts are trusted less: they shrink the weights more. The limit is where texts, each
+    scored by weights fitted without it, have the best F1 score; where that finds
+    fewer than LEAST_FOUND toxic texts, or more ordinary ones than them, it lies above all texts.
+    """
+    ridge = max(1e-2, SHRINK / max(1.0, y.sum()))
+    weights = _logistic(x, y, ridge)
+    part = np.empty(len(y), dtype=int)
+    for value in (0, 1):
+        own = np.flatnonzero(y == value)
+        part[own] = np.arange(len(own)) % CALIBRATION_PARTS
+    logits = np.empty(len(y))
+    for k in range(CALIBRATION_PARTS):
+        others = part != k
+        logits[~others] = np.c_[x[~others], np.ones((~others).sum())] @ _logistic(x[others], y[others], ridge)
     order = np.argsort(-logits, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    best = int(np.argmax(f1))
+    hit, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    best = int(np.argmax(2 * hit / (n + y.sum())))
+    if hit[best] < LEAST_FOUND or 2 * hit[best] < n[best]:
+        return weights, float(max(logits.max(), (np.c_[x, np.ones(len(x))] @ weights).max())) + 1
     after = logits[order[best + 1]] if best + 1 < len(y) else logits[order[best]] - 1
-    return float((logits[order[best]] + after) / 2)
+    return weights, float((logits[order[best]] + after) / 2)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
