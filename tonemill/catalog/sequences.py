@@ -62,7 +62,7 @@ def _joined(array: str) -> Column:
 def encode_fixed_length(spark: SparkSession, sf: str) -> DataFrame:
     docs = I.labelled_documents(spark, sf)
     words = encoding.fit_word_ids(I.table(spark, sf, "documents"), WORDS)
-    encoded = encoding.encode(docs, ["doc_id"], words, LENGTH, carry=["label"])
+    encoded = encoding.encode(docs, ["doc_id"], words, LENGTH, carry=["label"], max_words=WORDS)
     return encoded.select(
         "doc_id", encoding.label_ids(F.col("label")).alias("label_id"), _joined("input_ids"), _joined("attention_mask")
     )
@@ -71,7 +71,7 @@ def encode_fixed_length(spark: SparkSession, sf: str) -> DataFrame:
 def mask_tokens(spark: SparkSession, sf: str) -> DataFrame:
     docs = I.table(spark, sf, "documents")
     words = work_table(encoding.fit_word_ids(docs, WORDS), "words")
-    encoded = encoding.encode(docs, ["doc_id"], words, LENGTH)
+    encoded = encoding.encode(docs, ["doc_id"], words, LENGTH, max_words=WORDS)
     masked = encoding.mask_tokens(encoded, "doc_id", words.count() + C.FIRST_WORD_ID)
     return masked.select("doc_id", _joined("input_ids"), _joined("targets"))
 

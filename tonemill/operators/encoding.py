@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonemill import constants as C
+from tonemill.operators.tfidf import bounded
 
 # Words are runs of word characters; any other visible character is its own token.
 TOKEN = rf"[{C.WORD}]+|[^{C.WORD}{C.WS}]"
@@ -30,17 +31,21 @@ def encode(
     max_length: int = 128,
     carry: list[str] | None = None,
     text: str = "text",
+    max_words: int | None = None,
 ) -> DataFrame:
     """(keys..., carry..., input_ids, attention_mask), both of exactly ``max_length``.
 
     Start and end markers enclose the text's first ``max_length - 2`` tokens,
-    padding fills the rest, unknown words get the unknown id. The optimizer
-    broadcasts ``words`` when it is small and splits frequent words when it is not.
+    padding fills the rest, unknown words get the unknown id. Token arrays are
+    dealt by key once; where ``max_words`` bounds ``words`` they are broadcast, and
+    the tokens of a text come together again without a further exchange. Otherwise
+    adaptive execution picks the join and splits frequent words.
     """
     carry = carry or []
     head = F.slice(word_tokens(F.col(text)), 1, max_length - 2)
-    tokens = df.select(*keys, *carry, F.posexplode_outer(head).alias("_pos", "_word"))
-    renamed = words.select(F.col("word").alias("_word"), F.col("id").alias("_id"))
+    dealt = df.select(*keys, *carry, head.alias("_head")).repartition(*keys)
+    tokens = dealt.select(*keys, *carry, F.posexplode_outer("_head").alias("_pos", "_word"))
+    renamed = bounded(words.select(F.col("word").alias("_word"), F.col("id").alias("_id")), max_words)
     looked_up = tokens.join(renamed, "_word", "left")
     entry = F.when(
         F.col("_word").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(C.UNK_ID)).alias("id"))
@@ -76,14 +81,17 @@ def mask_tokens(
     the ignored value elsewhere; special ids and padding are never selected.
     The draw hashes (seed, key, position), so it is the same on every run.
     """
+
+    def word(x: Column) -> Column:
+        return (x >= C.FIRST_WORD_ID) | (x == C.UNK_ID)
+
     draws = F.transform(
         "input_ids",
-        lambda x, i: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string"))),
+        lambda x, i: F.when(word(x), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")))),
     )
 
     def selected(x: Column, draw: Column) -> Column:
-        word = (x >= C.FIRST_WORD_ID) | (x == C.UNK_ID)
-        return word & (F.substring(draw, 1, 8) < _hex(probability))
+        return word(x) & (F.substring(draw, 1, 8) < _hex(probability))
 
     def replaced(x: Column, draw: Column) -> Column:
         action = F.substring(draw, 9, 8)

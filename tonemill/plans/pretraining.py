@@ -26,7 +26,7 @@ def masked_corpus(
     words = work_table(encoding.fit_word_ids(texts, max_words), "words")
     size = words.count() + C.FIRST_WORD_ID
     divided = splits.head_tail_split(texts, key, val_ratio)
-    encoded = encoding.encode(divided, [key], words, max_length, carry=["split"])
+    encoded = encoding.encode(divided, [key], words, max_length, carry=["split"], max_words=max_words)
     return encoding.mask_tokens(encoded, key, size, probability, seed)
 
 
