@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from functools import reduce
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -27,36 +28,51 @@ class _Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes; one in each Python worker.
 
     With ``words_apart`` the tokenizer is known to treat a text between blanks and
-    line feeds by itself, so that ids of a text are those of its pieces, of which
-    the frequent ones are kept. Pieces of plain letters go to the model directly.
+    line feeds by itself, letters apart from points and commas, and to lower its case,
+    so that ids of a text are those of its pieces, of which the frequent ones are
+    kept. Pieces of Latin letters go to the model directly, in its byte alphabet.
     """
 
     def __init__(self, definition: str, words_apart: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.words_apart, self.known = words_apart, {}
+        self.words_apart, self.known, self.letters = words_apart, {}, {}
+        self.alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def piece(self, text: str) -> bytes:
-        if text.isascii() and text.isalpha():
-            ids = [t.id for t in self.tokenizer.model.tokenize(text.lower())]
+        word = text.rstrip(".,")
+        if word != text and word[-1:].lower().isalpha() and word[-1] < "\u0250":
+            return self.kept(word) + self.kept(text[len(word) :])
+        lower = text.lower()
+        if text.isalpha() and (text.isascii() or max(text) < "\u0250" and lower.isalpha() and is_normalized("NFC", text)):
+            ids = [t.id for t in self.tokenizer.model.tokenize(lower if text.isascii() else "".join(map(self.letter, lower)))]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
+    def letter(self, letter: str) -> str:
+        if letter not in self.letters:
+            self.letters[letter] = self.alphabet.pre_tokenize_str(letter)[0][0]
+        return self.letters[letter]
+
+    def kept(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.piece(word)
+            if len(self.known) >= CACHED_WORDS:
+                self.known.clear()
+            if len(word) <= 40:
+                self.known[word] = ids
+        return ids
+
     def __call__(self, text: str) -> bytes:
         if not self.words_apart:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         out, known = [], self.known
         for word in text.replace("\n", " ").split(" "):
             ids = known.get(word)
-            if ids is None:
-                ids = self.piece(word)
-                if len(known) >= CACHED_WORDS:
-                    known.clear()
-                if len(word) <= 40:
-                    known[word] = ids
-            out.append(ids)
+            out.append(self.kept(word) if ids is None else ids)
         return b"".join(out)
 
 
