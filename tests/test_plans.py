@@ -135,7 +135,7 @@ def test_profile(spark, tmp_path):
     assert report.startswith("# a\n") and "- num rows: 3" in report and "- pos: 2 rows, 66.67%" in report and "- rows with ticker: 1" in report
     told = "".join(p.read_text() for p in Path(tmp_path / "eda" / "comparison_report").rglob("part-*"))
     assert told.startswith("# a and b\n") and "- num rows: a 3, b 2; most in a" in told
-    assert "- Columns: k, text, label, text_stripped" in report and "- Duplicate texts: 0" in report
+    assert "- columns: k, text, label, text_stripped" in report and "- duplicate texts: 0" in report
     comparison = {r.stat: (r.a, r.b) for r in spark.read.csv(str(tmp_path / "eda" / "comparison"), header=True).collect()}
     assert comparison["num_rows"] == ("3.0", "2.0") and comparison["char_length_max"] == ("18.0", "4.0")
     top = spark.read.csv(str(tmp_path / "eda" / "top_ngrams" / "a"), header=True).where("size = 1").first()

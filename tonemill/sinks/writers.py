@@ -82,7 +82,7 @@ def report_lines(
             F.format_string("- %s: %d rows, %.2f%%", F.coalesce("label", F.lit("without a label")), F.col("count"), F.col("ratio") * 100).alias("line"),
         ),
     ]
-    listed = [(name, 1, 0.0, "columns " + ", ".join(own)) for name, own in (columns or {}).items()]
+    listed = [(name, 1, 0.0, "- columns: " + ", ".join(own)) for name, own in (columns or {}).items()]
     if listed:
         parts.append(summary.sparkSession.createDataFrame(listed, f"{corpus} string, section int, place double, line string"))
     return _numbered(reduce(DataFrame.unionByName, parts), corpus)
