@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonemill.runtime import work_table
+
 SITES = 10
 SKETCH_ERROR = 0.1
 
@@ -38,7 +40,8 @@ def spread_lines(docs: DataFrame, text_col: str = "text", site_col: str = "sourc
         F.approx_count_distinct("site", SKETCH_ERROR).alias("sites"), F.approx_count_distinct("digest", SKETCH_ERROR).alias("texts")
     )
     least = F.least("sites", "texts")
-    sketched = sketched.filter(least >= min_sites / 2).select("line", least.alias("least"))
+    # Stored: sketches are then made once, and the joins below read plain tables, which Spark can split at a hot line.
+    sketched = work_table(sketched.filter(least >= min_sites / 2).select("line", least.alias("least")), "spread-lines")
     near = sketched.filter(F.col("least") <= 2 * min_sites).select("line")
     exact = (
         lines.join(near, "line", "left_semi")
