@@ -45,7 +45,7 @@ def spread_lines(docs: DataFrame, text_col: str = "text", site_col: str = "sourc
     near = sketched.filter(F.col("least") <= 2 * min_sites).select("line")
     exact = (
         lines.join(near, "line", "left_semi")
-        .repartition("digest")  # a line of many rows on few sites is dealt out, and combined before it meets itself
+        .hint("rebalance")  # a line of many rows on few sites is dealt out evenly, and combined before it meets itself
         .groupBy("line")
         .agg(F.count_distinct("site").alias("sites"), F.count_distinct("digest").alias("texts"))
         .filter((F.col("sites") >= min_sites) & (F.col("texts") >= min_sites))
