@@ -71,6 +71,7 @@ def remove_boilerplate(
         .groupBy(F.col("digest").alias("_digest"))
         .agg(F.collect_set("line").alias("_spread"))
     )
+    per_text = work_table(per_text, "spread-of-texts")  # stored, so that the join below can be split at a text with many copies
     lines = F.split(text_col, "\n", -1)
     kept = F.filter(lines, lambda x: ~F.array_contains("_spread", _hash(x)) | (F.trim(x) == ""))
     found = F.col("_spread").isNotNull()
