@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tonemill.llm import sharding
-from tonemill.llm.bins import CapacityTree, best_fit_decreasing
+from tonemill.llm.bins import CapacityTree, best_fit_decreasing, level_fill
 
 
 def plain_best_fit(sizes, capacity):
@@ -95,3 +95,20 @@ def test_few_rows_and_none(spark):
     assert shards(spark, [], 24) == []
     load = check([(1, "a", None), (1, "a", None), (2, None, None)], shards(spark, [(1, "a", None), (1, "a", None), (2, None, None)], 3), 3)
     assert sum(load.values()) == 9 + 9 + 8
+
+
+def test_a_group_of_a_third_of_all_bytes_empties_no_shard(spark):
+    rng = random.Random(2)
+    rows = [(i, f"{i} " + "x" * rng.randint(60, 120), "x") for i in range(2400)]
+    one = sum(len(t) + 8 for _, t, _ in rows) // 2 // 100
+    rows += [(5000 + i, "c" * 92, "x") for i in range(one)]
+    rows += [(9000 + i, "d" * 192, "x") for i in range(one // 10)]  # above the equal share of the others only
+    load = sorted(check(rows, shards(spark, rows, 24), 24).values())
+    assert len(load) == 24 and load[-1] == one * 100 and load[-2] == one // 10 * 200
+    assert load[-3] - load[0] <= 0.02 * load[-3]
+
+
+def test_overfull_bins_are_left_out_of_the_share():
+    sizes = np.array([60] * 36 + [1] * 240)  # 24 bins: 12 hold two of the large ones
+    load = np.bincount(level_fill(sizes, 24), weights=sizes, minlength=24)
+    assert sorted(load.tolist()) == [80] * 12 + [120] * 12

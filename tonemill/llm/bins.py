@@ -86,3 +86,24 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int, fixed_bins: int | None
         if load[number] < capacity:
             tree.add(capacity - load[number], number)
     return out
+
+
+def level_fill(sizes: np.ndarray, n_bins: int, slack: int = 0) -> np.ndarray:
+    """The bin of each size: best-fit-decreasing into ``n_bins`` of near equal load.
+
+    The capacity is an equal share. Bins that end more than ``slack`` above it are closed with what they
+    hold, and the rest is packed anew into the others by their equal share, until no bin is.
+    """
+    sizes = np.asarray(sizes, dtype=np.int64)
+    out, left, bins = np.zeros(len(sizes), dtype=np.int64), np.arange(len(sizes)), np.arange(n_bins)
+    while len(left):
+        capacity = max(1, -(-int(sizes[left].sum()) // len(bins)))
+        number = best_fit_decreasing(sizes[left], capacity, len(bins))
+        out[left] = bins[number]
+        load = np.zeros(len(bins), dtype=np.int64)
+        np.add.at(load, number, sizes[left])
+        over = load > capacity + slack
+        if not over.any():
+            break
+        left, bins = left[~over[number]], bins[~over]
+    return out

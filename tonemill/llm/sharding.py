@@ -7,19 +7,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonemill.llm.bins import best_fit_decreasing
+from tonemill.llm.bins import best_fit_decreasing, level_fill
 from tonemill.llm.common import scalars
 from tonemill.runtime import work_table
 
 PER_PART = 100_000
 
 
-def _pack(items: DataFrame, parts: int, capacity: int, fixed_bins: int | None = None) -> DataFrame:
-    """(item, bin) of (item, size): each of the parts is packed by itself."""
+def _pack(items: DataFrame, parts: int, capacity: int, fixed_bins: int | None = None, slack: int = 0) -> DataFrame:
+    """(item, bin) of (item, size): each of the parts is packed by itself, into ``fixed_bins`` of near equal load if given."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "item"], ascending=[False, True], kind="stable")
-        number = best_fit_decreasing(pdf["size"].to_numpy(), capacity, fixed_bins)
+        sizes = pdf["size"].to_numpy()
+        number = level_fill(sizes, fixed_bins, slack) if fixed_bins else best_fit_decreasing(sizes, capacity)
         return pd.DataFrame({"item": pdf["item"], "bin": pdf["part"].to_numpy() * np.int64(1 << 32) + number})
 
     part = F.pmod(F.xxhash64("item"), F.lit(parts)).cast("long")
@@ -29,17 +30,27 @@ def _pack(items: DataFrame, parts: int, capacity: int, fixed_bins: int | None =
 def shard_groups(groups: DataFrame, n_shards: int, fineness: int = 256) -> DataFrame:
     """(item, shard) of (item, size): indivisible groups into shards of near equal size.
 
-    Groups are packed into parcels of 1/``fineness`` of a shard at most, within
+    A group above an equal share has a shard of its own, and the share is that of the other groups in the other
+    shards, until none is above it. These groups are packed into parcels of 1/``fineness`` of a share at most, within
     parts of 100,000 groups at most by expectation, and the parcels into larger
     ones while there are more of them than one part takes; larger groups are
     parcels by themselves. Then the parcels are packed into the shards. No step sees
-    more than a part, and sizes end within about a parcel of each other unless a
-    single group is larger than a shard, which then has a shard of its own.
+    more than a part, and sizes end within about a parcel of each other unless single
+    groups are larger than a parcel; shards that these overfill are left out of the others' share.
     """
+    groups = work_table(groups.select("item", "size"), "shard-groups")
     total = scalars(groups.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")))
-    capacity = max(1, -(-total["size"] // n_shards))
-    chain, items, n = [], groups, total["n"]
-    parcel = max(1, capacity // fineness)
+    left, alone = total["size"], []
+    for row in groups.orderBy(F.desc("size"), "item").limit(n_shards).collect():  # n_shards groups at most
+        if row["size"] <= max(1, -(-left // (n_shards - len(alone)))):
+            break
+        left -= row["size"]
+        alone.append((row["item"], len(alone)))
+    capacity = max(1, -(-left // (n_shards - len(alone))))
+    own = groups.sparkSession.createDataFrame(alone, "item string, shard int")
+    others = groups.join(F.broadcast(own), "item", "left_anti") if alone else groups
+    chain, items, n = [], others, total["n"] - len(alone)
+    first = parcel = max(1, capacity // fineness)
     while not chain or n > PER_PART:
         bins = work_table(_pack(items, max(1, -(-n // PER_PART)), parcel), "shard-parcels")
         name = F.concat(F.lit(f"{len(chain)}-"), F.col("bin").cast("string"))
@@ -50,10 +61,10 @@ def shard_groups(groups: DataFrame, n_shards: int, fineness: int = 256) -> DataF
             parcel *= 2
         if parcel > capacity:
             break
-    shards = _pack(items, 1, capacity, n_shards)
+    shards = _pack(items, 1, capacity, n_shards - len(alone), first)
     for level in reversed(chain):
         shards = level.join(shards.withColumnRenamed("item", "parcel"), "parcel").select("item", "bin")
-    return shards.select("item", F.col("bin").cast("int").alias("shard"))
+    return shards.select("item", (F.col("bin") + len(alone)).cast("int").alias("shard")).union(own)
 
 
 def shard_documents(
