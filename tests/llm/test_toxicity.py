@@ -71,3 +71,24 @@ def test_gains_of_short_windows():
     gains = toxicity.Gains(base + b" scumbag  pathetic  idiot " + base, base + base)
     assert gains(b" scumbag ") > 0 and gains(b" pathetic ") > 0 and abs(gains(b" the ")) <= 1
     assert np.isfinite(gains.features(b"")).all() and len(gains.features(b"")) == len(gains.features(b"a scumbag, a"))
+
+
+def test_the_cut_does_not_follow_the_sampled_mix(spark, monkeypatch):
+    """A bound on ordinary labels changes what the calibration sees, not what its rows stand for."""
+    rng = np.random.default_rng(5)
+    y = np.r_[np.ones(400), np.zeros(8000)]
+    x = rng.normal(size=(len(y), 2)) + 1.6 * y[:, None]
+    kept = np.r_[np.arange(400), np.arange(400, len(y), 16)]
+    cuts = []
+    for rows, weight in ((np.arange(len(y)), np.ones(len(y))), (kept, np.where(y[kept] == 1, 1.0, 16.0))):
+        w, cut = toxicity._calibrated(x[rows], y[rows], weight)
+        cuts.append(float(np.mean(np.c_[x, np.ones(len(x))] @ w >= cut)))
+    assert cuts[1] == pytest.approx(cuts[0], rel=0.35)
+
+    seen = []
+    monkeypatch.setattr(toxicity, "MAX_ORDINARY", 60)
+    monkeypatch.setattr(toxicity, "_calibrated", lambda x, y, weight=None: seen.append((y, weight)) or (np.zeros(x.shape[1] + 1), 0.0))
+    docs = spark.createDataFrame([(i, f"word{i % 7} " + ("blockhead" if i % 4 == 0 else "kind"), "x", None) for i in range(400)], SCHEMA)
+    toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    y, weight = seen[0]
+    assert set(weight[y == 1]) == {1.0} and set(weight[y == 0]) == {5.0}

@@ -106,12 +106,14 @@ def _per_text(gains_of, model_bytes):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, weight: np.ndarray | None = None, steps: int = 50) -> np.ndarray:
     z, w = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
+    each = np.ones(len(y)) if weight is None else weight
+    each = each / each.sum()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        slope = z.T @ (p - y) / len(y) + ridge * np.r_[w[:-1], 0]
-        curve = (z * (p * (1 - p))[:, None]).T @ z / len(y) + np.diag(np.r_[np.full(len(w) - 1, ridge), 1e-9])
+        slope = z.T @ (each * (p - y)) + ridge * np.r_[w[:-1], 0]
+        curve = (z * (each * p * (1 - p))[:, None]).T @ z + np.diag(np.r_[np.full(len(w) - 1, ridge), 1e-9])
         step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -127,12 +129,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     often than the other one train its own part, which is laid behind a part
     trained on ordinary running text, the same for both, so that ordinary
     windows compress alike. The others calibrate: a logistic law over a text's
-    window gains, moved such that CUT is where the F1 score is best; too few toxic
+    window gains, moved such that CUT is where the F1 score is best, both with each text counted by the
+    inverse of its class's sampling rate, so that the bounds don't move the cut; too few toxic
     texts to tell leave all texts below CUT. Without documents of both classes
     the model gives every text the rate of the toxic class, below CUT.
     """
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1))
-    chosen = F.broadcast(_sample(labelled, {1: MAX_TOXIC, 0: MAX_ORDINARY}))  # MAX_TOXIC + MAX_ORDINARY ids at most
+    most = {1: MAX_TOXIC, 0: MAX_ORDINARY}
+    chosen = F.broadcast(_sample(labelled, most))  # MAX_TOXIC + MAX_ORDINARY ids at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
     texts = texts.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(3))).select("toxic", "fold", "text")
     trained = texts.filter(F.col("fold") > 0)
@@ -179,21 +183,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     held_out = texts.filter("fold = 0").select(F.col("toxic").cast("int"), "text")
     rows = held_out.mapInArrow(_per_text(Gains, (toxic, plain)), "toxic int, features array<double>").collect()
     x, y = np.array([r["features"] for r in rows]), np.array([r["toxic"] for r in rows], dtype=float)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights, cut = _calibrated((x - mean) / scale, y)
+    labels_of = {r["toxic"]: r["n"] for r in labelled.select("id", F.col("toxic").cast("int").alias("toxic")).distinct().groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    weight = np.array([max(1.0, labels_of[int(t)] / most[int(t)]) for t in y])
+    mean = np.average(x, axis=0, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)) + 1e-9
+    weights, cut = _calibrated((x - mean) / scale, y, weight)
     weights[-1] += np.log(CUT / (1 - CUT)) - cut
     return Model(toxic, plain, mean, scale, weights)
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights, and the logit above which a text counts as toxic.
+def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights, and the logit above which a text counts as toxic; ``weight`` is how many texts a row stands for.
 
     Few toxic texts are trusted less: they shrink the weights more. The limit is where texts, each
     scored by weights fitted without it, have the best F1 score; where that finds
     fewer than LEAST_FOUND toxic texts, or more ordinary ones than them, it lies above all texts.
     """
     ridge = max(1e-2, SHRINK / max(1.0, y.sum()))
-    weights = _logistic(x, y, ridge)
+    weight = np.ones(len(y)) if weight is None else weight
+    weights = _logistic(x, y, ridge, weight)
     part = np.empty(len(y), dtype=int)
     for value in (0, 1):
         own = np.flatnonzero(y == value)
@@ -201,11 +209,11 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     logits = np.empty(len(y))
     for k in range(CALIBRATION_PARTS):
         others = part != k
-        logits[~others] = np.c_[x[~others], np.ones((~others).sum())] @ _logistic(x[others], y[others], ridge)
+        logits[~others] = np.c_[x[~others], np.ones((~others).sum())] @ _logistic(x[others], y[others], ridge, weight[others])
     order = np.argsort(-logits, kind="stable")
-    hit, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
-    best = int(np.argmax(2 * hit / (n + y.sum())))
-    if hit[best] < LEAST_FOUND or 2 * hit[best] < n[best]:
+    hit, n = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
+    best = int(np.argmax(2 * hit / (n + (weight * y).sum())))
+    if y[order][: best + 1].sum() < LEAST_FOUND or 2 * hit[best] < n[best]:
         return weights, float(max(logits.max(), (np.c_[x, np.ones(len(x))] @ weights).max())) + 1
     after = logits[order[best + 1]] if best + 1 < len(y) else logits[order[best]] - 1
     return weights, float((logits[order[best]] + after) / 2)
