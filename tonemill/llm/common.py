@@ -72,3 +72,16 @@ def starts_of(*columns: np.ndarray) -> np.ndarray:
 def scalars(df: DataFrame) -> dict:
     """The only row of an ungrouped aggregate."""
     return df.first().asDict()
+
+
+def text_slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch with at most ``most`` bytes of text each; a longer text is a range of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+    begin, held = 0, 0
+    for row, size in enumerate(sizes.tolist()):
+        if row > begin and held + size > most:
+            yield begin, row
+            begin, held = row, 0
+        held += size
+    if begin < batch.num_rows:
+        yield begin, batch.num_rows

@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import chat, decontamination, embedding, line_dedup, packing, sharding, simhash, suffix_tree, toxicity, url_filter
+from tonemill.llm import (
+    chat, collocations, decontamination, embedding, fingerprints, importance, line_dedup, packing, sharding, simhash, suffix_tree, toxicity, url_filter,
+)
 from tonemill.llm.common import in_fold
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -98,8 +100,22 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_definition(), words_apart=True)
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_sharding, op3_toxicity, op4_line_dedup, op5_embedding, op6_suffix_tree, op7_simhash, op8_chat, op9_decontamination, op10_packing,
+    op11_importance, op12_fingerprints, op13_collocations,
 )}
 
 ORACLES = {
@@ -129,4 +145,38 @@ ORACLES = {
                sum(length('<|im_start|>' || role || chr(10) || escaped || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op11_importance": r"""
+        WITH i AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+        w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM i),
+        f AS (SELECT side, id, unnest(words) AS word FROM w),
+        z AS (SELECT b, list_reduce([b::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc FROM range(256) t(b)),
+        zs AS (SELECT list(crc ORDER BY b) AS crcs FROM z),
+        d AS (SELECT DISTINCT word FROM f),
+        h AS (SELECT word, list_transform(range(1, length(hex(word)), 2), lambda k: ('0x' || substr(hex(word), k, 2))::BIGINT) AS bytes FROM d),
+        c AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda x, y: xor(x >> 8, crcs[(xor(x, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, zs),
+        n AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN c USING (word) GROUP BY bucket),
+        o AS (SELECT sum(s) AS ss, sum(t) AS tt FROM n),
+        g AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (ss + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (tt + 10000)::DOUBLE)))::BIGINT AS gain FROM n, o),
+        v AS (SELECT id, sum(gain)::BIGINT AS weight FROM f JOIN c USING (word) JOIN g USING (bucket) WHERE side = 0 GROUP BY id),
+        u AS (SELECT id AS doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+                     coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+              FROM w LEFT JOIN v USING (id) WHERE side = 0),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS fit FROM u WHERE n_features >= 20)
+        SELECT u.*, CASE WHEN place <= floor(10 * fit / 100) THEN place END AS rank FROM u LEFT JOIN r USING (doc_id)
+    """,
+    "op13_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+        t AS (SELECT lang, sum(len(words)) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) r(k) WHERE len(words) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+        x AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS words FROM f),
+        inside AS (SELECT DISTINCT y.lang, y.phrase FROM x JOIN f y ON x.lang = y.lang AND y.k < x.k AND contains(' ' || x.phrase || ' ', ' ' || y.phrase || ' ') WHERE 100 * x.a >= 100 * y.a),
+        cuts AS (SELECT x.lang, x.phrase, x.a, c.j, array_to_string(words[1:c.j], ' ') AS head, array_to_string(words[c.j + 1:], ' ') AS tail FROM x, range(1, 5) c(j) WHERE x.k > 1 AND c.j < x.k),
+        s AS (SELECT cuts.lang, cuts.phrase, cuts.a, j, l.a AS l, r.a AS r, n, (1000::HUGEINT * cuts.a * n) // (l.a::HUGEINT * r.a) AS score
+              FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = head JOIN f r ON r.lang = cuts.lang AND r.phrase = tail JOIN t ON t.lang = cuts.lang),
+        m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        o AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM m ANTI JOIN inside USING (lang, phrase))
+        SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+    """,
 }
