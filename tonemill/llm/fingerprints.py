@@ -176,7 +176,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("part").over(Window.orderBy("part")), F.last("part").over(order))  # over a row a range
     guests = first_texts.select(before.alias("part"), F.lit(None).cast(docs.schema["id"].dataType).alias("id"), "text", F.lit(True).alias("guest"))
-    both = ranged.select("part", "id", "text", F.lit(False).alias("guest")).unionByName(guests).repartition("part")
+    both = ranged.select("part", "id", "text", F.lit(False).alias("guest")).unionByName(guests)
     both = both.withColumn("digests", paragraph_digests(F.col("text")))
     ahead = Window.partitionBy("part").orderBy("guest", F.asc_nulls_first("id"), "text")
     paired = both.withColumns({"next_text": F.lead("text").over(ahead), "next_digests": F.lead("digests").over(ahead)})
