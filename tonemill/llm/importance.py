@@ -196,7 +196,9 @@ def resample(
     scored = work_table(weighed.withColumn("score", score), "scored")
     fit = F.col("n_words") >= least_words
     drawn = percent * scored.filter(fit).count() // 100
-    ranked = _ranked(scored.filter(fit))
-    ranked = ranked.withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")).cast("long"))
-    rest = scored.filter(~fit).withColumn("rank", F.lit(None).cast("long"))
-    return ranked.unionByName(rest).select(F.col("id").alias(id_col), "n_words", "n_features", "weight", "score", "rank")
+    unranked = scored.withColumn("rank", F.lit(None).cast("long"))
+    if drawn:
+        ranked = _ranked(scored.filter(fit))
+        ranked = ranked.withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")).cast("long"))
+        unranked = ranked.unionByName(unranked.filter(~fit))
+    return unranked.select(F.col("id").alias(id_col), "n_words", "n_features", "weight", "score", "rank")

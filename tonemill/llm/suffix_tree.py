@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.llm.common import scalars, spaced_words, utf8
+from tonemill.llm.common import scalars, spaced_words, text_slices, utf8
 from tonemill.runtime import work_table
 
 #: Words and contexts with their next word are in the tree from this share of all training tokens on, so a
@@ -90,9 +91,16 @@ def place_of(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(known[at] == keys, at, -1)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few megabytes of text, so that few words are held as Python values at a time."""
+    for batch in batches:
+        for low, high in text_slices(batch, "text"):
+            yield batch.slice(low, high - low)
+
+
 def _count_words(train: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             counts: Counter = Counter()
             for text in utf8(batch, "text"):
                 counts.update(spaced_words(text))
@@ -109,7 +117,7 @@ def _count_runs(train: DataFrame, tree: Tree, least: float) -> tuple[np.ndarray,
     def run(batches):
         words, grams = shared.value
         coder = _Coder(words, grams)
-        for batch in batches:
+        for batch in _small(batches):
             numbers, begin, _ = coder.numbers(utf8(batch, "text"))
             longest = coder.runs(numbers, begin)[-1]
             context = np.r_[-1, longest[:-1]][: len(numbers)]
@@ -256,7 +264,7 @@ def scored(docs: DataFrame, tree: Tree, words: DataFrame, carried: list[str], te
     def run(batches):
         tree = shared.value
         coder, task, number = _Coder(tree.words, tree.grams), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in _small(batches):
             texts = utf8(batch, "text")
             if not texts:
                 continue
