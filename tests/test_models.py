@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonemill.operators import linear
+from tonemill.operators import blocks, linear, logistic, svm
 from tonemill.sinks.writers import load_model, save_model
 
 WORDS = "profit loss gain flat strong weak steady market café shares fell rose outlook guidance".split()
@@ -126,12 +126,56 @@ def test_squared_hinge_svm_is_at_the_optimum(train, features):
     assert np.allclose(got, x @ coef.T + bias)
 
 
+def test_many_parts_and_blocks(spark, train, monkeypatch):
+    """Rows in parts of few texts and terms in small blocks: the loss falls, and the certificate bounds the distance to the optimum."""
+    monkeypatch.setattr(blocks, "PART_ROWS", 15)
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    rows = corpus()
+    terms, x = matrix(rows, 2, 40)
+    features = linear.build_features(train, ["id"], CONFIG)
+    assert features.layout.parts.count() > 2 and features.layout.blocks.count() > 1
+    classes = features.classes
+    y = np.array([classes.index(r[2]) for r in rows])
+    weights = list(linear.class_weights(features.counts, "balanced").values())
+    weight = np.array(weights)[y]
+    order = {r.term: r.term_id for r in features.numbered.collect()}
+
+    def dense(vectors):
+        table = {r.term_id: (r.c0, r.c1, r.c2) for r in blocks.term_rows(vectors, 3).collect()}
+        return np.array([table[order[t]] for t in terms]).T
+
+    vectors, bias = logistic.solve(features.layout, 3, weights, CONFIG["C"], max_iter=6)
+    coef = dense(vectors)
+
+    def loss(coef, bias):
+        z = x @ coef.T + bias
+        return CONFIG["C"] * (weight * (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y])).sum() + 0.5 * (coef**2).sum()
+
+    assert loss(coef, bias) < 0.9 * loss(coef * 0, bias * 0)
+    vectors, bias, certificate = svm.solve(features.layout, 3, weights, CONFIG["C"], max_iter=5)
+    coef = dense(vectors)
+    assert certificate.rounds == 5
+    for c in range(3):
+        sign = np.where(y == c, 1.0, -1.0)
+        slack = np.maximum(0, 1 - sign * (x @ coef[c] + bias[c]))
+        primal = 0.5 * (coef[c] @ coef[c] + bias[c] ** 2) + CONFIG["C"] * (weight * slack**2).sum()
+        design = np.c_[x, np.ones(len(y))]
+        point, lowest = np.r_[coef[c], bias[c]], None
+        for _ in range(400):  # Newton steps to the optimum
+            slack = np.maximum(0, 1 - sign * (design @ point))
+            active = slack > 0
+            slope = point - 2 * CONFIG["C"] * design.T @ (weight * slack * sign)
+            point = point - 0.5 * np.linalg.solve(np.eye(len(point)) + 2 * CONFIG["C"] * (design[active].T * weight[active]) @ design[active], slope)
+            lowest = 0.5 * point @ point + CONFIG["C"] * (weight * np.maximum(0, 1 - sign * (design @ point)) ** 2).sum()
+        assert lowest * (1 - 1e-6) <= primal and primal - lowest <= certificate.gap[c] * primal * (1 + 1e-6)
+
+
 def test_two_classes(spark):
     rows = corpus(labels=("negative", "positive"))
     df = spark.createDataFrame(rows, "id long, text string, label string")
     features = linear.build_features(df, ["id"], {"min_df": 1, "ngram_range": [1, 1]})
-    svm = linear.fit(features, {"type": "linear_svm"})
-    scored = linear.score(df, svm, ["id"]).collect()
+    hinge = linear.fit(features, {"type": "linear_svm"})
+    scored = linear.score(df, hinge, ["id"]).collect()
     assert all(abs(r.score_negative + r.score_positive) < 1e-2 and r.score_neutral is None for r in scored)
     logreg = linear.fit(features, {"type": "logreg"})
     for r in linear.score(df, logreg, ["id"]).collect():

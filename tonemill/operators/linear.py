@@ -9,22 +9,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 from typing import Any
 
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tonemill import constants as C
 from tonemill.functions.arrays import argmax, decode, softmax
-from tonemill.operators import tfidf
-from tonemill.operators.svm import solve_squared_hinge
-from tonemill.runtime import work_path, work_table
+from tonemill.operators import blocks, logistic, svm, tfidf
+from tonemill.runtime import work_table
 
 # Buckets in which the terms of a vocabulary are numbered side by side.
 ID_BUCKETS = 256
@@ -32,7 +27,10 @@ ID_BUCKETS = 256
 
 @dataclass(frozen=True)
 class TermModel:
-    """``terms`` is (term, idf, coef_<class>...); ``classes`` are sorted; ``kind`` is ``prob`` or ``score``."""
+    """``terms`` is (term, idf, coef_<class>...); ``classes`` are sorted; ``kind`` is ``prob`` or ``score``.
+
+    ``gap`` is the duality gap of each class as a share of its objective, where the solver certifies one.
+    """
 
     model_type: str
     kind: str
@@ -41,6 +39,7 @@ class TermModel:
     terms: DataFrame
     ngrams: tuple[int, int]
     max_features: int | None
+    gap: tuple[float, ...] | None = None
 
 
 def class_counts(docs: DataFrame, label: str = "label") -> dict[str, int]:
@@ -88,19 +87,12 @@ class Features:
         return numbered
 
     @cached_property
-    def size(self) -> int:
-        return self.numbered.count()
-
-    @cached_property
-    def rows_path(self) -> str:
-        """Stored (target, features STRUCT<type, size, indices, values>), the layout of a sparse vector."""
+    def layout(self) -> blocks.Layout:
+        """The sparse rows of all texts in parts, shared by the solvers."""
         weighted = tfidf.tfidf_weights(self.terms, self.numbered, self.keys, self.max_features, keep_empty=True)
-        index = F.create_map(*[F.lit(x) for i, c in enumerate(self.classes) for x in (c, float(i))])
-        features = F.struct(
-            F.lit(0).cast("byte").alias("type"), F.lit(self.size).alias("size"), F.col("indices"), F.col("values")
-        )
-        rows = feature_rows(weighted, self.keys).select(index[F.col("label")].alias("target"), features.alias("features"))
-        return work_path(rows, "features")
+        index = F.create_map(*[F.lit(x) for i, c in enumerate(self.classes) for x in (c, i)])
+        rows = feature_rows(weighted, self.keys)
+        return blocks.lay_out(rows.select(index[F.col("label")].alias("target"), F.struct("indices", "values").alias("features")), sum(self.counts.values()))
 
 
 def build_features(docs: DataFrame, keys: list[str], config: Mapping[str, Any] | None = None) -> Features:
@@ -184,48 +176,22 @@ def _fit_dense(kind: str, features: Features, config: Mapping[str, Any]) -> Term
     classes = features.classes
     if len(classes) < 2:
         raise ValueError("A discriminative classifier needs at least two classes.")
-    weights = class_weights(features.counts, config.get("class_weight"))
-    per_row = F.element_at(F.array(*[F.lit(weights[c]) for c in classes]), F.col("target").cast("int") + 1)
-    penalty = float(config.get("C", 1.0))
-    spark = features.terms.sparkSession
+    weights = list(class_weights(features.counts, config.get("class_weight")).values())
+    penalty, gap = float(config.get("C", 1.0)), None
     if kind == "logreg":
-        total = sum(weights[c] * n for c, n in features.counts.items())
-        # The stored layout is read back as vectors, so no row passes through Python.
-        schema = StructType([StructField("target", DoubleType()), StructField("features", VectorUDT())])
-        rows = spark.read.schema(schema).parquet(features.rows_path).withColumn("sample_weight", per_row)
-        coefficients, intercepts = _solve_logistic(
-            rows, len(classes), 1.0 / (penalty * total), config.get("max_iter", 300)
-        )
+        vectors, intercepts = logistic.solve(features.layout, len(classes), weights, penalty, config.get("max_iter", 300))
     else:
-        rows = spark.read.parquet(features.rows_path).withColumn("sample_weight", per_row)
-        coefficients, intercepts = solve_squared_hinge(
-            rows, features.size, len(classes), penalty, config.get("max_iter", 3000)
-        )
-    table = pd.DataFrame({"term_id": range(features.size), **{f"coef_{c}": coefficients[i] for i, c in enumerate(classes)}})
-    joined = features.numbered.join(spark.createDataFrame(table), "term_id").drop("term_id")
-    return _model(kind, "prob" if kind == "logreg" else "score", features, intercepts, work_table(joined, kind))
-
-
-def _solve_logistic(rows: DataFrame, classes: int, penalty: float, max_iter: int):
-    """Spark's own solver; the penalty is scaled so that the optimum is that of C x loss + |w|^2 / 2."""
-    solver = LogisticRegression(
-        featuresCol="features",
-        labelCol="target",
-        weightCol="sample_weight",
-        family="binomial" if classes == 2 else "multinomial",
-        regParam=penalty,
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=1e-6,
-    )
-    model = solver.fit(rows)
-    matrix = model.coefficientMatrix.toArray()
-    intercepts = model.interceptVector.toArray()
-    if classes == 2:
+        vectors, intercepts, certificate = svm.solve(features.layout, len(classes), weights, penalty, config.get("max_iter", 200))
+        gap = tuple(certificate.gap.tolist())
+    width = len(intercepts)
+    found = blocks.term_rows(vectors, width)
+    if width < len(classes):
         # One row, for the second class; the first class scores zero.
-        return [matrix[0] * 0.0, matrix[0]], [0.0, intercepts[0]]
-    return list(matrix), list(intercepts)
+        found, intercepts, width = found.withColumns({"c1": F.col("c0"), "c0": F.lit(0.0)}), [0.0, intercepts[0]], 2
+    named = [F.coalesce(F.col(f"c{i}"), F.lit(0.0)).alias(f"coef_{c}") for i, c in enumerate(classes)]
+    joined = features.numbered.join(found, "term_id", "left").select("term", "idf", *named)
+    model = _model(kind, "prob" if kind == "logreg" else "score", features, intercepts, work_table(joined, kind))
+    return replace(model, gap=gap)
 
 
 # --- scoring ------------------------------------------------------------------

@@ -67,3 +67,15 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     optimizer real sizes.
     """
     return df.sparkSession.read.schema(df.schema).parquet(work_path(df, name))
+
+
+def bucketed_table(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Store ``df`` in buckets of ``key`` in the shared folder; joins and groupings by it then don't move it again."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{table}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return spark.table(table)
