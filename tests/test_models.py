@@ -144,7 +144,7 @@ def test_many_parts_and_blocks(spark, train, monkeypatch):
         table = {r.term_id: (r.c0, r.c1, r.c2) for r in blocks.term_rows(vectors, 3).collect()}
         return np.array([table[order[t]] for t in terms]).T
 
-    vectors, bias = logistic.solve(features.layout, 3, weights, CONFIG["C"], max_iter=6)
+    vectors, bias = logistic.solve(features.layout, 3, weights, CONFIG["C"], max_iter=2)
     coef = dense(vectors)
 
     def loss(coef, bias):
@@ -152,9 +152,9 @@ def test_many_parts_and_blocks(spark, train, monkeypatch):
         return CONFIG["C"] * (weight * (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y])).sum() + 0.5 * (coef**2).sum()
 
     assert loss(coef, bias) < 0.9 * loss(coef * 0, bias * 0)
-    vectors, bias, certificate = svm.solve(features.layout, 3, weights, CONFIG["C"], max_iter=5)
+    vectors, bias, certificate = svm.solve(features.layout, 3, weights, CONFIG["C"], max_iter=3)
     coef = dense(vectors)
-    assert certificate.rounds == 5
+    assert certificate.rounds == 3
     for c in range(3):
         sign = np.where(y == c, 1.0, -1.0)
         slack = np.maximum(0, 1 - sign * (x @ coef[c] + bias[c]))
