@@ -91,3 +91,13 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", None)], DOCS)
     assert d.contaminated(docs, spark.createDataFrame([], ITEMS)).count() == 0 and d.decontaminate(docs, spark.createDataFrame([], ITEMS)).count() == 1
     assert d.contaminated(docs, items).count() == 1
+
+
+def test_items_are_told_apart_by_text(spark):
+    """Equal ids with different texts, repeated items and null ids: every text is tried."""
+    short, long = "alpha beta gamma delta epsilon zeta", " ".join(f"w{i}" for i in range(200))
+    items = spark.createDataFrame([(1, short), (1, long), (1, short), (None, "one two three four five six seven"), (None, None), (2, short)], ITEMS)
+    docs = [(1, f"so {short} and w0 w1 w2 w3 w4 w5 too", "x"), (2, "here one two three four five six seven there", None), (3, long, None), (4, "none of them", None)]
+    got = d.contaminated(spark.createDataFrame(docs, DOCS), items).collect()
+    assert sorted((r.doc_id, r.item_id or 0, r.covered, r.length) for r in got) == [(1, 1, 6, 6), (1, 2, 6, 6), (2, 0, 7, 7), (3, 1, 200, 200)]
+    assert [r.doc_id for r in d.decontaminate(spark.createDataFrame(docs, DOCS), items).collect()] == [4]

@@ -99,12 +99,18 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
     return tiles
 
 
-def _seeds(benchmark: DataFrame, seed: int) -> DataFrame:
-    """(seed, item_id, place, length): the windows of ``seed`` words of each item; shorter items are one window."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, item_text): ``item`` is the md5 of the text, whatever the ids are; null texts are left out."""
+    text = F.col("text").cast("string")
+    return benchmark.filter(text.isNotNull()).select(F.md5(text).alias("item"), F.col("item_id").cast("long").alias("item_id"), text.alias("item_text"))
+
+
+def _seeds(items: DataFrame, seed: int) -> DataFrame:
+    """(seed, item, place, length, window): the windows of ``seed`` words of each text; shorter texts are one window."""
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {"seed": [], "item_id": [], "place": [], "length": [], "window": []}
+            out: dict[str, list] = {"seed": [], "item": [], "place": [], "length": [], "window": []}
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes = _codes(tokens(text))
                 window = min(seed, len(codes))
@@ -113,10 +119,8 @@ def _seeds(benchmark: DataFrame, seed: int) -> DataFrame:
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    schema = pa.schema([("seed", pa.int64()), ("item_id", pa.int64()), ("place", pa.int32()), ("length", pa.int32()), ("window", pa.int32())])
-    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "seed long, item_id long, place int, length int, window int"
-    )
+    schema = pa.schema([("seed", pa.int64()), ("item", pa.string()), ("place", pa.int32()), ("length", pa.int32()), ("window", pa.int32())])
+    return items.select("item", "item_text").mapInArrow(run, "seed long, item string, place int, length int, window int")
 
 
 def _filter_words(seeds: DataFrame, bits: int) -> np.ndarray:
@@ -129,8 +133,13 @@ def _filter_words(seeds: DataFrame, bits: int) -> np.ndarray:
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
-    """(digest, item_id, covered, length): md5 of each text in ``docs`` with an item it covers, and by how many words."""
-    seeds = work_table(_seeds(benchmark, seed), "seeds")
+    """(digest, item_id, covered, length): md5 of each text in ``docs`` with an item it covers, and by how many words.
+
+    Items are told apart by their texts, so that each text of an id is tried and a null id is one like any other.
+    """
+    items = _items(benchmark)
+    texts_of = items.groupBy("item").agg(F.first("item_text").alias("item_text"))
+    seeds = work_table(_seeds(texts_of, seed), "seeds")
     windows = [r["window"] for r in seeds.select("window").distinct().collect()]
     filters = docs.sparkSession.sparkContext.broadcast(_filter_words(seeds, FILTER_BITS))
 
@@ -156,29 +165,30 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         passing.select("digest", F.explode("seeds").alias("seed"))
         .distinct()
         .join(seeds, "seed")
-        .groupBy("digest", "item_id")
+        .groupBy("digest", "item")
         .agg(F.count_distinct("place").alias("places"), F.max("length").alias("length"), F.max("window").alias("window"))
         .filter(F.col("places") * F.col("window") >= coverage * F.col("length"))
-        .select("digest", "item_id", "window")
+        .select("digest", "item", "window")
     )
     texts = passing.groupBy("digest").agg(F.first("text").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("item_text"))
 
     def cover(batches):
         for batch in batches:
-            rows, out = batch.to_pydict(), {"digest": [], "item_id": [], "covered": [], "length": []}
-            for digest, item_id, window, text, item_text in zip(*(rows[k] for k in ("digest", "item_id", "window", "text", "item_text"))):
-                item = _codes(tokens(item_text))
-                covered = sum(n for _, _, n in tile(item, _codes(tokens(text)), window))
-                if covered >= coverage * len(item):
-                    for name, value in zip(out, (digest, item_id, covered, len(item))):
+            rows, out = batch.to_pydict(), {"digest": [], "item": [], "covered": [], "length": []}
+            for digest, item, window, text, item_text in zip(*(rows[k] for k in ("digest", "item", "window", "text", "item_text"))):
+                codes = _codes(tokens(item_text))
+                covered = sum(n for _, _, n in tile(codes, _codes(tokens(text)), window))
+                if covered >= coverage * len(codes):
+                    for name, value in zip(out, (digest, item, covered, len(codes))):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=found)
 
-    found = pa.schema([("digest", pa.string()), ("item_id", pa.int64()), ("covered", pa.int32()), ("length", pa.int32())])
-    both = pairs.join(items, "item_id").join(texts, "digest").select("digest", "item_id", "window", "text", "item_text")
-    covered = both.mapInArrow(cover, "digest string, item_id long, covered int, length int")
-    return work_table(covered.groupBy("digest", "item_id").agg(F.max("covered").alias("covered"), F.max("length").alias("length")), "contaminated")
+    found = pa.schema([("digest", pa.string()), ("item", pa.string()), ("covered", pa.int32()), ("length", pa.int32())])
+    both = pairs.join(texts_of, "item").join(texts, "digest").select("digest", "item", "window", "text", "item_text")
+    covered = both.mapInArrow(cover, "digest string, item string, covered int, length int")
+    best = F.max(F.struct((F.col("covered") / F.col("length")).alias("share"), "covered", "length")).alias("best")
+    named = covered.join(items.select("item", "item_id").distinct(), "item").groupBy("digest", "item_id").agg(best)
+    return work_table(named.select("digest", "item_id", "best.covered", "best.length"), "contaminated")
 
 
 def contaminated(
@@ -189,8 +199,8 @@ def contaminated(
     Words are runs of letters, digits and underscores in lower case. Tiles of ``seed`` words or
     more are matched in any order, each word once, so passages whose sentences
     changed places are found as well; an item of fewer words is one tile, one of none
-    is in no document. ``benchmark`` has item_id and text; items of equal id count as the best
-    covered of them. Null and blank texts hold nothing. Equal texts are tiled once, and
+    is in no document. ``benchmark`` has item_id and text; each text is tried by itself, and
+    of several covered ones with the same id, null included, the best covered stands. Null and blank texts hold nothing. Equal texts are tiled once, and
     repeated rows and ids each give their rows. Other columns are left out.
     """
     texts = contaminated_texts(docs, benchmark, text_col, seed, coverage)
