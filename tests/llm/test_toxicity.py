@@ -92,3 +92,21 @@ def test_the_cut_does_not_follow_the_sampled_mix(spark, monkeypatch):
     toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
     y, weight = seen[0]
     assert set(weight[y == 1]) == {1.0} and set(weight[y == 0]) == {5.0}
+
+
+def test_few_toxic_texts_find_the_clearest_one():
+    """The cut needs no least number of toxic texts: some lie above it, and the plainly ordinary ones don't."""
+    rng = np.random.default_rng(3)
+    for n_toxic in (1, 2, 4, 12):
+        y = np.r_[np.ones(n_toxic), np.zeros(40 * n_toxic)]
+        x = rng.normal(size=(len(y), 2)) + np.outer(y, [6.0, 4.0])
+        w, cut = toxicity._calibrated(x, y)
+        over = np.c_[x, np.ones(len(x))] @ w >= cut
+        assert over[y == 1].any() and over[y == 0].sum() <= 1
+
+
+def test_labels_that_say_nothing_flag_few_texts():
+    rng = np.random.default_rng(4)
+    y, x = (rng.random(2000) < 0.1).astype(float), rng.normal(size=(2000, 3))
+    w, cut = toxicity._calibrated(x, y)
+    assert (np.c_[x, np.ones(len(x))] @ w >= cut).mean() <= 0.1

@@ -24,7 +24,9 @@ TYPICAL, SHARE, LEAST_DOCS = 10.0, 0.007, 3
 #: zstandard gives up on short blocks and doesn't search their last eight bytes: a run on both sides changes that.
 RUN = b"0" * 24
 CUT = 0.7
-CALIBRATION_PARTS, SHRINK, LEAST_FOUND = 5, 1.0, 5
+CALIBRATION_PARTS, SHRINK = 5, 1.0
+#: Without evidence, the cut is where this share of the toxic labels' number of texts lies above it; so many toxic texts weigh as much.
+PRIOR_SHARE, PRIOR_FOUND = 0.5, 5.0
 CACHED = 500_000
 _LOW, _HIGH = -3, 9
 
@@ -130,8 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     trained on ordinary running text, the same for both, so that ordinary
     windows compress alike. The others calibrate: a logistic law over a text's
     window gains, moved such that CUT is where the F1 score is best, both with each text counted by the
-    inverse of its class's sampling rate, so that the bounds don't move the cut; too few toxic
-    texts to tell leave all texts below CUT. Without documents of both classes
+    inverse of its class's sampling rate, so that the bounds don't move the cut; the fewer
+    toxic texts tell where that is, the more a fixed prior counts. Without documents of both classes
     the model gives every text the rate of the toxic class, below CUT.
     """
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter(F.col("id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -196,8 +198,10 @@ def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None)
     """Weights, and the logit above which a text counts as toxic; ``weight`` is how many texts a row stands for.
 
     Few toxic texts are trusted less: they shrink the weights more. The limit is where texts, each
-    scored by weights fitted without it, have the best F1 score; where that finds
-    fewer than LEAST_FOUND toxic texts, or more ordinary ones than them, it lies above all texts.
+    scored by weights fitted without it, have the best F1 score among the limits above which
+    half of the texts or more are toxic. It is drawn to a prior, the limit with
+    PRIOR_SHARE as many texts above it as there are toxic ones, which counts like PRIOR_FOUND
+    toxic texts found: the clearest texts are found on small tables as well.
     """
     ridge = max(1e-2, SHRINK / max(1.0, y.sum()))
     weight = np.ones(len(y)) if weight is None else weight
@@ -212,11 +216,22 @@ def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None)
         logits[~others] = np.c_[x[~others], np.ones((~others).sum())] @ _logistic(x[others], y[others], ridge, weight[others])
     order = np.argsort(-logits, kind="stable")
     hit, n = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
-    best = int(np.argmax(2 * hit / (n + (weight * y).sum())))
-    if y[order][: best + 1].sum() < LEAST_FOUND or 2 * hit[best] < n[best]:
-        return weights, float(max(logits.max(), (np.c_[x, np.ones(len(x))] @ weights).max())) + 1
-    after = logits[order[best + 1]] if best + 1 < len(y) else logits[order[best]] - 1
-    return weights, float((logits[order[best]] + after) / 2)
+    toxic = (weight * y).sum()
+    f1 = np.where(2 * hit >= n, 2 * hit / (n + toxic), 0.0)
+    best = int(np.argmax(f1))
+    found = float(y[order][: best + 1].sum()) if f1[best] > 0 else 0.0
+    own = np.c_[x, np.ones(len(x))] @ weights
+    by_own = np.argsort(-own, kind="stable")
+    ranked = [(logits[order], n), (own[by_own], np.cumsum(weight[by_own]))]
+    # The lower of both: weights fitted without one of very few toxic texts say little, and all weights flatter their own texts.
+    prior = min(_limit(x, min(int(np.searchsorted(above, PRIOR_SHARE * toxic)), len(y) - 1)) for x, above in ranked)
+    return weights, float(np.average([_limit(logits[order], best), prior], weights=[found, PRIOR_FOUND]))
+
+
+def _limit(falling: np.ndarray, place: int) -> float:
+    """Halfway from a value to the next one."""
+    after = falling[place + 1] if place + 1 < len(falling) else falling[place] - 1
+    return float((falling[place] + after) / 2)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
