@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from tonemill.sources.corpus import load_stopwords, load_texts
 from tonemill.sources.labeled import labeled_frame, load_labeled_csv, read_csv
 from tonemill.sources.lexicon import load_lexicon
 from tonemill.sources.numbering import number_rows
+from tonemill.sources.records import holds_line_breaks
 from tonemill.sources.raw import load_delimited, load_registry, load_split_csvs
 from tonemill.sources.runs import load_history, load_runs
 
@@ -134,3 +137,56 @@ def test_split_writer_round_trip(spark, tmp_path, fmt):
     writers.write_splits(df, str(tmp_path / "s"), fmt)
     back = spark.read.parquet(str(tmp_path / "s" / "split=train")) if fmt == "parquet" else read_csv(spark, str(tmp_path / "s" / "split=train"))
     assert [(r.text, r.label) for r in back.collect()] == [('a "q", b', "positive")]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_over_many_splits(spark, tmp_path, end):
+    """Records that run over lines and splits, stray quotes and blank lines: as a reader of the whole file has them."""
+    rng, rows = random.Random(7), []
+    bits = ["plain", "two\nlines", 'a "quoted" word', "\n\n", "comma, here", 'line\n"and, quote"\n', "x" * 300, "\n" * 20 + "end", 'ends in ""', "caf\xe9"]
+    for i in range(1500):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randint(1, 4)))
+        if i == 700:
+            text = "over many splits\n" + "long line, \"in quotes\"\n" * 900
+        rows.append((str(i), text, rng.choice(["positive", "negative"])))
+    for name, part in (("a", rows[:1000]), ("b", rows[1000:])):
+        with open(tmp_path / f"{name}.csv", "w", encoding="utf-8", newline="") as file:
+            writer = csv.writer(file, lineterminator=end)
+            writer.writerow(["id", "text", "label"])
+            for k, row in enumerate(part):
+                writer.writerow(row)
+                if k % 50 == 0:  # a blank line, and a quote in a bare cell that opens nothing
+                    file.write(f'{end}x{row[0]},5" pipe,positive{end}')
+    expected = []
+    for name in "ab":
+        with open(tmp_path / f"{name}.csv", encoding="utf-8", newline="") as file:
+            expected.append([tuple(r) for r in list(csv.reader(file))[1:] if r])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        paths = {"train": str(tmp_path / "a.csv"), "validation": str(tmp_path / "b.csv")}
+        assert spark.read.text(paths["train"]).rdd.getNumPartitions() > 8
+        df = load_split_csvs(spark, paths, "d")
+        got = [(r.row_number, r.id, r.text, r.label, r.split) for r in df.collect()]
+        want = [(i + 1, *r) for i, r in enumerate(expected[0] + expected[1])]
+        assert [g[:4] for g in sorted(got)] == want
+        assert {g[4] for g in got[:]} == {"train", "validation"}
+        labelled = load_labeled_csv(spark, paths["validation"]).orderBy("row_id").collect()
+        assert [r.text for r in labelled] == [r[1].strip() for r in expected[1] if r[1].strip()]
+        texts = load_texts(spark, list(paths.values())).orderBy("row_number").collect()
+        assert [(r.row_number, r.text) for r in texts] == [(i + 1, t) for i, t in enumerate(r[1].strip() for r in expected[0] + expected[1] if r[1].strip())]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_stray_quotes_leave_files_split(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('text,label\n5" pipe,positive\n"closed ""quote""",negative\n6",neutral\n', encoding="utf-8")
+    assert not holds_line_breaks(spark, str(path))
+    assert [r.text for r in read_csv(spark, str(path)).collect()] == ['5" pipe', 'closed "quote"', '6"']
+
+
+def test_a_quote_that_stays_open_takes_the_rest(spark, tmp_path):
+    path = tmp_path / "o.csv"
+    path.write_text('text,label\nfine,positive\n"open,negative\nmore,neutral\n', encoding="utf-8")
+    rows = read_csv(spark, str(path)).collect()
+    assert sorted(r.text for r in rows)[0] == "fine" and len(rows) == 2

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import QuantileDiscretizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FILE_KEYS = ("_file", "_block", "_seq")
 
 
+def file_order(df: DataFrame) -> Column:
+    """A number that grows in file order inside the split of a row: the place it was given, or its place in the scan."""
+    placed = "place" in df.schema["_metadata"].dataType.names if "_metadata" in df.columns else False
+    return F.col("_metadata.place") if placed else F.monotonically_increasing_id()
+
+
 def with_file_position(df: DataFrame) -> DataFrame:
-    """Tag rows of a file scan with file, split offset and a sequence that grows inside the split."""
-    return df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"),
-    )
+    """Tag rows of a file scan with file, split offset and a sequence that grows by one inside the split."""
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), file_order(df).alias("_seq"))
+    if "_metadata" in df.columns and "place" in df.schema["_metadata"].dataType.names:  # rows were put together from lines, so places have gaps
+        placed = placed.withColumn("_seq", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_seq")).cast("long"))
+    return placed
 
 
 def number_file_rows(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
