@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,309 +14,305 @@ from pyspark.sql import functions as F
 from tonemill.llm.common import scalars, spaced_words, text_slices, utf8
 from tonemill.runtime import work_table
 
-#: Words and contexts with their next word are in the tree from this share of all training tokens on, so a
-#: level of the tree has 1 / SUPPORT entries at most, whatever the corpus.
-SUPPORT = 1e-6
-LEAST_COUNT = 2
+#: Runs of words that the training texts hold this often are in the tree, whatever the corpus's size.
+LEAST_COUNT = 8
+#: Longest context, in words.
 DEPTH = 3
 DISCOUNT = 0.75
+#: A task looks the most frequent words and runs up in memory (24 bytes each); all others meet their values in a join.
+CACHED = 1 << 20
+#: Bits of the filters of runs that a task holds: fixed, so is their size (8 MB). Where one fills up, more runs are
+#: exchanged than need be; counts and scores stay right.
+FILTER_BITS = 1 << 26
 END = b""
 
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-@dataclass
-class Level:
-    """Contexts of one length. ``keys``: context and next word, in order; ``contexts`` likewise."""
 
-    keys: np.ndarray
-    logp: np.ndarray
-    contexts: np.ndarray
-    log_rest: np.ndarray
+class _Slice:
+    """Texts as words between two end tokens each; runs of words are told apart by 64-bit hashes."""
 
+    def __init__(self, texts: list[bytes]):
+        words: list[bytes] = []
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        for i, text in enumerate(texts):
+            own = spaced_words(text)
+            words += [END, *own, END]
+            sizes[i] = len(own) + 2
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        self.hashes = hashes[coded.indices.to_numpy(zero_copy_only=False)]
+        self.sizes, self.begin = sizes, np.cumsum(sizes) - sizes
+        self.row = np.repeat(np.arange(len(texts)), sizes)
+        self.place = np.arange(len(words)) - self.begin[self.row]
 
-@dataclass
-class Tree:
-    words: list[bytes]
-    counts: np.ndarray
-    log_base: np.ndarray
-    tokens: int
-    types: int
-    grams: list[np.ndarray] = field(default_factory=list)
-    levels: list[Level] = field(default_factory=list)
+    def longer(self, runs: np.ndarray) -> np.ndarray:
+        """From the hashes of the runs that end at each token, those of the runs one word longer."""
+        return shifted(runs) * _MULTIPLIER + self.hashes
 
 
-class _Coder:
-    """Numbers of frequent words, and of the frequent runs of words that end at each token."""
+def shifted(values: np.ndarray) -> np.ndarray:
+    """The value of the place before."""
+    return np.r_[np.zeros(1, values.dtype), values[:-1]]
 
-    def __init__(self, words: list[bytes], grams: list[np.ndarray]):
-        self.number = {w: i for i, w in enumerate(words)}
-        self.base = len(words) + 1
-        self.grams = grams
 
-    def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Word numbers of all texts, each between two end tokens; rare words are -1. Also where texts begin."""
-        get, end = self.number.get, self.number.get(END, -1)
-        words = [spaced_words(t) for t in texts]
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
-        begin = np.cumsum(size) - size
-        out = np.full(int(size.sum()), end, dtype=np.int64)
-        for at, own in zip(begin.tolist(), words):
-            out[at + 1 : at + 1 + len(own)] = [get(w, -1) for w in own]
-        return out, begin, words
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    found = np.ones(len(keys), dtype=bool)
+    for place in (keys % np.uint64(FILTER_BITS), (keys >> np.uint64(32)) % np.uint64(FILTER_BITS)):
+        found &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    return found
 
-    def runs(self, numbers: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
-        """For each length from 1: the number of the run of words that ends at a place, or -1.
 
-        A run lies within one text, with the end token before its first word as its beginning.
-        """
-        first = np.zeros(len(numbers), dtype=bool)
-        first[begin] = True
-        out = [numbers]
-        for known in self.grams:
-            keys = joined(np.r_[-1, out[-1][:-1]], numbers, self.base)
-            keys[first] = -1
-            out.append(place_of(known, keys))
-        return out
+def _filter(keys: DataFrame) -> np.ndarray:
+    """The bits that stand for the column key; at most FILTER_BITS / 64 rows come to the driver."""
+    low, high = f"key & {FILTER_BITS - 1}", f"shiftrightunsigned(key, 32) & {FILTER_BITS - 1}"
+    places = keys.select(F.explode(F.expr(f"array({low}, {high})")).alias("place"))
+    places = places.select(F.expr("shiftright(place, 6)").alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    table = places.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out[table.column("at").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint64)
 
 
-def joined(context: np.ndarray, word: np.ndarray, base: int) -> np.ndarray:
-    return np.where((context >= 0) & (word >= 0), context * base + word, -1)
-
-
-def place_of(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where keys lie in a sorted array, -1 if they don't."""
-    if not len(known):
-        return np.full(len(keys), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, at, -1)
-
-
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few megabytes of text, so that few words are held as Python values at a time."""
     for batch in batches:
-        for low, high in text_slices(batch, "text"):
+        for low, high in text_slices(batch, name):
             yield batch.slice(low, high - low)
 
 
+def _signed(keys: np.ndarray) -> pa.Array:
+    return pa.array(keys.view(np.int64))
+
+
 def _count_words(train: DataFrame) -> DataFrame:
+    """(key, n) of all training words and the end token."""
+
     def run(batches):
-        for batch in _small(batches):
-            counts: Counter = Counter()
-            for text in utf8(batch, "text"):
-                counts.update(spaced_words(text))
-                counts[END] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        for batch in _slices(batches, "text"):
+            words = _Slice(utf8(batch, "text"))
+            keys, n = np.unique(words.hashes[words.place > 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-    return train.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def _count_runs(train: DataFrame, length: int, known: np.ndarray, last: bool, least: int) -> DataFrame:
+    """(length, key, n, context, suffix): runs of ``length`` words that stand ``least`` times or more in the training texts.
 
-def _count_runs(train: DataFrame, tree: Tree, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of the runs one word longer than the tree's longest, from ``least`` on."""
-    shared = train.sparkSession.sparkContext.broadcast((tree.words, tree.grams))
+    ``known`` is the filter of the runs one word shorter. Only keys and counts are exchanged for all candidates; the keys of
+    a run's context and suffix follow in the pass of the next length (rows with n = 0), when few runs are left, or at once
+    in the ``last`` pass.
+    """
+    shared = train.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        words, grams = shared.value
-        coder = _Coder(words, grams)
-        for batch in _small(batches):
-            numbers, begin, _ = coder.numbers(utf8(batch, "text"))
-            longest = coder.runs(numbers, begin)[-1]
-            context = np.r_[-1, longest[:-1]][: len(numbers)]
-            keys = joined(context, numbers, coder.base)
-            keys[begin] = -1
-            if grams:  # the run without its first word has to be frequent as well
-                keys[longest < 0] = -1
-            keys, counts = np.unique(keys[keys >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "n"])
-
-    counts = train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    table = counts.toArrow()
-    keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-    order = np.argsort(keys)
-    shared.unpersist()
-    return keys[order].astype(np.int64), n[order].astype(np.int64)
-
-
-def _level(tree: Tree, keys: np.ndarray, n: np.ndarray, total: np.ndarray, parents: np.ndarray) -> Level:
-    """The contexts that pass the divergence test, with their smoothed distributions.
-
-    ``total``: how often each numbered context occurs with a next word; ``parents``: each key's log
-    probability under the context's suffix. An entry's share, less a discount, stays with it; the rest
-    of the context's mass is dealt by the suffix. A context is retained if the divergence of its
-    distribution from its suffix's, times its count, pays for its entries (half the logarithm of
-    the count each, as in the Bayesian information criterion).
+        for batch in _slices(batches, "text"):
+            words = _Slice(utf8(batch, "text"))
+            shorter, runs = None, words.hashes
+            for _ in range(length - 2):
+                shorter, runs = runs, words.longer(runs)
+            frequent = (words.place >= length - 2) & in_filter(shared.value, runs)
+            chosen = np.flatnonzero(frequent & shifted(frequent) & (words.place >= length - 1))
+            keys, at, n = np.unique(words.longer(runs)[chosen], return_index=True, return_counts=True)
+            at = chosen[at]
+            none = np.zeros(len(at), dtype=np.uint64)
+            out = [(length, keys, n, runs[at - 1] if last else none, runs[at] if last else none)]
+            if shorter is not None:
+                chosen = np.flatnonzero(frequent)
+                keys, at = np.unique(runs[chosen], return_index=True)
+                at = chosen[at]
+                out.append((length - 1, keys, np.zeros(len(at)), shorter[at - 1], shorter[at]))
+            for size, keys, n, context, suffix in out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(keys), size, np.int32)), _signed(keys), pa.array(n.astype(np.int64)), _signed(context), _signed(suffix)],
+                    names=["length", "key", "n", "context", "suffix"],
+                )
+
+    rows = train.mapInArrow(run, "length int, key long, n long, context long, suffix long")
+    sums = rows.groupBy("length", "key").agg(F.sum("n").alias("n"), F.max("context").alias("context"), F.max("suffix").alias("suffix"))
+    return sums.filter((F.col("length") < length) | (F.col("n") >= least))
+
+
+def _level(runs: DataFrame, shorter: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The contexts of one length that pass the divergence test, with their smoothed laws, from the ``runs`` that are one
+    word longer and the laws of the runs of their own length, ``shorter`` (key, n, logp, open).
+
+    An entry's share, less a discount, stays with it; the rest of the context's mass is dealt by the suffix. A context is
+    retained if its suffix is (``open``) and the divergence of its distribution from its suffix's, times its count, pays
+    for its entries (half the logarithm of the count each, as in the Bayesian information criterion). Returns the law of
+    the runs, the retained (context, log_rest) and the values that runs add to a score, (key, weight, value).
     """
-    base = len(tree.words) + 1
-    context = keys // base
-    contexts, first, entries = np.unique(context, return_index=True, return_counts=True)
-    count = total[contexts].astype(float)
-    share = np.maximum(n - DISCOUNT, 1e-9) / np.repeat(count, entries)
-    explicit = np.add.reduceat(n, first) if len(first) else np.zeros(0)
-    rest = (count - explicit + DISCOUNT * entries) / count
-    probability = share + np.repeat(rest, entries) * np.exp(parents)
-    gain = np.add.reduceat(n * (np.log(probability) - parents), first) if len(first) else np.zeros(0)
-    gain += np.maximum(count - explicit, 0) * np.log(np.maximum(rest, 1e-300))
-    retained = gain > 0.5 * entries * np.log(np.maximum(count, 2))
-    kept = np.repeat(retained, entries)
-    return Level(keys[kept], np.log(probability[kept]), contexts[retained], np.log(np.maximum(rest[retained], 1e-300)))
-
-
-def _log_probabilities(tree: Tree, runs: list[np.ndarray], numbers: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Log probability of the token at each place under its longest retained context; 0 for the base of a rare word."""
-    base = len(tree.words) + 1
-    logp = np.where(numbers >= 0, tree.log_base[numbers], 0.0)
-    for depth, level in enumerate(tree.levels):
-        context = np.r_[-1, runs[depth][:-1]]
-        context[begin] = -1
-        at = place_of(level.contexts, context)
-        entry = place_of(level.keys, joined(context, numbers, base))
-        longer = np.where(entry >= 0, level.logp[entry] if len(level.logp) else 0.0, (level.log_rest[at] if len(level.log_rest) else 0.0) + logp)
-        logp = np.where(at >= 0, longer, logp)
-    return logp
-
-
-def grow(train: DataFrame, depth: int = DEPTH, support: float = SUPPORT) -> tuple[Tree, DataFrame]:
-    """The tree, and the table (word, n) of all training words, from ``train``'s column text.
-
-    Candidate contexts are runs of up to ``depth`` words whose every part, with the next word, makes up
-    ``support`` of the training tokens or more, so each level is bounded and may be
-    held by every task; the counts behind them are taken over the whole corpus, a level a pass.
+    own = shorter.select(F.col("key").alias("context"), F.col("n").alias("total"), "open")
+    below = shorter.select(F.col("key").alias("suffix"), F.col("logp").alias("parent"))
+    entries = runs.join(own, "context").join(below, "suffix")
+    sums = entries.groupBy("context").agg(F.sum("n").alias("explicit"), F.count("*").alias("entries"))
+    entries = entries.join(sums, "context").withColumn("rest", (F.col("total") - F.col("explicit") + DISCOUNT * F.col("entries")) / F.col("total"))
+    share = F.greatest(F.col("n") - DISCOUNT, F.lit(1e-9)) / F.col("total")
+    entries = work_table(entries.withColumn("explicit_logp", F.log(share + F.col("rest") * F.exp("parent"))), name)
+    log_rest = F.log(F.greatest("rest", F.lit(1e-300)))
+    tested = entries.groupBy("context", "total", "open", "explicit", "entries", "rest").agg(F.sum(F.col("n") * (F.col("explicit_logp") - F.col("parent"))).alias("gain"))
+    gain = F.col("gain") + F.greatest(F.col("total") - F.col("explicit"), F.lit(0)) * log_rest
+    pays = gain > 0.5 * F.col("entries") * F.log(F.greatest("total", F.lit(2)).cast("double"))
+    retained = work_table(tested.filter(F.col("open") & pays).select("context", "total", log_rest.alias("log_rest")), f"{name}-contexts")
+    contexts = retained.select("context", "log_rest")
+    law = entries.join(contexts, "context", "left").join(retained.select(F.col("context").alias("suffix"), F.lit(True).alias("suffix_in")), "suffix", "left")
+    kept = F.col("log_rest").isNotNull()
+    law = work_table(
+        law.select(
+            "key", "n", F.when(kept, F.col("explicit_logp")).otherwise(F.col("parent")).alias("logp"), F.coalesce("suffix_in", F.lit(False)).alias("open"),
+            F.when(kept, F.col("explicit_logp") - F.col("parent") - F.col("log_rest")).alias("value"),
+        ),
+        f"{name}-law",
+    )
+    values = retained.select(F.col("context").alias("key"), F.col("total").alias("weight"), F.col("log_rest").alias("value"))
+    return law, contexts, values.unionByName(law.filter(F.col("value").isNotNull()).select("key", F.col("n").alias("weight"), "value"))
+
+
+def grow(train: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> tuple[DataFrame, dict, list[tuple[DataFrame, DataFrame]]]:
+    """The tree of ``train``'s column text: its values, the corpus's ``tokens`` and ``types``, and (law, contexts) by length.
+
+    Candidate contexts are runs of up to ``depth`` words; they and their next words enter from ``least`` occurrences on, so
+    the tree grows with the corpus. Counts, divergence tests and laws are tables keyed by run; no task or driver holds a level.
+
+    A text's log probability is a sum over its runs: a retained context adds the log share that it leaves to its suffix, and
+    an entry what its own law gives beyond that. The table of values (key, count, value, weight, longer) holds these sums
+    for runs (``longer``) and words, and the words' counts.
     """
-    words = work_table(_count_words(train), "word-counts")
+    words = work_table(_count_words(train), "words")
     sums = scalars(words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types")))
-    least = max(LEAST_COUNT, support * sums["tokens"])
-    table = words.filter((F.col("n") >= least) | (F.col("word") == END)).toArrow()  # 1 / support words at most, and the end
-    frequent = sorted(zip([bytes(w) for w in table.column("word").to_pylist()], table.column("n").to_pylist()))
-    if not frequent or frequent[0][0] != END:
-        frequent.insert(0, (END, 0))
-    counts = np.array([n for _, n in frequent], dtype=np.int64)
-    tree = Tree([w for w, _ in frequent], counts, np.log((counts + 0.5) / (sums["tokens"] + 0.5 * (sums["types"] + 1))), sums["tokens"], sums["types"])
-    base, total = len(tree.words) + 1, counts
-    for length in range(depth):
-        keys, n = _count_runs(train, tree, least)
-        if not len(keys):
+    base = F.log((F.col("n") + 0.5) / (sums["tokens"] + 0.5 * (sums["types"] + 1)))
+    law = words.filter(F.col("n") >= least).select("key", "n", base.alias("logp"), F.lit(True).alias("open"))
+    keys = law.select("key")
+    counted = {}
+    for length in range(2, depth + 2):
+        found = work_table(_count_runs(train, length, _filter(keys), length == depth + 1, least), f"runs-{length}")
+        counted[length] = found
+        keys = found.filter(F.col("length") == length).select("key")
+    levels, values = [], words.select("key", F.col("n").alias("count"), F.lit(0.0).alias("value"), F.col("n").alias("weight"), F.lit(False).alias("longer"))
+    for length in range(2, depth + 2):
+        own = counted[length].filter(F.col("length") == length)
+        if length <= depth:
+            parts = counted[length + 1].filter(F.col("length") == length).select("key", "context", "suffix")
+            own = own.select("key", "n").join(parts, "key")
+        law, contexts, added = _level(own.select("key", "n", "context", "suffix"), law, f"level-{length - 1}")
+        levels.append((law, contexts))
+        values = values.unionByName(added.select("key", F.lit(0).cast("long").alias("count"), "value", "weight", F.lit(True).alias("longer")))
+    values = values.groupBy("key").agg(
+        F.sum("count").alias("count"), F.sum("value").alias("value"), F.max("weight").alias("weight"), F.every("longer").alias("longer")
+    )
+    return work_table(values, "tree"), sums, levels
+
+
+def _least_cached(values: DataFrame, most: int) -> int:
+    """The smallest power of two so that at most ``most`` rows weigh as much."""
+    sizes = values.groupBy(F.floor(F.log2("weight") + 1e-9).cast("int").alias("size")).count().collect()  # 64 rows at most
+    held, least = 0, 64
+    for size, rows in sorted(sizes, reverse=True):
+        held += rows
+        if held > most:
             break
-        context, word = keys // base, keys % base
-        suffix = _number_of(tree, _words_of(tree, length + 1, context)[1:]) if length else None
-        parents = _log_after(tree, length, suffix, word)
-        level = _level(tree, keys, n, total, parents)
-        if length:  # a retained context's suffix is retained as well
-            level = _closed(tree, level, length)
-        tree.levels.append(level)
-        tree.grams.append(keys)
-        total = n
-    tree.grams = tree.grams[: max(0, len(tree.levels) - 1)]
-    return tree, words
-
-
-def _words_of(tree: Tree, length: int, gram: np.ndarray) -> list[np.ndarray]:
-    """The word numbers of runs of ``length`` words, first word first."""
-    base, out = len(tree.words) + 1, []
-    for depth in range(length - 2, -1, -1):
-        key = tree.grams[depth][gram]
-        out.append(key % base)
-        gram = key // base
-    return [gram, *out[::-1]]
-
-
-def _number_of(tree: Tree, words: list[np.ndarray]) -> np.ndarray:
-    number, base = words[0], len(tree.words) + 1
-    for depth, word in enumerate(words[1:]):
-        number = place_of(tree.grams[depth], joined(number, word, base))
-    return number
-
-
-def _log_after(tree: Tree, length: int, suffix: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Log probability of a word after a context of ``length`` words, by the levels that there are."""
-    if length == 0:
-        return tree.log_base[word]
-    level = tree.levels[length - 1]
-    words = _words_of(tree, length, suffix)
-    shorter = None if length == 1 else _number_of(tree, words[1:])
-    below = tree.log_base[word] if length == 1 else _log_after(tree, length - 1, shorter, word)
-    at = place_of(level.contexts, suffix)
-    entry = place_of(level.keys, joined(suffix, word, len(tree.words) + 1))
-    longer = np.where(entry >= 0, level.logp[entry] if len(level.logp) else 0.0, (level.log_rest[at] if len(level.log_rest) else 0.0) + below)
-    return np.where(at >= 0, longer, below)
-
-
-def _closed(tree: Tree, level: Level, length: int) -> Level:
-    base = len(tree.words) + 1
-    words = _words_of(tree, length + 1, level.contexts)
-    suffix = _number_of(tree, words[1:])
-    kept = place_of(tree.levels[length - 1].contexts, suffix) >= 0
-    contexts = level.contexts[kept]
-    entries = place_of(contexts, level.keys // base) >= 0
-    return Level(level.keys[entries], level.logp[entries], contexts, level.log_rest[kept])
-
-
-def scored(docs: DataFrame, tree: Tree, words: DataFrame, carried: list[str], text_col: str = "text") -> DataFrame:
+        least = size
+    return 1 << min(least, 62)
+
+
+def scored(docs: DataFrame, values: DataFrame, sums: dict, carried: list[str], text_col: str = "text", depth: int = DEPTH, cached: int = CACHED) -> DataFrame:
     """The ``carried`` columns of each row with n_tokens, n_known, base_score and score (log10 of the whole text).
 
-    A task scores its texts under the tree as far as frequent words go. The other words of each text meet
-    the counts of all training words in a join; what they add, their base probability, is the same
-    under the tree. A null text is an empty one: the end token alone.
+    A task adds up the values of the words and runs that it holds, ``cached`` at most. The other words of each text, and the runs
+    that the filter of the other values lets through, meet all values in a join. A run's value can only be there if its suffix's
+    is, so longer runs are looked for behind known ones alone. A null text is an empty one: the end token alone.
     """
-    base = np.log(tree.tokens + 0.5 * (tree.types + 1))
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    names = list(carried)
-    chosen = docs.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    from_weight = _least_cached(values, cached)
+    held = values.filter(F.col("weight") >= from_weight).select("key", "count", "value").toArrow()
+    key = held.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    known = (key[order], held.column("count").to_numpy()[order], held.column("value").to_numpy()[order])
+    rest = _filter(values.filter((F.col("weight") < from_weight) & F.col("longer")).select("key"))
+    shared = docs.sparkSession.sparkContext.broadcast((known, rest))
+    log_all = float(np.log(sums["tokens"] + 0.5 * (sums["types"] + 1)))
+    names = [f"_carried_{i}" for i in range(len(carried))]
+    chosen = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
 
     def run(batches):
-        tree = shared.value
-        coder, task, number = _Coder(tree.words, tree.grams), TaskContext.get().partitionId(), 0
-        for batch in _small(batches):
-            texts = utf8(batch, "text")
+        (keys, counts, values), rest = shared.value
+        task, number = TaskContext.get().partitionId(), 0
+
+        def look_up(wanted):
+            """Distinct keys, each place's among them, and where they are held (or -1)."""
+            own, which = np.unique(wanted, return_inverse=True)
+            at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+            return own, which, np.where(keys[at] == own, at, -1) if len(keys) else np.full(len(own), -1)
+
+        for batch in _slices(batches, "_text"):
+            words = _Slice(utf8(batch, "_text"))
+            texts = len(words.sizes)
             if not texts:
                 continue
-            numbers, begin, words_of = coder.numbers(texts)
-            logp = _log_probabilities(tree, coder.runs(numbers, begin), numbers, begin)
-            plain = np.where(numbers >= 0, tree.log_base[numbers], 0.0)
-            plain[begin] = logp[begin] = 0
-            known = (numbers >= 0) & (tree.counts[numbers] > 0)
-            known[begin] = False
-            size = np.diff(np.r_[begin, len(numbers)])
-            rows = (np.int64(task) << 33) + number + np.arange(len(texts))
-            number += len(texts)
-            row, word, times = [], [], []
-            rare = numbers < 0
-            for i, at in enumerate(begin.tolist()):
-                own = np.flatnonzero(rare[at + 1 : at + size[i] - 1])
-                if len(own):
-                    counts = Counter(words_of[i][k] for k in own.tolist())
-                    row += [i] * len(counts)
-                    word += counts
-                    times += counts.values()
-            index = np.r_[np.arange(len(texts)), np.array(row, dtype=np.int64)]
-            extra = np.zeros(len(row))
-            word = [b" %d" % r for r in rows.tolist()] + word  # no token holds a blank
-            carried_columns = [batch.column(name).take(pa.array(index)) for name in names]
-            sums = [np.r_[np.add.reduceat(x, begin), extra] for x in (known.astype(np.int64), plain, logp)]
+            own, which, at = look_up(words.hashes)
+            token = words.place > 0
+            count = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
+            plain = np.where(at >= 0, np.log(count + 0.5) - log_all, 0.0)[which] * token
+            added = np.where(at >= 0, values[at] if len(values) else 0.0, 0.0)[which] * (words.place < words.sizes[words.row] - 1)
+            log = plain + added
+            missing = np.flatnonzero(token & (at < 0)[which])
+            open_rows, open_keys, open_words = [words.row[missing]], [words.hashes[missing]], [np.ones(len(missing), dtype=bool)]
+            runs, alive = words.hashes, np.ones(len(words.place), dtype=bool)
+            for length in range(2, depth + 2):
+                runs = words.longer(runs)
+                places = np.flatnonzero(alive & (words.place >= length - 1))
+                own, which, at = look_up(runs[places])
+                log[places] += np.where(at >= 0, values[at] if len(values) else 0.0, 0.0)[which]
+                other = (at < 0) & in_filter(rest, own)
+                found = places[other[which]]
+                open_rows.append(words.row[found])
+                open_keys.append(runs[found])
+                open_words.append(np.zeros(len(found), dtype=bool))
+                alive = np.zeros(len(words.place), dtype=bool)
+                alive[places] = ((at >= 0) | other)[which]
+            row, key, word = np.concatenate(open_rows), np.concatenate(open_keys), np.concatenate(open_words)
+            order = np.lexsort((key, row))
+            row, key, word = row[order], key[order], word[order]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])]) if len(row) else np.zeros(0, dtype=np.int64)
+            times = np.diff(np.r_[first, len(row)])
+            rows = (np.int64(task) << 33) + number + np.arange(texts)
+            number += texts
+            index = np.r_[np.arange(texts), row[first]]
+            none = np.zeros(len(first))
+            known_words = token & np.isin(words.hashes, keys[counts > 0])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[index]), *carried_columns, pa.array(word, pa.binary()), pa.array(np.r_[np.zeros(len(texts), np.int64), np.array(times, np.int64)]),
-                 pa.array(np.r_[size - 1, extra.astype(np.int64)]), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
-                names=["row", *names, "word", "times", "n_tokens", "n_known", "base", "log"],
+                [
+                    pa.array(rows[index]), *[batch.column(n).take(pa.array(index)) for n in names], _signed(np.r_[rows.view(np.uint64), key[first]]),
+                    pa.array(np.r_[np.zeros(texts, np.int64), times]), pa.array(np.r_[np.zeros(texts, bool), word[first]]),
+                    *[pa.array(np.r_[s, none].astype(np.int64)) for s in (words.sizes - 1, np.add.reduceat(known_words.astype(np.int64), words.begin))],
+                    *[pa.array(np.r_[np.add.reduceat(s, words.begin), none]) for s in (plain, log)],
+                ],
+                names=["row", *names, "key", "times", "word", "n_tokens", "n_known", "base", "log"],
             )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    parts = chosen.mapInArrow(run, f"row long, {kinds}, word binary, times long, n_tokens long, n_known long, base double, log double")
-    rest = words.select(F.col("word").alias("known_word"), F.col("n").alias("count"))
-    met = parts.join(rest, F.col("word") == F.col("known_word"), "left")
-    rare = F.col("times") * (F.log(F.coalesce("count", F.lit(0)) + 0.5) - float(base))
+    kinds = ", ".join(f"{n} {chosen.schema[n].dataType.simpleString()}" for n in names)
+    parts = chosen.mapInArrow(run, f"row long, {kinds}, key long, times long, word boolean, n_tokens long, n_known long, base double, log double")
+    met = parts.join(values.select("key", "count", "value"), "key", "left")
+    seen = F.coalesce("count", F.lit(0))
+    plain = F.when(F.col("word"), F.col("times") * (F.log(seen + 0.5) - log_all)).otherwise(0.0)
     met = met.select(
-        "row", *names, "n_tokens", (F.col("n_known") + F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("n_known"), (F.col("base") + rare).alias("base"), (F.col("log") + rare).alias("log")
-    )
+        "row", *names, "n_tokens", (F.col("n_known") + F.when(F.col("word") & (seen > 0), F.col("times")).otherwise(0)).alias("n_known"),
+        (F.col("base") + plain).alias("base"), (F.col("log") + plain + F.col("times") * F.coalesce("value", F.lit(0.0))).alias("log"),
+    )
     ten = float(np.log(10))
-    return met.groupBy("row", *names).agg(
+    sums_by_row = met.groupBy("row", *names).agg(
         F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), (F.sum("base") / ten).alias("base_score"), (F.sum("log") / ten).alias("score")
-    ).drop("row")
+    )
+    return sums_by_row.select(*[F.col(n).alias(c) for n, c in zip(names, carried)], "n_tokens", "n_known", "base_score", "score")
 
 
-def score_texts(train: DataFrame, docs: DataFrame, carried: list[str], text_col: str = "text", depth: int = DEPTH, support: float = SUPPORT) -> DataFrame:
+def score_texts(train: DataFrame, docs: DataFrame, carried: list[str], text_col: str = "text", depth: int = DEPTH, least: int = LEAST_COUNT) -> DataFrame:
     """Scores of ``docs`` by the tree of ``train``; see ``grow`` and ``scored``. train_tokens is added.
 
-    Words are what stands between ASCII blanks, A-Z lower-cased; each text ends with one end token.
-    The base law gives a word (c + 0.5) / (N + 0.5 (V + 1)); the tree's laws sum to one
-    over the training words and one unknown word. Repeated rows count and are scored as often
-    as they occur. Without training rows all words are unknown.
+    Words are what stands between ASCII blanks, A-Z lower-cased; each text ends with one end token. Words and
+    runs are told apart by 64-bit hashes. The base law gives a word (c + 0.5) / (N + 0.5 (V + 1)); the tree's laws sum to one
+    over the training words and one unknown word. Repeated rows count and are scored as often as they occur. Without
+    training rows all words are unknown. Carried columns may have any names but those of the scores.
     """
-    tree, words = grow(train.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), depth, support)
-    return scored(docs, tree, words, carried, text_col).withColumn("train_tokens", F.lit(tree.tokens).cast("long"))
+    values, sums, _ = grow(train.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")), depth, least)
+    return scored(docs, values, sums, carried, text_col, depth).withColumn("train_tokens", F.lit(sums["tokens"]).cast("long"))
