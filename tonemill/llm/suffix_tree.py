@@ -21,9 +21,13 @@ DEPTH = 3
 DISCOUNT = 0.75
 #: A task looks the most frequent words and runs up in memory (24 bytes each); all others meet their values in a join.
 CACHED = 1 << 20
+#: Places of each of the two hash tables over them (16 MB each); the few that find none are met in the join as well.
+PLACES = 1 << 22
 #: Bits of the filters of runs that a task holds: fixed, so is their size (8 MB). Where one fills up, more runs are
 #: exchanged than need be; counts and scores stay right.
 FILTER_BITS = 1 << 26
+#: Keys that a counting task remembers so as not to send the same row twice.
+SENT = 1 << 19
 END = b""
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -40,11 +44,13 @@ class _Slice:
             words += [END, *own, END]
             sizes[i] = len(own) + 2
         coded = pa.array(words, pa.binary()).dictionary_encode()
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-        self.hashes = hashes[coded.indices.to_numpy(zero_copy_only=False)]
+        del words
+        self.distinct = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        self.codes = coded.indices.to_numpy(zero_copy_only=False)
+        self.hashes = self.distinct[self.codes]
         self.sizes, self.begin = sizes, np.cumsum(sizes) - sizes
         self.row = np.repeat(np.arange(len(texts)), sizes)
-        self.place = np.arange(len(words)) - self.begin[self.row]
+        self.place = np.arange(len(self.codes)) - self.begin[self.row]
 
     def longer(self, runs: np.ndarray) -> np.ndarray:
         """From the hashes of the runs that end at each token, those of the runs one word longer."""
@@ -77,7 +83,7 @@ def _filter(keys: DataFrame) -> np.ndarray:
 def _slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few megabytes of text, so that few words are held as Python values at a time."""
     for batch in batches:
-        for low, high in text_slices(batch, name):
+        for low, high in text_slices(batch, name, 2 << 20):
             yield batch.slice(low, high - low)
 
 
@@ -91,8 +97,8 @@ def _count_words(train: DataFrame) -> DataFrame:
     def run(batches):
         for batch in _slices(batches, "text"):
             words = _Slice(utf8(batch, "text"))
-            keys, n = np.unique(words.hashes[words.place > 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+            n = np.bincount(words.codes[words.place > 0], minlength=len(words.distinct))
+            yield pa.RecordBatch.from_arrays([_signed(words.distinct), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -107,21 +113,33 @@ def _count_runs(train: DataFrame, length: int, known: np.ndarray, last: bool, le
     shared = train.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
+        sent = np.zeros(SENT, dtype=np.uint64)  # keys whose context and suffix this task has sent, each at its own place
         for batch in _slices(batches, "text"):
             words = _Slice(utf8(batch, "text"))
             shorter, runs = None, words.hashes
             for _ in range(length - 2):
                 shorter, runs = runs, words.longer(runs)
-            frequent = (words.place >= length - 2) & in_filter(shared.value, runs)
+            if shorter is None:
+                frequent = in_filter(shared.value, words.distinct)[words.codes]
+            else:
+                frequent = words.place >= length - 2
+                frequent[frequent] = in_filter(shared.value, runs[frequent])
             chosen = np.flatnonzero(frequent & shifted(frequent) & (words.place >= length - 1))
-            keys, at, n = np.unique(words.longer(runs)[chosen], return_index=True, return_counts=True)
-            at = chosen[at]
-            none = np.zeros(len(at), dtype=np.uint64)
-            out = [(length, keys, n, runs[at - 1] if last else none, runs[at] if last else none)]
+            longer = words.longer(runs)[chosen]
+            if last:
+                keys, at, n = np.unique(longer, return_index=True, return_counts=True)
+                at = chosen[at]
+                out = [(length, keys, n, runs[at - 1], runs[at])]
+            else:
+                keys, n = np.unique(longer, return_counts=True)
+                none = np.zeros(len(keys), dtype=np.uint64)
+                out = [(length, keys, n, none, none)]
             if shorter is not None:
                 chosen = np.flatnonzero(frequent)
+                chosen = chosen[sent[runs[chosen] % np.uint64(SENT)] != runs[chosen]]
                 keys, at = np.unique(runs[chosen], return_index=True)
                 at = chosen[at]
+                sent[keys % np.uint64(SENT)] = keys
                 out.append((length - 1, keys, np.zeros(len(at)), shorter[at - 1], shorter[at]))
             for size, keys, n, context, suffix in out:
                 yield pa.RecordBatch.from_arrays(
@@ -216,6 +234,25 @@ def _least_cached(values: DataFrame, most: int) -> int:
     return 1 << min(least, 62)
 
 
+def _table(key: np.ndarray, count: np.ndarray, value: np.ndarray) -> tuple[tuple, np.ndarray]:
+    """Entries with two hash tables of PLACES places over them, an empty entry at the end, and the rows that found no place."""
+    keys = np.r_[key.view(np.uint64), np.uint64(0)]
+    left = np.arange(len(key))
+    tables = []
+    for shift in (0, 32):
+        places = np.full(PLACES, len(key), dtype=np.int32)
+        wanted = (keys[left] >> np.uint64(shift)) % np.uint64(PLACES)
+        places[wanted] = left
+        left = left[places[wanted] != left]
+        tables.append(places)
+    return (keys, np.r_[count, 0], np.r_[value, 0.0], *tables), left
+
+
+def _add(bits: np.ndarray, keys: np.ndarray) -> None:
+    for place in (keys % np.uint64(FILTER_BITS), (keys >> np.uint64(32)) % np.uint64(FILTER_BITS)):
+        np.bitwise_or.at(bits, place >> np.uint64(6), np.left_shift(np.uint64(1), place & np.uint64(63)))
+
+
 def scored(docs: DataFrame, values: DataFrame, sums: dict, carried: list[str], text_col: str = "text", depth: int = DEPTH, cached: int = CACHED) -> DataFrame:
     """The ``carried`` columns of each row with n_tokens, n_known, base_score and score (log10 of the whole text).
 
@@ -225,66 +262,69 @@ def scored(docs: DataFrame, values: DataFrame, sums: dict, carried: list[str], t
     """
     from_weight = _least_cached(values, cached)
     held = values.filter(F.col("weight") >= from_weight).select("key", "count", "value").toArrow()
-    key = held.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    known = (key[order], held.column("count").to_numpy()[order], held.column("value").to_numpy()[order])
+    table, left = _table(*[held.column(c).to_numpy() for c in ("key", "count", "value")])
     rest = _filter(values.filter((F.col("weight") < from_weight) & F.col("longer")).select("key"))
-    shared = docs.sparkSession.sparkContext.broadcast((known, rest))
+    _add(rest, held.column("key").to_numpy().view(np.uint64)[left])
+    shared = docs.sparkSession.sparkContext.broadcast((table, rest))
     log_all = float(np.log(sums["tokens"] + 0.5 * (sums["types"] + 1)))
     names = [f"_carried_{i}" for i in range(len(carried))]
     chosen = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
 
     def run(batches):
-        (keys, counts, values), rest = shared.value
+        (keys, counts, values, first, second), rest = shared.value
         task, number = TaskContext.get().partitionId(), 0
 
         def look_up(wanted):
-            """Distinct keys, each place's among them, and where they are held (or -1)."""
-            own, which = np.unique(wanted, return_inverse=True)
-            at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-            return own, which, np.where(keys[at] == own, at, -1) if len(keys) else np.full(len(own), -1)
+            """Where keys are held, or the place of the empty last entry, whose value is 0."""
+            at = first[wanted % np.uint64(PLACES)]
+            other = np.flatnonzero(keys[at] != wanted)
+            at[other] = second[(wanted[other] >> np.uint64(32)) % np.uint64(PLACES)]
+            missing = keys[at] != wanted
+            at[missing] = len(keys) - 1
+            return at, missing
 
         for batch in _slices(batches, "_text"):
             words = _Slice(utf8(batch, "_text"))
             texts = len(words.sizes)
             if not texts:
                 continue
-            own, which, at = look_up(words.hashes)
+            at, absent = look_up(words.distinct)
             token = words.place > 0
-            count = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
-            plain = np.where(at >= 0, np.log(count + 0.5) - log_all, 0.0)[which] * token
-            added = np.where(at >= 0, values[at] if len(values) else 0.0, 0.0)[which] * (words.place < words.sizes[words.row] - 1)
-            log = plain + added
-            missing = np.flatnonzero(token & (at < 0)[which])
+            plain = np.where(absent, 0.0, np.log(counts[at] + 0.5) - log_all)[words.codes] * token
+            known = token & (counts[at] > 0)[words.codes]
+            log = plain + values[at][words.codes] * (words.place < words.sizes[words.row] - 1)
+            missing = np.flatnonzero(token & absent[words.codes])
             open_rows, open_keys, open_words = [words.row[missing]], [words.hashes[missing]], [np.ones(len(missing), dtype=bool)]
             runs, alive = words.hashes, np.ones(len(words.place), dtype=bool)
             for length in range(2, depth + 2):
                 runs = words.longer(runs)
                 places = np.flatnonzero(alive & (words.place >= length - 1))
-                own, which, at = look_up(runs[places])
-                log[places] += np.where(at >= 0, values[at] if len(values) else 0.0, 0.0)[which]
-                other = (at < 0) & in_filter(rest, own)
-                found = places[other[which]]
+                own = runs[places]
+                at, absent = look_up(own)
+                log[places] += values[at]
+                absent = np.flatnonzero(absent)
+                other = in_filter(rest, own[absent])
+                found = places[absent[other]]
                 open_rows.append(words.row[found])
                 open_keys.append(runs[found])
                 open_words.append(np.zeros(len(found), dtype=bool))
                 alive = np.zeros(len(words.place), dtype=bool)
-                alive[places] = ((at >= 0) | other)[which]
+                alive[places] = True
+                alive[places[absent[~other]]] = False
             row, key, word = np.concatenate(open_rows), np.concatenate(open_keys), np.concatenate(open_words)
             order = np.lexsort((key, row))
             row, key, word = row[order], key[order], word[order]
-            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])]) if len(row) else np.zeros(0, dtype=np.int64)
-            times = np.diff(np.r_[first, len(row)])
+            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])]) if len(row) else np.zeros(0, dtype=np.int64)
+            times = np.diff(np.r_[starts, len(row)])
             rows = (np.int64(task) << 33) + number + np.arange(texts)
             number += texts
-            index = np.r_[np.arange(texts), row[first]]
-            none = np.zeros(len(first))
-            known_words = token & np.isin(words.hashes, keys[counts > 0])
+            index = np.r_[np.arange(texts), row[starts]]
+            none = np.zeros(len(starts))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rows[index]), *[batch.column(n).take(pa.array(index)) for n in names], _signed(np.r_[rows.view(np.uint64), key[first]]),
-                    pa.array(np.r_[np.zeros(texts, np.int64), times]), pa.array(np.r_[np.zeros(texts, bool), word[first]]),
-                    *[pa.array(np.r_[s, none].astype(np.int64)) for s in (words.sizes - 1, np.add.reduceat(known_words.astype(np.int64), words.begin))],
+                    pa.array(rows[index]), *[batch.column(n).take(pa.array(index)) for n in names], _signed(np.r_[rows.view(np.uint64), key[starts]]),
+                    pa.array(np.r_[np.zeros(texts, np.int64), times]), pa.array(np.r_[np.zeros(texts, bool), word[starts]]),
+                    *[pa.array(np.r_[s, none].astype(np.int64)) for s in (words.sizes - 1, np.add.reduceat(known.astype(np.int64), words.begin))],
                     *[pa.array(np.r_[np.add.reduceat(s, words.begin), none]) for s in (plain, log)],
                 ],
                 names=["row", *names, "key", "times", "word", "n_tokens", "n_known", "base", "log"],
