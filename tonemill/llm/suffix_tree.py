@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.llm.common import scalars, spaced_words, text_slices, utf8
+from tonemill.llm.common import scalars, text_slices
 from tonemill.runtime import work_table
 
 #: Runs of words that the training texts hold this often are in the tree, whatever the corpus's size.
@@ -36,20 +38,20 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 class _Slice:
     """Texts as words between two end tokens each; runs of words are told apart by 64-bit hashes."""
 
-    def __init__(self, texts: list[bytes]):
-        words: list[bytes] = []
-        sizes = np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            own = spaced_words(text)
-            words += [END, *own, END]
-            sizes[i] = len(own) + 2
-        coded = pa.array(words, pa.binary()).dictionary_encode()
-        del words
-        self.distinct = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-        self.codes = coded.indices.to_numpy(zero_copy_only=False)
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        found = lists.flatten()
+        real = pc.binary_length(found).to_numpy(zero_copy_only=False) > 0  # a blank at a text's end leaves an empty word
+        row = pc.list_parent_indices(lists).to_numpy()[real]
+        coded = found.dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist() + [END]
+        self.distinct = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        self.sizes = np.bincount(row, minlength=len(texts)) + 2
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.codes = np.full(int(self.sizes.sum()), len(words) - 1, dtype=np.int32)
+        self.codes[np.arange(len(row)) + 2 * row + 1] = coded.indices.to_numpy(zero_copy_only=False)[real]
         self.hashes = self.distinct[self.codes]
-        self.sizes, self.begin = sizes, np.cumsum(sizes) - sizes
-        self.row = np.repeat(np.arange(len(texts)), sizes)
+        self.row = np.repeat(np.arange(len(texts)), self.sizes)
         self.place = np.arange(len(self.codes)) - self.begin[self.row]
 
     def longer(self, runs: np.ndarray) -> np.ndarray:
@@ -96,26 +98,27 @@ def _count_words(train: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in _slices(batches, "text"):
-            words = _Slice(utf8(batch, "text"))
-            n = np.bincount(words.codes[words.place > 0], minlength=len(words.distinct))
+            words = _Slice(batch.column("text"))
+            n = np.bincount(words.codes[words.place > 0], minlength=len(words.distinct))  # 0 for the empty word
             yield pa.RecordBatch.from_arrays([_signed(words.distinct), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 def _count_runs(train: DataFrame, length: int, known: np.ndarray, last: bool, least: int) -> DataFrame:
-    """(length, key, n, context, suffix): runs of ``length`` words that stand ``least`` times or more in the training texts.
+    """(length, key, n, context, suffix), or the first three: runs of ``length`` words that stand ``least`` times or more in the training texts.
 
     ``known`` is the filter of the runs one word shorter. Only keys and counts are exchanged for all candidates; the keys of
     a run's context and suffix follow in the pass of the next length (rows with n = 0), when few runs are left, or at once
     in the ``last`` pass.
     """
     shared = train.sparkSession.sparkContext.broadcast(known)
+    narrow = length == 2 and not last
 
     def run(batches):
         sent = np.zeros(SENT, dtype=np.uint64)  # keys whose context and suffix this task has sent, each at its own place
         for batch in _slices(batches, "text"):
-            words = _Slice(utf8(batch, "text"))
+            words = _Slice(batch.column("text"))
             shorter, runs = None, words.hashes
             for _ in range(length - 2):
                 shorter, runs = runs, words.longer(runs)
@@ -141,12 +144,18 @@ def _count_runs(train: DataFrame, length: int, known: np.ndarray, last: bool, le
                 at = chosen[at]
                 sent[keys % np.uint64(SENT)] = keys
                 out.append((length - 1, keys, np.zeros(len(at)), shorter[at - 1], shorter[at]))
+            if narrow:
+                yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+                continue
             for size, keys, n, context, suffix in out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(keys), size, np.int32)), _signed(keys), pa.array(n.astype(np.int64)), _signed(context), _signed(suffix)],
                     names=["length", "key", "n", "context", "suffix"],
                 )
 
+    if narrow:
+        sums = train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        return sums.select(F.lit(length).alias("length"), "key", "n")
     rows = train.mapInArrow(run, "length int, key long, n long, context long, suffix long")
     sums = rows.groupBy("length", "key").agg(F.sum("n").alias("n"), F.max("context").alias("context"), F.max("suffix").alias("suffix"))
     return sums.filter((F.col("length") < length) | (F.col("n") >= least))
@@ -223,15 +232,15 @@ def grow(train: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> tupl
 
 
 def _least_cached(values: DataFrame, most: int) -> int:
-    """The smallest power of two so that at most ``most`` rows weigh as much."""
-    sizes = values.groupBy(F.floor(F.log2("weight") + 1e-9).cast("int").alias("size")).count().collect()  # 64 rows at most
-    held, least = 0, 64
+    """The smallest of a row of weights, each a sixteenth of an octave above the last, that at most ``most`` rows reach."""
+    sizes = values.groupBy(F.floor(16 * F.log2("weight")).cast("int").alias("size")).count().collect()  # 992 rows at most
+    held, least = 0, 992
     for size, rows in sorted(sizes, reverse=True):
         held += rows
         if held > most:
             break
         least = size
-    return 1 << min(least, 62)
+    return math.ceil(2 ** (least / 16) - 1e-9)
 
 
 def _table(key: np.ndarray, count: np.ndarray, value: np.ndarray) -> tuple[tuple, np.ndarray]:
@@ -284,7 +293,7 @@ def scored(docs: DataFrame, values: DataFrame, sums: dict, carried: list[str], t
             return at, missing
 
         for batch in _slices(batches, "_text"):
-            words = _Slice(utf8(batch, "_text"))
+            words = _Slice(batch.column("_text"))
             texts = len(words.sizes)
             if not texts:
                 continue
