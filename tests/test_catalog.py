@@ -11,7 +11,7 @@ from check import TABLES, canonical
 FOLDER = "/root/testdata/sf0.001"
 CHECKED = (
     "label_normalize clean_text fix_encoding text_features clean_dedup clean_stats parse_lines stratified_split_70_15_15 "
-    "head_tail_split profile_summary length_histogram length_boxplot top_bigrams lexicon_score lexicon_score_learned "
+    "head_tail_split profile_summary length_histogram length_boxplot top_bigrams top_english_stop top_ngram_table lexicon_score lexicon_score_learned "
     "class_report tfidf_weights logits_to_probs encode_fixed_length best_step decode_codes lexicon_paths labeled_files "
     "delimited_files split_files corpus_files stopword_files run_files table_files report_files"
 ).split()

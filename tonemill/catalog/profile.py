@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonemill.catalog import inputs as I
 from tonemill.catalog import snippets as S
 from tonemill.functions.text import strip
+from tonemill.functions.tokens import stopword_table
 from tonemill.operators import ngrams, profile
 
 STOP = ["the", "of", "and", "to", "in", "la", "le", "de", "der", "die", "und", "el", "que", "is", "it"]
@@ -71,6 +72,12 @@ def top_bigrams_stop(spark: SparkSession, sf: str) -> DataFrame:
     return _top(spark, sf, 2, STOP)
 
 
+def top_english_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """Top unigrams to trigrams without the English stop-words and extras, which meet the tokens as a table."""
+    extra = spark.createDataFrame([(w,) for w in STOP], "word string")
+    return ngrams.top_ngram_table(I.noisy_documents(spark, sf), "doc_id", [1, 2, 3], 50, stopword_table(spark, True, extra))
+
+
 def top_ngram_table(spark: SparkSession, sf: str) -> DataFrame:
     table = ngrams.top_ngram_table(I.noisy_documents(spark, sf), "doc_id", [1, 2, 3], 50, STOP)
     return table.withColumn("rank", F.col("rank").cast("long"))
@@ -94,7 +101,7 @@ def corpus_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     profile_summary, pattern_counts, missing_values, label_distribution, length_by_label, duplicate_counts,
-    top_unigrams, top_bigrams, top_trigrams, top_bigrams_stop, top_ngram_table,
+    top_unigrams, top_bigrams, top_trigrams, top_bigrams_stop, top_english_stop, top_ngram_table,
     length_histogram, length_boxplot, corpus_compare,
 )}
 
@@ -145,7 +152,13 @@ def _top_sql(n: int, stopwords: list[str] | None = None) -> str:
     return f"WITH {I.NOISY}, g AS ({_grams(n, stopwords)}) SELECT ngram, count FROM g ORDER BY count DESC, first LIMIT 20"
 
 
-_TABLE = " UNION ALL ".join(f"SELECT {n} AS size, * FROM ({_grams(n, STOP)})" for n in (1, 2, 3))
+def _table_sql(stopwords: list[str]) -> str:
+    sizes = " UNION ALL ".join(f"SELECT {n} AS size, * FROM ({_grams(n, stopwords)})" for n in (1, 2, 3))
+    return f"""
+        WITH {I.NOISY}, g AS ({sizes}),
+        r AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY count DESC, first) AS rank FROM g)
+        SELECT size, rank, ngram, count FROM r WHERE rank <= 50"""
+
 
 ORACLES = {
     "profile_summary": f"""
@@ -175,10 +188,8 @@ ORACLES = {
     "top_bigrams": _top_sql(2),
     "top_trigrams": _top_sql(3),
     "top_bigrams_stop": _top_sql(2, STOP),
-    "top_ngram_table": f"""
-        WITH {I.NOISY}, g AS ({_TABLE}),
-        r AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY count DESC, first) AS rank FROM g)
-        SELECT size, rank, ngram, count FROM r WHERE rank <= 50""",
+    "top_english_stop": _table_sql(sorted({*S.ENGLISH, *STOP})),
+    "top_ngram_table": _table_sql(STOP),
     "length_histogram": f"""
         {_FEAT}, {_LONG},
         span AS (SELECT feature, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi FROM long GROUP BY feature),

@@ -4,6 +4,19 @@ from __future__ import annotations
 
 WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
+#: The words of Spark's English stop-word list, which the oracles state for DuckDB.
+ENGLISH = """
+a about above after again against all am an and any are aren't as at be because been before being below
+between both but by can can't cannot could couldn't did didn't do does doesn't doing don don't down during
+each few for from further had hadn't has hasn't have haven't having he he'd he'll he's her here here's hers
+herself him himself his how how's i i'd i'll i'm i've if in into is isn't it it's its itself just let's me
+more most mustn't my myself no nor not now of off on once only or other ought our ours ourselves out over own
+s same shan't she she'd she'll she's should shouldn't so some such t than that that's the their theirs them
+themselves then there there's these they they'd they'll they're they've this those through to too under until
+up very was wasn't we we'd we'll we're we've were weren't what what's when when's where where's which while
+who who's whom why why's will with won't would wouldn't you you'd you'll you're you've your yours yourself
+yourselves
+""".split()
 URL = rf"https?://[^{WS}]+|www\.[^{WS}]+"
 
 
