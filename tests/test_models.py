@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonemill.operators import blocks, linear, logistic, svm
+from tonemill.operators import blocks, linear, logistic, svm, tfidf
 from tonemill.sinks.writers import load_model, save_model
 
 WORDS = "profit loss gain flat strong weak steady market café shares fell rose outlook guidance".split()
@@ -201,3 +201,18 @@ def test_class_weights():
     assert linear.class_weights(counts, "balanced") == {"a": 2.0, "b": 4 / 6}
     assert linear.class_weights(counts, None) == {"a": 1.0, "b": 1.0}
     assert linear.class_weights(counts, {"a": 5}) == {"a": 5.0, "b": 1.0}
+
+
+def test_terms_are_counted_within_their_text(spark):
+    """No table of (text, term) pairs is aggregated, partitions don't merge, and rows that share their keys are one text."""
+    rows = [(1, "bb aa bb aa bb", "x"), (1, "aa cc", "x"), (2, "! ?", "y"), (3, None, "y"), (None, "Café", "x"), (None, "cafe dd", "x")]
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    terms = tfidf.doc_terms(df, ["id"], (1, 2), ["label"])
+    assert "term" not in "".join(line.split("functions=")[0] for line in terms._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(" in line)
+    assert terms.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    expected = {
+        (1, "x", "aa"): 3, (1, "x", "bb"): 3, (1, "x", "cc"): 1, (1, "x", "aa bb"): 2, (1, "x", "bb aa"): 2, (1, "x", "aa cc"): 1,
+        (2, "y", None): 1, (3, "y", None): 1, (None, "x", "cafe"): 2, (None, "x", "dd"): 1, (None, "x", "cafe dd"): 1,
+    }
+    found = terms.collect()
+    assert {(r.id, r.label, r.term): r.tf for r in found} == expected and len(found) == len(expected)

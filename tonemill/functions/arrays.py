@@ -28,3 +28,20 @@ def decode(index: Column, names: Sequence[str] = C.LABELS) -> Column:
 def named(scores: Column, prefix: str, names: Sequence[str] = C.LABELS) -> list[Column]:
     """One column per class, e.g. ``prob_positive``."""
     return [F.get(scores, F.lit(i)).alias(f"{prefix}_{name}") for i, name in enumerate(names)]
+
+
+def run_lengths(values: Column, name: str, count: str) -> Column:
+    """ARRAY<STRUCT<name, count>> of a sorted array without nulls: its values, each once, and how often they stand there."""
+
+    def runs(values: Column) -> Column:
+        starts = F.filter(F.transform(values, lambda v, i: F.when(~v.eqNullSafe(F.get(values, i - 1)), i)), lambda i: i.isNotNull())
+        return F.get(F.transform(F.array(starts), lambda starts: counted(values, starts)), F.lit(0))
+
+    def counted(values: Column, starts: Column) -> Column:
+        def run(start: Column, i: Column) -> Column:
+            length = F.coalesce(F.get(starts, i + 1), F.size(values)) - start
+            return F.struct(F.get(values, start).alias(name), length.cast("long").alias(count))
+
+        return F.transform(starts, run)
+
+    return F.get(F.transform(F.array(values), runs), F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonemill.functions.accents import fold_accents
+from tonemill.functions.arrays import run_lengths
 from tonemill.functions.tokens import feature_tokens, ngram_range
 
 # A vocabulary is broadcast only when max_features bounds it to this many terms.
@@ -21,17 +22,21 @@ def doc_terms(
 ) -> DataFrame:
     """(keys..., carry..., term, tf): lowercase, fold accents, words of two or more characters, n-grams.
 
-    Folded texts are partitioned by key once, before they are exploded; counting
-    terms per text and every later per-text step then needs no further exchange.
-    Folding comes first because a Python step would hide the partitioning. A
-    text without terms keeps one row with a null term.
+    Folded texts are partitioned by key once and counted within their row, so that no table
+    of (text, term) pairs is kept in memory, and later per-text steps need no further exchange.
+    The partitions are the session's, not merged by adaptive execution, as terms take many times
+    the room of their texts. Folding comes first because a Python step would hide the
+    partitioning. A text without terms keeps one row with a null term.
     """
     carry = carry or []
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lowered = docs.select(*keys, *carry, F.lower(text).alias("_text"))
-    folded = lowered.withColumn("_text", fold_accents(F.col("_text"))).repartition(*keys)
-    tokens = folded.select(*keys, *carry, feature_tokens(F.col("_text")).alias("_tokens"))
-    terms = tokens.select(*keys, *carry, F.explode_outer(ngram_range(F.col("_tokens"), *ngrams)).alias("term"))
-    return terms.groupBy(*keys, *carry, "term").agg(F.count("*").alias("tf"))
+    folded = lowered.withColumn("_text", fold_accents(F.col("_text"))).repartition(partitions, *keys)
+    together = folded.groupBy(*keys, *carry).agg(F.collect_list("_text").alias("_texts"))
+    tokens = together.select(*keys, *carry, F.transform("_texts", feature_tokens).alias("_tokens"))
+    grams = F.flatten(F.transform("_tokens", lambda t: ngram_range(t, *ngrams)))
+    counted = tokens.select(*keys, *carry, F.inline_outer(run_lengths(F.sort_array(grams), "term", "tf")))
+    return counted.withColumn("tf", F.coalesce("tf", F.lit(1).cast("long")))
 
 
 def fit_vocabulary(
@@ -54,9 +59,14 @@ def fit_vocabulary(
     return stats.select("term", "df", "cf", idf.alias("idf"))
 
 
+def is_bounded(max_features: int | None) -> bool:
+    """Whether ``max_features`` keeps a vocabulary provably small."""
+    return max_features is not None and max_features <= MAX_BROADCAST_TERMS
+
+
 def bounded(table: DataFrame, max_features: int | None) -> DataFrame:
     """Hint a broadcast when the term table is provably small; otherwise leave the join to the optimizer."""
-    return F.broadcast(table) if max_features is not None and max_features <= MAX_BROADCAST_TERMS else table
+    return F.broadcast(table) if is_bounded(max_features) else table
 
 
 def raw_weight() -> Column:
