@@ -290,3 +290,19 @@ def test_file_rows_are_numbered_across_splits(spark, tmp_path):
         assert "BroadcastHint" not in df._jdf.queryExecution().analyzed().toString()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_ngrams_of_full_buckets_are_the_most_frequent(spark, monkeypatch):
+    """Counting by bucket first leaves out n-grams, and none of the best with their ties."""
+    word = lambda n: "".join("abcdefghij"[int(d)] for d in f"{n:03}")
+    rows = [(i, " ".join(word((i * j * j) % 23 if j % 3 else i * 7 + j) for j in range(1, 14))) for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    whole = ngrams.top_ngram_table(df, "id", [1, 2, 3], 9).collect()
+    monkeypatch.setattr(ngrams, "FEW", 0)
+    monkeypatch.setattr(ngrams, "BUCKETS", 64)
+    assert sorted(ngrams.top_ngram_table(df, "id", [1, 2, 3], 9).collect()) == sorted(whole) and len(whole) == 27
+    monkeypatch.setattr(ngrams, "BUCKETS", 1 << 16)
+    assert sorted(ngrams.top_ngram_table(df, "id", [1, 2, 3], 9).collect()) == sorted(whole)
+    assert ngrams.frequent_counts(df, "id", [1, 2, 3], 9).count() < ngrams.ngram_counts(df, "id", [1, 2, 3]).count() / 2
+    assert ngrams.top_ngrams(df, "id", 2, 9).collect() == [(r.ngram, r["count"]) for r in sorted(whole, key=lambda r: r["rank"]) if r.size == 2]
+    assert len(ngrams.top_ngram_table(df, "id", [2], 10**4).collect()) == ngrams.ngram_counts(df, "id", [2]).count()
