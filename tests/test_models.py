@@ -216,3 +216,27 @@ def test_terms_are_counted_within_their_text(spark):
     }
     found = terms.collect()
     assert {(r.id, r.label, r.term): r.tf for r in found} == expected and len(found) == len(expected)
+
+
+def test_bounded_vocabulary_is_certified_over_many_parts(spark, train, monkeypatch):
+    """The gap is that of the dual variables at the margins, and reaches its goal however rows are dealt to parts."""
+    monkeypatch.setattr(blocks, "PART_ROWS", 15)
+    rows = corpus()
+    terms, x = matrix(rows, 2, 40)
+    features = linear.build_features(train, ["id"], CONFIG)
+    assert features.parts.count() > 2
+    model = linear.fit(features, {**CONFIG, "type": "linear_svm", "max_iter": 100})
+    assert "layout" not in vars(features) and max(model.gap) <= svm.GAP
+    coef, bias = coefficients(model, terms)
+    y = np.array([model.classes.index(r[2]) for r in rows])
+    cost = CONFIG["C"] * len(y) / (3 * np.bincount(y))[y]
+    for c in range(3):
+        sign = np.where(y == c, 1.0, -1.0)
+        slack = np.maximum(0, 1 - sign * (x @ coef[c] + bias[c]))
+        primal = 0.5 * (coef[c] @ coef[c] + bias[c] ** 2) + (cost * slack**2).sum()
+        alpha = 2 * cost * slack
+        pushed = np.append((alpha * sign) @ x, (alpha * sign).sum())
+        dual = (alpha - alpha**2 / (4 * cost)).sum() - 0.5 * pushed @ pushed
+        assert (primal - dual) / primal == pytest.approx(model.gap[c], abs=1e-9)
+    logreg = linear.fit(features, {**CONFIG, "type": "logreg", "max_iter": 100})
+    assert all(r.gradient <= logistic.TOLERANCE * 2 for r in linear.optimality(features, logreg, CONFIG).collect())

@@ -34,9 +34,8 @@ class Layout:
     blocks: DataFrame
 
 
-def lay_out(rows: DataFrame, count: int) -> Layout:
-    """``rows`` has target and features STRUCT<indices, values, ...>, one sparse row for each of ``count`` texts."""
-    block = BLOCK
+def packed(rows: DataFrame, count: int) -> DataFrame:
+    """(part, target, starts, places, values, terms) of ``count`` sparse rows: target and features STRUCT<indices, values, ...>."""
     most = PART_ROWS
     rows = rows.repartition(-(-count // most) or 1)
 
@@ -66,8 +65,13 @@ def lay_out(rows: DataFrame, count: int) -> Layout:
                 )
 
     plain = rows.select("target", "features.indices", "features.values")
-    packed = plain.mapInArrow(pack, "part long, target array<int>, starts array<int>, places array<int>, values array<double>, terms array<long>")
-    parts = bucketed_table(packed, "part", "parts")
+    return plain.mapInArrow(pack, "part long, target array<int>, starts array<int>, places array<int>, values array<double>, terms array<long>")
+
+
+def lay_out(rows: DataFrame, count: int) -> Layout:
+    """The layout of ``packed`` rows."""
+    block = BLOCK
+    parts = bucketed_table(packed(rows, count), "part", "parts")
 
     # Terms are in order within a part, so each block's are a run of them.
     needed = parts.select("part", F.explode("terms").alias("term")).select("part", F.floor(F.col("term") / block).alias("block"), (F.col("term") % block).cast("int").alias("place"))

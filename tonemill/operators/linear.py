@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tonemill import constants as C
 from tonemill.functions.arrays import argmax, decode, softmax
-from tonemill.operators import blocks, logistic, svm, tfidf
+from tonemill.operators import blocks, dense, logistic, svm, tfidf
 from tonemill.runtime import work_table
 
 # Buckets in which the terms of a vocabulary are numbered side by side.
@@ -86,13 +86,22 @@ class Features:
             raise ValueError("The vocabulary is empty.")
         return numbered
 
-    @cached_property
-    def layout(self) -> blocks.Layout:
-        """The sparse rows of all texts in parts, shared by the solvers."""
+    def _rows(self) -> DataFrame:
+        """(target, features) of all texts."""
         weighted = tfidf.tfidf_weights(self.terms, self.numbered, self.keys, self.max_features, keep_empty=True)
         index = F.create_map(*[F.lit(x) for i, c in enumerate(self.classes) for x in (c, i)])
         rows = feature_rows(weighted, self.keys)
-        return blocks.lay_out(rows.select(index[F.col("label")].alias("target"), F.struct("indices", "values").alias("features")), sum(self.counts.values()))
+        return rows.select(index[F.col("label")].alias("target"), F.struct("indices", "values").alias("features"))
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        """The sparse rows of all texts in parts, for solvers whose coefficients are bounded."""
+        return work_table(blocks.packed(self._rows(), sum(self.counts.values())), "parts")
+
+    @cached_property
+    def layout(self) -> blocks.Layout:
+        """The same rows with their terms in blocks, for coefficients without a bound."""
+        return blocks.lay_out(self._rows(), sum(self.counts.values()))
 
 
 def build_features(docs: DataFrame, keys: list[str], config: Mapping[str, Any] | None = None) -> Features:
@@ -178,13 +187,22 @@ def _fit_dense(kind: str, features: Features, config: Mapping[str, Any]) -> Term
         raise ValueError("A discriminative classifier needs at least two classes.")
     weights = list(class_weights(features.counts, config.get("class_weight")).values())
     penalty, gap = float(config.get("C", 1.0)), None
-    if kind == "logreg":
-        vectors, intercepts = logistic.solve(features.layout, len(classes), weights, penalty, config.get("max_iter", 300))
+    if tfidf.is_bounded(features.max_features):
+        data, terms = features.parts, features.numbered.count()
+        if kind == "logreg":
+            coefficients, intercepts = dense.fit_logistic(data, terms, len(classes), weights, penalty, config.get("max_iter", 300))
+        else:
+            coefficients, intercepts, certificate = dense.fit_svm(data, terms, len(classes), weights, penalty, config.get("max_iter", 200))
+        found = dense.term_rows(data.sparkSession, coefficients)
     else:
-        vectors, intercepts, certificate = svm.solve(features.layout, len(classes), weights, penalty, config.get("max_iter", 200))
+        if kind == "logreg":
+            vectors, intercepts = logistic.solve(features.layout, len(classes), weights, penalty, config.get("max_iter", 300))
+        else:
+            vectors, intercepts, certificate = svm.solve(features.layout, len(classes), weights, penalty, config.get("max_iter", 200))
+        found = blocks.term_rows(vectors, len(intercepts))
+    if kind != "logreg":
         gap = tuple(certificate.gap.tolist())
     width = len(intercepts)
-    found = blocks.term_rows(vectors, width)
     if width < len(classes):
         # One row, for the second class; the first class scores zero.
         found, intercepts, width = found.withColumns({"c1": F.col("c0"), "c0": F.lit(0.0)}), [0.0, intercepts[0]], 2
