@@ -306,3 +306,15 @@ def test_ngrams_of_full_buckets_are_the_most_frequent(spark, monkeypatch):
     assert ngrams.frequent_counts(df, "id", [1, 2, 3], 9).count() < ngrams.ngram_counts(df, "id", [1, 2, 3]).count() / 2
     assert ngrams.top_ngrams(df, "id", 2, 9).collect() == [(r.ngram, r["count"]) for r in sorted(whole, key=lambda r: r["rank"]) if r.size == 2]
     assert len(ngrams.top_ngram_table(df, "id", [2], 10**4).collect()) == ngrams.ngram_counts(df, "id", [2]).count()
+
+
+def test_lexicon_words_are_counted_within_their_text(spark):
+    """Hits are summed by key alone: no table of (text, word) pairs is aggregated, and rows that share a key share their hits."""
+    rows = [(1, "good good bad"), (1, "good"), (2, None), (None, "bad Bad none"), (3, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    words = spark.createDataFrame([("GOOD", True, False), ("BAD", False, True)], "word string, positive boolean, negative boolean")
+    scored = lexicon.score(df, ["id"], words)
+    aggregates = [line.split("functions=")[0] for line in scored._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(" in line]
+    assert aggregates and "_word" not in "".join(aggregates)
+    found = sorted((str(r.id), r.text or "", r.positive_hits, r.negative_hits, r.prediction) for r in scored.collect())
+    assert found == [("1", "good", 3, 1, "positive"), ("1", "good good bad", 3, 1, "positive"), ("2", "", 0, 0, "neutral"), ("3", "", 0, 0, "neutral"), ("None", "bad Bad none", 0, 2, "negative")]

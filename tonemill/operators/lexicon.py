@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonemill.functions.arrays import run_lengths
 from tonemill.functions.tokens import lexicon_tokens
 
 
@@ -49,13 +50,13 @@ def score(
     """Append positive_hits, negative_hits, lexicon_score and prediction, for a lexicon of any size.
 
     ``keys`` identify a row; null counts as a key value, and a null text has no
-    hits. Repeats collapse inside their row first, so a frequent word
+    hits. Repeats are counted inside their row, without an exchange, so a frequent word
     contributes one row per text; adaptive execution splits its join partition or
     broadcasts a lexicon that turns out small. Only keys and counts are joined
     back to the rows.
     """
-    tokens = df.select(*keys, F.explode(lexicon_tokens(F.coalesce(text, F.lit("")))).alias("_word"))
-    counts = tokens.groupBy(*keys, "_word").agg(F.count("*").alias("_n"))
+    words = F.sort_array(lexicon_tokens(F.coalesce(text, F.lit(""))))
+    counts = df.select(*keys, F.inline(run_lengths(words, "_word", "_n")))
     listed = lexicon.select(F.col("word").alias("_word"), "positive", "negative")
     hits = (
         counts.join(listed, "_word")
