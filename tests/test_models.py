@@ -2,6 +2,7 @@
 
 import math
 import re
+import threading
 import unicodedata
 from collections import Counter
 
@@ -9,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonemill.operators import blocks, linear, logistic, svm, tfidf
+from tonemill.operators import blocks, dense, linear, logistic, svm, tfidf
+from tonemill.plans import experiments
 from tonemill.sinks.writers import load_model, save_model
 
 WORDS = "profit loss gain flat strong weak steady market café shares fell rose outlook guidance".split()
@@ -240,3 +242,37 @@ def test_bounded_vocabulary_is_certified_over_many_parts(spark, train, monkeypat
         assert (primal - dual) / primal == pytest.approx(model.gap[c], abs=1e-9)
     logreg = linear.fit(features, {**CONFIG, "type": "logreg", "max_iter": 100})
     assert all(r.gradient <= logistic.TOLERANCE * 2 for r in linear.optimality(features, logreg, CONFIG).collect())
+
+
+def test_few_rows_still_use_the_cores(spark):
+    """Rows of one part's size at most are dealt to several parts, whose sums are those of all rows, empty ones included."""
+    n = 4 * dense.LEAST_ROWS
+    rows = [(i % 3, ([i % 7, 7 + i % 5], [1.0 + i % 2, 0.5]) if i % 11 else ([], [])) for i in range(n)]
+    df = spark.createDataFrame(rows, "target int, features struct<indices: array<int>, values: array<double>>")
+    parts = dense.packed(df, n)
+    assert n <= blocks.PART_ROWS and parts.count() == min(4, spark.sparkContext.defaultParallelism)
+    x = np.zeros((n, 12))
+    for i, (_, (indices, values)) in enumerate(rows):
+        x[i, indices] = values
+    y, at = np.array([r[0] for r in rows]), np.random.default_rng(1).normal(size=(2, 13))
+    found = dense._summed(parts.rdd, at, lambda target, scores: (scores.sum(axis=1), scores * (target == 1)), 2)
+    scores = x @ at[:, :-1].T + at[:, -1]
+    pulls = scores * (y == 1)[:, None]
+    assert np.allclose(found, np.c_[pulls.T @ x**2, pulls.sum(axis=0), scores.sum(axis=0)])
+
+
+def test_grid_fits_classifiers_at_once(spark, train, monkeypatch):
+    """Both corpora's solvers run at the same time; each cell gets its own model."""
+    met, fit = threading.Barrier(4, timeout=60), linear.fit
+
+    def meeting(features, config):
+        if config["type"] != "naive_bayes":
+            met.wait()
+        return fit(features, config)
+
+    monkeypatch.setattr(linear, "fit", meeting)
+    evals = train.withColumn("eval_name", F.lit("all"))
+    corpora = {"all": (train, evals), "most": (train.where("id < 60"), evals)}
+    specs = [{"type": "logreg"}, {"type": "linear_svm"}, {"type": "naive_bayes"}]
+    rows = experiments.grid_predictions(corpora, specs, {**CONFIG, "max_iter": 5}, ["eval_name", "id"], ["id"]).groupBy("run_name", "model_type").count().collect()
+    assert {(r.run_name, r.model_type): r["count"] for r in rows} == {(f"{c}_{s['type']}", s["type"]): train.count() for c in corpora for s in specs}

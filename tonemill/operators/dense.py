@@ -1,7 +1,8 @@
 """Logistic regression and linear SVM over a vocabulary that ``max_features`` bounds, by L-BFGS.
 
 A pass is one job: tasks get the coefficients as a broadcast, evaluate their parts of the rows and add up one gradient each;
-the gradients meet by block of terms. The driver holds the coefficients, as a broadcast join of the bounded vocabulary
+the gradients meet by block of terms. Parts are stored as bytes, which tasks view as arrays, and
+passes run over the table's rows as planned once and kept where executors have room: a pass converts no values and plans no query. The driver holds the coefficients, as a broadcast join of the bounded vocabulary
 does, and the remembered steps, never rows. Vocabularies without a bound are left to the solvers over term blocks.
 """
 
@@ -12,13 +13,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import RDD
+from pyspark.sql import DataFrame, Row, SparkSession
 
-from tonemill.operators import logistic, svm
+from tonemill.operators import blocks, logistic, svm
 
 #: Remembered steps, and the coefficients of a class in one row of the exchange.
 MEMORY = 30
 BLOCK = 4096
+#: Rows that a part has at least before rows are dealt to more parts than ``blocks.PART_ROWS`` asks for, up to one a core.
+LEAST_ROWS = 256
+#: A part's arrays, as bytes: each row's class and number of entries, and the entries' terms and values.
+ARRAYS = {"target": "int32", "counts": "int32", "terms": "int32", "values": "float64"}
 
 
 def term_rows(spark: SparkSession, coefficients: np.ndarray) -> DataFrame:
@@ -27,50 +33,71 @@ def term_rows(spark: SparkSession, coefficients: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pa.table({"term_id": pa.array(np.arange(coefficients.shape[1], dtype=np.int32)), **columns}))
 
 
-def _summed(parts: DataFrame, at: np.ndarray, evaluate: Callable) -> np.ndarray:
-    """Sums over all rows of what ``evaluate`` finds: by class the derivatives by term and intercept, and the loss last."""
-    (width, size), block = at.shape, BLOCK
-    sent = parts.sparkSession.sparkContext.broadcast(at)
+def packed(rows: DataFrame, count: int) -> DataFrame:
+    """The columns of ``ARRAYS``, a part a row, of ``count`` sparse rows: target and features STRUCT<indices, values, ...>."""
+    most, cores = blocks.PART_ROWS, rows.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(max(-(-count // most), min(cores, -(-count // LEAST_ROWS)), 1))
+    arrays = dict(ARRAYS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow as pa
 
-        at, total = sent.value, np.zeros((width, size + 1))
-        for batch in batches:
-            for i in range(batch.num_rows):
-                *row, terms = (batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("target", "starts", "places", "values", "terms"))
-                loss, by_term, by_bias = evaluate(row, at[:, terms], at[:, -1])
-                total[:, terms] += by_term
-                total[:, -2] += by_bias
-                total[:, -1] += loss
-        pieces = [total[:, low : low + block].ravel() for low in range(0, size + 1, block)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int64()), pa.array(pieces, pa.list_(pa.float64()))], names=["block", "vector"])
-
-    def add(met: pa.Table) -> pa.Table:
-        import pyarrow as pa
+        for whole in batches:
+            for low in range(0, whole.num_rows, most):
+                batch = whole.slice(low, most)
+                found = {
+                    "target": batch.column("target"), "counts": np.diff(batch.column("indices").offsets.to_numpy()),
+                    "terms": batch.column("indices").flatten(), "values": batch.column("values").flatten(),
+                }
+                yield pa.RecordBatch.from_pydict({n: pa.array([np.asarray(found[n], dtype=kind).tobytes()], pa.binary()) for n, kind in arrays.items()})
+
+    schema = ", ".join(f"{n} binary" for n in ARRAYS)
+    return rows.select("target", "features.indices", "features.values").mapInArrow(pack, schema)
 
-        whole = met.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(met.num_rows, -1).sum(axis=0)
-        return pa.table({"block": met.column("block").slice(0, 1), "vector": pa.array([whole], pa.list_(pa.float64()))})
 
-    flat = parts.select("target", "starts", "places", "values", "terms").mapInArrow(run, "block long, vector array<double>")
-    found = flat.groupBy("block").applyInArrow(add, "block long, vector array<double>").collect()  # as many numbers as coefficients
+def _summed(parts: RDD, at: np.ndarray, evaluate: Callable, power: int = 1) -> np.ndarray:
+    """Sums over all rows: by class the derivatives by term and intercept, and the loss last.
+
+    ``evaluate`` gives the losses by class and the derivatives by class and row, from targets and scores by class and row.
+    ``power`` is that of the values by which the derivatives by term weigh rows.
+    """
+    (width, size), block, arrays = at.shape, BLOCK, dict(ARRAYS)
+    sent = parts.context.broadcast(at)
+
+    def run(rows: Iterator[Row]) -> Iterator[tuple[int, np.ndarray]]:
+        import numpy as np
+
+        at, total = sent.value, np.zeros((width, size + 1))
+        for row in rows:
+            target, counts, terms, values = (np.frombuffer(row[n], kind) for n, kind in arrays.items())
+            terms, filled = terms.astype(np.intp), counts > 0
+            starts = (np.cumsum(counts) - counts)[filled]
+            scores = np.repeat(at[:, -1:], len(target), axis=1)
+            for c in range(width if len(starts) else 0):
+                scores[c, filled] += np.add.reduceat(values * at[c].take(terms), starts)
+            loss, pulls = evaluate(target, scores)
+            for c in range(width):
+                total[c, :-2] += np.bincount(terms, values**power * np.repeat(pulls[c], counts), minlength=size - 1)
+            total[:, -2] += pulls.sum(axis=1)
+            total[:, -1] += loss
+        yield from ((low, total[:, low : low + block]) for low in range(0, size + 1, block))
+
+    met = parts.mapPartitions(run).reduceByKey(lambda a, b: a + b, min(parts.context.defaultParallelism, -(-size // block)))
+    found = dict(met.collect())  # as many numbers as coefficients
     sent.destroy()
-    return np.concatenate([np.array(r["vector"]).reshape(width, -1) for r in sorted(found, key=lambda r: r["block"])], axis=1)
+    return np.concatenate([found[low] for low in sorted(found)], axis=1)
 
 
-def _scale(parts: DataFrame, width: int, terms: int, weights: list[float], factor: float, free: bool) -> np.ndarray:
+def _scale(parts: RDD, width: int, terms: int, weights: list[float], factor: float, free: bool) -> np.ndarray:
     """The root of a bound on the diagonal of the objective's second derivatives, by which steps are scaled."""
 
-    def squares(row, local, bias):
+    def weight(target, scores):
         import numpy as np
 
-        target, starts, places, values = row
-        weight = np.array(weights)[target]
-        owner = np.repeat(np.arange(len(target)), np.diff(starts))
-        return 0.0, np.bincount(places, values * values * weight[owner], minlength=local.shape[1])[None, :], weight.sum()
+        return 0.0, np.array(weights)[target][None, :]
 
-    scale = 1.0 + factor * _summed(parts, np.zeros((1, terms + 1)), squares)[:, :-1]
+    scale = 1.0 + factor * _summed(parts, np.zeros((1, terms + 1)), weight, 2)[:, :-1]
     scale[:, -1] -= 1.0 if free else 0.0
     return np.repeat(np.sqrt(np.maximum(scale, 1e-12)), width, axis=0)
 
@@ -113,14 +140,14 @@ def fit_logistic(
     parts: DataFrame, terms: int, classes: int, weights: list[float], penalty: float, max_iter: int = 300, tolerance: float = logistic.TOLERANCE
 ) -> tuple[np.ndarray, np.ndarray]:
     """(coefficients, intercepts) of the objective of ``logistic.solve``, by its rule to stop."""
-    width = 1 if classes == 2 else classes
-    inner = logistic._evaluation(classes, width, weights)
+    width, parts = 1 if classes == 2 else classes, parts.select(*ARRAYS).rdd.persist()
+    inner = logistic._losses(classes, width, weights)
 
-    def evaluate(row, local, bias):
+    def evaluate(target, scores):
         import numpy as np
 
-        loss, by_term, by_bias = inner(row, local, bias)
-        return np.r_[loss, np.zeros(width - 1)], by_term, by_bias
+        loss, lean = inner(target, scores.T)
+        return np.r_[loss, np.zeros(width - 1)], lean.T
 
     def objective(at):
         sums = _summed(parts, at, evaluate)
@@ -136,6 +163,7 @@ def fit_logistic(
 
     scale = _scale(parts, width, terms, weights, penalty * (1 - 1 / classes) / classes, True)
     point, _, _ = _minimise(objective, done, np.zeros((width, terms + 1)), scale, max_iter, False)
+    parts.unpersist()
     return point[:, :-1], point[:, -1]
 
 
@@ -146,22 +174,15 @@ def fit_svm(
 
     With the dual variables that the margins at a point imply, the duality gap there is half the square of the gradient.
     """
-    costs = [penalty * w for w in weights]
+    costs, parts = [penalty * w for w in weights], parts.select(*ARRAYS).rdd.persist()
 
-    def evaluate(row, local, bias):
+    def evaluate(target, scores):
         import numpy as np
 
-        target, starts, places, values = row
-        owner = np.repeat(np.arange(len(target)), np.diff(starts))
-        cost, losses, by_term, by_bias = np.array(costs)[target], [], [], []
-        for c in range(classes):
-            sign = np.where(target == c, 1.0, -1.0)
-            slack = np.maximum(0.0, 1.0 - sign * (np.bincount(owner, values * local[c, places], minlength=len(target)) + bias[c]))
-            pull = -2.0 * cost * slack * sign
-            losses.append(cost @ slack**2)
-            by_term.append(np.bincount(places, values * pull[owner], minlength=local.shape[1]))
-            by_bias.append(pull.sum())
-        return np.array(losses), np.array(by_term), np.array(by_bias)
+        cost = np.array(costs)[target]
+        sign = np.where(target == np.arange(classes)[:, None], 1.0, -1.0)
+        slack = np.maximum(0.0, 1.0 - sign * scores)
+        return slack**2 @ cost, -2.0 * cost * slack * sign
 
     def objective(at):
         sums = _summed(parts, at, evaluate)
@@ -172,4 +193,5 @@ def fit_svm(
 
     scale = _scale(parts, classes, terms, weights, 2.0 * penalty, False)
     point, here, steps = _minimise(objective, lambda here: (here[2] <= gap).all(), np.zeros((classes, terms + 1)), scale, max_iter, True)
+    parts.unpersist()
     return point[:, :-1], point[:, -1], svm.Certificate(here[2], steps)

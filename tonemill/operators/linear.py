@@ -8,11 +8,13 @@ the estimator was.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import cached_property
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from tonemill.runtime import work_table
 
 # Buckets in which the terms of a vocabulary are numbered side by side.
 ID_BUCKETS = 256
+# Classifiers fitted at once: each pass of a solver is a short job that leaves cores free, and the driver holds each one's steps.
+FITTED_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -96,7 +100,7 @@ class Features:
     @cached_property
     def parts(self) -> DataFrame:
         """The sparse rows of all texts in parts, for solvers whose coefficients are bounded."""
-        return work_table(blocks.packed(self._rows(), sum(self.counts.values())), "parts")
+        return work_table(dense.packed(self._rows(), sum(self.counts.values())), "parts")
 
     @cached_property
     def layout(self) -> blocks.Layout:
@@ -129,6 +133,16 @@ def fit(features: Features, config: Mapping[str, Any] | None = None) -> TermMode
     return _fit_dense(kind, features, config)
 
 
+def fit_all(cells: Sequence[tuple[Features, Mapping[str, Any]]]) -> list[TermModel]:
+    """The classifier of each (features, config), some fitted at once; see ``fit``."""
+    for features, config in cells:  # a corpus's classifiers share their rows, which are made before they start
+        if config.get("type", "logreg") != "naive_bayes" and len(features.classes) > 1:
+            _ = features.parts if tfidf.is_bounded(features.max_features) else features.layout
+    with ThreadPoolExecutor(FITTED_AT_ONCE) as pool:
+        # Each call inherits the caller's job properties, by a wrapper of its own.
+        return [f.result() for f in [pool.submit(inheritable_thread_target(features.terms.sparkSession)(fit), features, config) for features, config in cells]]
+
+
 # --- naive Bayes --------------------------------------------------------------
 
 

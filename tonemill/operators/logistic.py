@@ -41,17 +41,14 @@ def step_weights(dots: np.ndarray, memory: int) -> np.ndarray:
     return weights
 
 
-def _evaluation(classes: int, width: int, weights: list[float]):
-    """The weighted loss of one part's rows and its derivatives by the rows' scores; nested, so that it travels by value."""
+def _losses(classes: int, width: int, weights: list[float]):
+    """The weighted loss of rows with ``width`` scores each and its derivatives by them; nested, so that it travels by value."""
 
-    def evaluate(row, local, bias):
+    def losses(target, found):
         import numpy as np
 
-        target, starts, places, values = row
-        owner = np.repeat(np.arange(len(target)), np.diff(starts))
         scores = np.zeros((len(target), classes))
-        for c in range(width):
-            scores[:, classes - width + c] = np.bincount(owner, values * local[c, places], minlength=len(target)) + bias[c]
+        scores[:, classes - width :] = found
         scores -= scores.max(axis=1, keepdims=True)
         total = np.log(np.exp(scores).sum(axis=1))
         weight = np.array(weights)[target]
@@ -59,7 +56,22 @@ def _evaluation(classes: int, width: int, weights: list[float]):
         loss = float(weight @ (total - scores[own]))
         lean = np.exp(scores - total[:, None])
         lean[own] -= 1.0
-        lean = (lean * weight[:, None])[:, classes - width :]
+        return loss, (lean * weight[:, None])[:, classes - width :]
+
+    return losses
+
+
+def _evaluation(classes: int, width: int, weights: list[float]):
+    """The weighted loss of one part's rows and its derivatives by coefficients and intercepts."""
+    losses = _losses(classes, width, weights)
+
+    def evaluate(row, local, bias):
+        import numpy as np
+
+        target, starts, places, values = row
+        owner = np.repeat(np.arange(len(target)), np.diff(starts))
+        scores = [np.bincount(owner, values * local[c, places], minlength=len(target)) + bias[c] for c in range(width)]
+        loss, lean = losses(target, np.array(scores).T)
         by_term = np.array([np.bincount(places, values * lean[owner, c], minlength=local.shape[1]) for c in range(width)])
         return loss, by_term, lean.sum(axis=0)
 
