@@ -6,6 +6,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -153,3 +155,28 @@ def test_long_texts(spark):
     text = " ".join(f"w{i % 977}" for i in range(60_000)) + " " + "z" * 50_000
     row = p.score_texts(spark.createDataFrame([(1, text, "")], SCHEMA), spark.createDataFrame([(1, text, "")], SCHEMA), ["doc_id"]).first()
     assert row.n_tokens == 60_002 == row.n_known and row.score > row.base_score
+
+
+def test_word_hashes_are_xxh64():
+    rng = random.Random(5)
+    words = ["", "é", "x" * 31, "x" * 32, "日本語", *("".join(rng.choice("abcÜ0") for _ in range(n)) for n in range(70) for _ in range(9))]
+    want = [xxhash.xxh64_intdigest(w.encode()) for w in words]
+    assert p.word_hashes(pa.array(words)).tolist() == want
+    assert p.word_hashes(pa.array(words)[7:40]).tolist() == want[7:40] and not len(p.word_hashes(pa.array([], pa.string())))
+
+
+def test_table_finds_what_it_holds():
+    held = np.random.default_rng(3).integers(0, 2**64, 5000, dtype=np.uint64)
+    held[:3000] >>= np.uint64(30)  # many begin alike
+    held = np.unique(np.r_[held, np.uint64(0)])
+    keys, counts, values, starts = p._table(held.view(np.int64), np.arange(len(held)), np.arange(len(held)) / 2)
+    at, missing = p._look_up(keys, starts, held)
+    assert not missing.any() and counts[at].tolist() == list(range(len(held))) and (values[at] == counts[at] / 2).all()
+    at, missing = p._look_up(keys, starts, np.r_[held[1:] - np.uint64(1), np.uint64(2**64 - 1)])
+    assert missing.all() and not counts[at].any() and not values[at].any()
+
+
+def test_rare_words_are_met_in_the_join_at_any_size(spark):
+    values = spark.range(1, 1001).selectExpr("id as key", "id as weight")
+    assert p._least_cached(values, 10_000) == p.LEAST_CACHED
+    assert p._least_cached(values, 100) > 850

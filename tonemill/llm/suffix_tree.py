@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.llm.common import scalars, text_slices
+from tonemill.llm.common import scalars, starts_of, text_slices
 from tonemill.runtime import work_table
 
 #: Runs of words that the training texts hold this often are in the tree, whatever the corpus's size.
@@ -22,9 +22,11 @@ LEAST_COUNT = 8
 DEPTH = 3
 DISCOUNT = 0.75
 #: A task looks the most frequent words and runs up in memory (24 bytes each); all others meet their values in a join.
-CACHED = 1 << 20
-#: Places of each of the two hash tables over them (16 MB each); the few that find none are met in the join as well.
-PLACES = 1 << 22
+CACHED = 5 << 19
+#: Words and runs rarer than this are met in the join at any size: to hand one to every task costs more than the rows that it saves.
+LEAST_CACHED = 8
+#: Bits of a key that lead to its place among them, in a table of 16 MB.
+PLACE_BITS = 22
 #: Bits of the filters of runs that a task holds: fixed, so is their size (8 MB). Where one fills up, more runs are
 #: exchanged than need be; counts and scores stay right.
 FILTER_BITS = 1 << 26
@@ -33,6 +35,42 @@ SENT = 1 << 19
 END = b""
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _rotated(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values << np.uint64(bits)) | (values >> np.uint64(64 - bits))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """XXH64 (seed 0) of each word: those under 32 bytes all at once, eight, four and one byte at a time; others one by one."""
+    words = pa.concat_arrays([words.cast(pa.binary())])  # starts at its buffers' start
+    if not len(words):
+        return np.zeros(0, dtype=np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)
+    begin, sizes = offsets[:-1].astype(np.int64), np.diff(offsets)
+    held = words.buffers()[2]
+    data = np.r_[np.frombuffer(held, np.uint8, int(offsets[-1])) if held else np.zeros(0, np.uint8), np.zeros(8, np.uint8)]
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    p1, p2, p3, p4, p5 = _PRIMES
+    out = p5 + sizes.astype(np.uint64)
+    short = sizes < 32
+    for step in range(3):
+        at = np.flatnonzero(short & (sizes >= 8 * step + 8))
+        part = _rotated(eight[begin[at] + 8 * step].view("<u8")[:, 0] * p2, 31) * p1
+        out[at] = _rotated(out[at] ^ part, 27) * p1 + p4
+    at = np.flatnonzero(short & (sizes & 4 > 0))
+    part = eight[begin[at] + (sizes[at] & ~7)].view("<u4")[:, 0].astype(np.uint64) * p1
+    out[at] = _rotated(out[at] ^ part, 23) * p2 + p3
+    for step in range(3):
+        at = np.flatnonzero(short & (sizes & 3 > step))
+        out[at] = _rotated(out[at] ^ data[begin[at] + (sizes[at] & ~3) + step].astype(np.uint64) * p5, 11) * p1
+    out = (out ^ (out >> np.uint64(33))) * p2
+    out = (out ^ (out >> np.uint64(29))) * p3
+    out ^= out >> np.uint64(32)
+    long = np.flatnonzero(~short)
+    out[long] = [xxhash.xxh64_intdigest(words[i].as_buffer()) for i in long.tolist()]
+    return out
 
 
 class _Slice:
@@ -44,11 +82,10 @@ class _Slice:
         real = pc.binary_length(found).to_numpy(zero_copy_only=False) > 0  # a blank at a text's end leaves an empty word
         row = pc.list_parent_indices(lists).to_numpy()[real]
         coded = found.dictionary_encode()
-        words = coded.dictionary.cast(pa.binary()).to_pylist() + [END]
-        self.distinct = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        self.distinct = np.r_[word_hashes(coded.dictionary), np.uint64(xxhash.xxh64_intdigest(END))]
         self.sizes = np.bincount(row, minlength=len(texts)) + 2
         self.begin = np.cumsum(self.sizes) - self.sizes
-        self.codes = np.full(int(self.sizes.sum()), len(words) - 1, dtype=np.int32)
+        self.codes = np.full(int(self.sizes.sum()), len(self.distinct) - 1, dtype=np.int32)
         self.codes[np.arange(len(row)) + 2 * row + 1] = coded.indices.to_numpy(zero_copy_only=False)[real]
         self.hashes = self.distinct[self.codes]
         self.row = np.repeat(np.arange(len(texts)), self.sizes)
@@ -64,9 +101,17 @@ def shifted(values: np.ndarray) -> np.ndarray:
     return np.r_[np.zeros(1, values.dtype), values[:-1]]
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys in order, once each, with any place and the number of their places."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = starts_of(keys)
+    return keys[starts], order[starts], np.diff(np.r_[starts, len(keys)])
+
+
 def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     found = np.ones(len(keys), dtype=bool)
-    for place in (keys % np.uint64(FILTER_BITS), (keys >> np.uint64(32)) % np.uint64(FILTER_BITS)):
+    for place in (keys & np.uint64(FILTER_BITS - 1), (keys >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)):
         found &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
     return found
 
@@ -130,7 +175,7 @@ def _count_runs(train: DataFrame, length: int, known: np.ndarray, last: bool, le
             chosen = np.flatnonzero(frequent & shifted(frequent) & (words.place >= length - 1))
             longer = words.longer(runs)[chosen]
             if last:
-                keys, at, n = np.unique(longer, return_index=True, return_counts=True)
+                keys, at, n = distinct(longer)
                 at = chosen[at]
                 out = [(length, keys, n, runs[at - 1], runs[at])]
             else:
@@ -139,10 +184,10 @@ def _count_runs(train: DataFrame, length: int, known: np.ndarray, last: bool, le
                 out = [(length, keys, n, none, none)]
             if shorter is not None:
                 chosen = np.flatnonzero(frequent)
-                chosen = chosen[sent[runs[chosen] % np.uint64(SENT)] != runs[chosen]]
-                keys, at = np.unique(runs[chosen], return_index=True)
+                chosen = chosen[sent[runs[chosen] & np.uint64(SENT - 1)] != runs[chosen]]
+                keys, at, _ = distinct(runs[chosen])
                 at = chosen[at]
-                sent[keys % np.uint64(SENT)] = keys
+                sent[keys & np.uint64(SENT - 1)] = keys
                 out.append((length - 1, keys, np.zeros(len(at)), shorter[at - 1], shorter[at]))
             if narrow:
                 yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
@@ -232,8 +277,9 @@ def grow(train: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> tupl
 
 
 def _least_cached(values: DataFrame, most: int) -> int:
-    """The smallest of a row of weights, each a sixteenth of an octave above the last, that at most ``most`` rows reach."""
-    sizes = values.groupBy(F.floor(16 * F.log2("weight")).cast("int").alias("size")).count().collect()  # 992 rows at most
+    """The smallest of a row of weights, each a sixteenth of an octave above the last, that at most ``most`` rows reach;
+    LEAST_CACHED at least."""
+    sizes = values.filter(F.col("weight") >= LEAST_CACHED).groupBy(F.floor(16 * F.log2("weight")).cast("int").alias("size")).count().collect()  # 992 rows at most
     held, least = 0, 992
     for size, rows in sorted(sizes, reverse=True):
         held += rows
@@ -243,65 +289,59 @@ def _least_cached(values: DataFrame, most: int) -> int:
     return math.ceil(2 ** (least / 16) - 1e-9)
 
 
-def _table(key: np.ndarray, count: np.ndarray, value: np.ndarray) -> tuple[tuple, np.ndarray]:
-    """Entries with two hash tables of PLACES places over them, an empty entry at the end, and the rows that found no place."""
-    keys = np.r_[key.view(np.uint64), np.uint64(0)]
-    left = np.arange(len(key))
-    tables = []
-    for shift in (0, 32):
-        places = np.full(PLACES, len(key), dtype=np.int32)
-        wanted = (keys[left] >> np.uint64(shift)) % np.uint64(PLACES)
-        places[wanted] = left
-        left = left[places[wanted] != left]
-        tables.append(places)
-    return (keys, np.r_[count, 0], np.r_[value, 0.0], *tables), left
+def _table(key: np.ndarray, count: np.ndarray, value: np.ndarray) -> tuple:
+    """Entries in order of their keys, an empty entry at the end, and where the keys begin that share their first PLACE_BITS."""
+    key = key.view(np.uint64)
+    order = np.argsort(key)
+    keys = key[order]
+    starts = np.empty(1 << PLACE_BITS, dtype=np.int32)
+    for low in range(0, len(starts), 1 << 16):  # in parts, to hold little on the driver
+        first = np.arange(low, min(low + (1 << 16), len(starts)), dtype=np.uint64) << np.uint64(64 - PLACE_BITS)
+        starts[low : low + len(first)] = np.searchsorted(keys, first)
+    return np.r_[keys, np.uint64(2**64 - 1)], np.r_[count[order], 0], np.r_[value[order], 0.0], starts
 
 
-def _add(bits: np.ndarray, keys: np.ndarray) -> None:
-    for place in (keys % np.uint64(FILTER_BITS), (keys >> np.uint64(32)) % np.uint64(FILTER_BITS)):
-        np.bitwise_or.at(bits, place >> np.uint64(6), np.left_shift(np.uint64(1), place & np.uint64(63)))
+def _look_up(keys: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are held, or the place of the empty last entry, whose value is 0."""
+    at = starts[wanted >> np.uint64(64 - PLACE_BITS)]
+    lower = np.flatnonzero(keys[at] < wanted)
+    while len(lower):
+        at[lower] += 1
+        lower = lower[keys[at[lower]] < wanted[lower]]
+    missing = (keys[at] != wanted) | (at == len(keys) - 1)
+    at[missing] = len(keys) - 1
+    return at, missing
 
 
 def scored(docs: DataFrame, values: DataFrame, sums: dict, carried: list[str], text_col: str = "text", depth: int = DEPTH, cached: int = CACHED) -> DataFrame:
     """The ``carried`` columns of each row with n_tokens, n_known, base_score and score (log10 of the whole text).
 
-    A task adds up the values of the words and runs that it holds, ``cached`` at most. The other words of each text, and the runs
-    that the filter of the other values lets through, meet all values in a join. A run's value can only be there if its suffix's
+    A task adds up the values of the words and runs that it holds, ``cached`` at most, and takes other words as unseen. These, and
+    the runs that the filter of the other values lets through, meet all values in a join, which brings back what is in the tree. A run's value can only be there if its suffix's
     is, so longer runs are looked for behind known ones alone. A null text is an empty one: the end token alone.
     """
     from_weight = _least_cached(values, cached)
     held = values.filter(F.col("weight") >= from_weight).select("key", "count", "value").toArrow()
-    table, left = _table(*[held.column(c).to_numpy() for c in ("key", "count", "value")])
+    table = _table(*[held.column(c).to_numpy() for c in ("key", "count", "value")])
     rest = _filter(values.filter((F.col("weight") < from_weight) & F.col("longer")).select("key"))
-    _add(rest, held.column("key").to_numpy().view(np.uint64)[left])
     shared = docs.sparkSession.sparkContext.broadcast((table, rest))
     log_all = float(np.log(sums["tokens"] + 0.5 * (sums["types"] + 1)))
     names = [f"_carried_{i}" for i in range(len(carried))]
     chosen = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
 
     def run(batches):
-        (keys, counts, values, first, second), rest = shared.value
+        (keys, counts, values, starts), rest = shared.value
         task, number = TaskContext.get().partitionId(), 0
-
-        def look_up(wanted):
-            """Where keys are held, or the place of the empty last entry, whose value is 0."""
-            at = first[wanted % np.uint64(PLACES)]
-            other = np.flatnonzero(keys[at] != wanted)
-            at[other] = second[(wanted[other] >> np.uint64(32)) % np.uint64(PLACES)]
-            missing = keys[at] != wanted
-            at[missing] = len(keys) - 1
-            return at, missing
-
         for batch in _slices(batches, "_text"):
             words = _Slice(batch.column("_text"))
             texts = len(words.sizes)
             if not texts:
                 continue
-            at, absent = look_up(words.distinct)
+            at, absent = _look_up(keys, starts, words.distinct)
             token = words.place > 0
-            plain = np.where(absent, 0.0, np.log(counts[at] + 0.5) - log_all)[words.codes] * token
+            plain = (np.log(counts[at] + 0.5) - log_all)[words.codes] * token  # an unheld word counts as unseen until it meets its count
             known = token & (counts[at] > 0)[words.codes]
-            log = plain + values[at][words.codes] * (words.place < words.sizes[words.row] - 1)
+            log = values[at][words.codes] * (words.place < words.sizes[words.row] - 1)
             missing = np.flatnonzero(token & absent[words.codes])
             open_rows, open_keys, open_words = [words.row[missing]], [words.hashes[missing]], [np.ones(len(missing), dtype=bool)]
             runs, alive = words.hashes, np.ones(len(words.place), dtype=bool)
@@ -309,7 +349,7 @@ def scored(docs: DataFrame, values: DataFrame, sums: dict, carried: list[str], t
                 runs = words.longer(runs)
                 places = np.flatnonzero(alive & (words.place >= length - 1))
                 own = runs[places]
-                at, absent = look_up(own)
+                at, absent = _look_up(keys, starts, own)
                 log[places] += values[at]
                 absent = np.flatnonzero(absent)
                 other = in_filter(rest, own[absent])
@@ -323,16 +363,17 @@ def scored(docs: DataFrame, values: DataFrame, sums: dict, carried: list[str], t
             row, key, word = np.concatenate(open_rows), np.concatenate(open_keys), np.concatenate(open_words)
             order = np.lexsort((key, row))
             row, key, word = row[order], key[order], word[order]
-            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])]) if len(row) else np.zeros(0, dtype=np.int64)
-            times = np.diff(np.r_[starts, len(row)])
+            first = starts_of(row, key)
+            times = np.diff(np.r_[first, len(row)])
             rows = (np.int64(task) << 33) + number + np.arange(texts)
             number += texts
-            index = np.r_[np.arange(texts), row[starts]]
-            none = np.zeros(len(starts))
+            index = np.r_[np.arange(texts), row[first]]
+            own = pa.array(index, mask=np.arange(len(index)) >= texts)  # carried columns go with the text's own row alone
+            none = np.zeros(len(first))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rows[index]), *[batch.column(n).take(pa.array(index)) for n in names], _signed(np.r_[rows.view(np.uint64), key[starts]]),
-                    pa.array(np.r_[np.zeros(texts, np.int64), times]), pa.array(np.r_[np.zeros(texts, bool), word[starts]]),
+                    pa.array(rows[index]), *[batch.column(n).take(own) for n in names], _signed(np.r_[rows.view(np.uint64), key[first]]),
+                    pa.array(np.r_[np.zeros(texts, np.int64), times]), pa.array(np.r_[np.zeros(texts, bool), word[first]]),
                     *[pa.array(np.r_[s, none].astype(np.int64)) for s in (words.sizes - 1, np.add.reduceat(known.astype(np.int64), words.begin))],
                     *[pa.array(np.r_[np.add.reduceat(s, words.begin), none]) for s in (plain, log)],
                 ],
@@ -341,17 +382,19 @@ def scored(docs: DataFrame, values: DataFrame, sums: dict, carried: list[str], t
 
     kinds = ", ".join(f"{n} {chosen.schema[n].dataType.simpleString()}" for n in names)
     parts = chosen.mapInArrow(run, f"row long, {kinds}, key long, times long, word boolean, n_tokens long, n_known long, base double, log double")
-    met = parts.join(values.select("key", "count", "value"), "key", "left")
-    seen = F.coalesce("count", F.lit(0))
-    plain = F.when(F.col("word"), F.col("times") * (F.log(seen + 0.5) - log_all)).otherwise(0.0)
+    found = values.select("key", "count", "value", F.lit(True).alias("found"))
+    met = parts.join(found, "key", "left").filter("found or times = 0")  # what is not in the tree adds nothing
+    seen = F.col("word") & F.coalesce(F.col("count") > 0, F.lit(False))
+    plain = F.when(seen, F.col("times") * (F.log(F.col("count") + 0.5) - math.log(0.5))).otherwise(0.0)
     met = met.select(
-        "row", *names, "n_tokens", (F.col("n_known") + F.when(F.col("word") & (seen > 0), F.col("times")).otherwise(0)).alias("n_known"),
-        (F.col("base") + plain).alias("base"), (F.col("log") + plain + F.col("times") * F.coalesce("value", F.lit(0.0))).alias("log"),
+        "row", *names, "n_tokens", (F.col("n_known") + F.when(seen, F.col("times")).otherwise(0)).alias("n_known"),
+        (F.col("base") + plain).alias("base"), (F.col("log") + F.col("times") * F.coalesce("value", F.lit(0.0))).alias("more"),
     )
     ten = float(np.log(10))
-    sums_by_row = met.groupBy("row", *names).agg(
-        F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), (F.sum("base") / ten).alias("base_score"), (F.sum("log") / ten).alias("score")
-    )
+    sums_by_row = met.groupBy("row").agg(
+        *[F.first(n, ignorenulls=True).alias(n) for n in names], F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        (F.sum("base") / ten).alias("base_score"), ((F.sum("base") + F.sum("more")) / ten).alias("score"),
+    )
     return sums_by_row.select(*[F.col(n).alias(c) for n, c in zip(names, carried)], "n_tokens", "n_known", "base_score", "score")
 
 
