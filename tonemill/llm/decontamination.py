@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonemill.llm.common import sliced
 from tonemill.runtime import work_table
 
 SEED = 5
@@ -18,21 +19,22 @@ COVERAGE = 0.6
 FILTER_BITS = 1 << 23
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"\w+")
-_KNOWN: dict[str, int] = {}
+#: Words whose codes a task keeps.
+CACHED = 500_000
 
 
 def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    """64-bit codes of words; frequent words' codes are kept in the worker."""
-    if len(_KNOWN) > 500_000:
-        _KNOWN.clear()
+def _codes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit codes of words, kept in ``known``: a task's own, which goes with it, as the worker goes on to other stages."""
+    if len(known) > CACHED:
+        known.clear()
     for w in words:
-        if w not in _KNOWN:
-            _KNOWN[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def window_hashes(codes: np.ndarray, length: int) -> np.ndarray:
@@ -109,10 +111,11 @@ def _seeds(items: DataFrame, seed: int) -> DataFrame:
     """(seed, item, place, length, window): the windows of ``seed`` words of each text; shorter texts are one window."""
 
     def run(batches):
+        known: dict[str, int] = {}
         for batch in batches:
             out: dict[str, list] = {"seed": [], "item": [], "place": [], "length": [], "window": []}
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes = _codes(tokens(text))
+                codes = _codes(tokens(text), known)
                 window = min(seed, len(codes))
                 for place, code in enumerate(window_hashes(codes, window).view(np.int64).tolist() if window else ()):
                     for name, value in zip(out, (code, item, place, len(codes), window)):
@@ -144,11 +147,11 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     filters = docs.sparkSession.sparkContext.broadcast(_filter_words(seeds, FILTER_BITS))
 
     def find(batches):
-        words = filters.value
-        for batch in batches:
+        words, known = filters.value, {}
+        for batch in sliced(batches, "text"):
             out: dict[str, list] = {"digest": [], "text": [], "seeds": []}
             for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes = _codes(tokens(text))
+                codes = _codes(tokens(text), known)
                 hashes = np.concatenate([window_hashes(codes, w) for w in windows] or [np.zeros(0, dtype=np.uint64)])
                 place = (hashes.view(np.int64) % FILTER_BITS).astype(np.int64)
                 hits = np.unique(hashes[(words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1])
@@ -173,11 +176,12 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     texts = passing.groupBy("digest").agg(F.first("text").alias("text"))
 
     def cover(batches):
-        for batch in batches:
+        known: dict[str, int] = {}
+        for batch in sliced(batches, "text"):
             rows, out = batch.to_pydict(), {"digest": [], "item": [], "covered": [], "length": []}
             for digest, item, window, text, item_text in zip(*(rows[k] for k in ("digest", "item", "window", "text", "item_text"))):
-                codes = _codes(tokens(item_text))
-                covered = sum(n for _, _, n in tile(codes, _codes(tokens(text)), window))
+                codes = _codes(tokens(item_text), known)
+                covered = sum(n for _, _, n in tile(codes, _codes(tokens(text), known), window))
                 if covered >= coverage * len(codes):
                     for name, value in zip(out, (digest, item, covered, len(codes))):
                         out[name].append(value)

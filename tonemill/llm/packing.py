@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonemill.llm.bins import best_fit_decreasing
+from tonemill.llm.common import sliced
 from tonemill.runtime import work_table
 
 PER_PART = 50_000
@@ -29,8 +30,8 @@ class _Encoder:
 
     With ``words_apart`` the tokenizer is known to treat a text between blanks and
     line feeds by itself, letters apart from points and commas, and to lower its case,
-    so that ids of a text are those of its pieces, of which the frequent ones are
-    kept. Pieces of Latin letters go to the model directly, in its byte alphabet.
+    so that ids of a text are those of its pieces, which are kept until there are
+    CACHED_WORDS or the task ends. Pieces of Latin letters go to the model directly, in its byte alphabet.
     """
 
     def __init__(self, definition: str, words_apart: bool):
@@ -90,7 +91,8 @@ def token_pieces(
 
     def run(batches):
         encode, end = _encoder(shared.value, words_apart), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        encode.known.clear()  # the worker stays and serves other stages: words are kept for a task, the tokenizer for good
+        for batch in sliced(batches, 1):
             out: dict[str, list] = {name: [] for name in schema.names}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(text or "") + end
@@ -104,6 +106,7 @@ def token_pieces(
                     if with_ids:
                         out["ids"].append(np.frombuffer(part, dtype="<u4").astype(np.int64))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
+        encode.known.clear()
 
     shared = docs.sparkSession.sparkContext.broadcast(definition)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]

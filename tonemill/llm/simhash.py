@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.llm.common import spaced_words, starts_of, utf8, whole_runs
+from tonemill.llm.common import sliced, spaced_words, starts_of, utf8, whole_runs
 from tonemill.llm.components import components
 from tonemill.runtime import work_table
 
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, digest, fp): the md5 of the text ('' for null) and the fingerprint as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             codes = np.array([fingerprint(t, shingle) for t in utf8(batch, "text")], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes.view(np.int64))], names=["id", "digest", "fp"])
 

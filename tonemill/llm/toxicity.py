@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.llm.common import spaced_words, utf8
+from tonemill.llm.common import sliced, spaced_words, utf8
 
 #: A classifier is fitted on at most so many labelled documents of a class, those whose hashed ids come first.
 MAX_TOXIC, MAX_ORDINARY = 6_000, 18_000
@@ -101,7 +101,7 @@ def _sample(labelled: DataFrame, most: dict[int, int]) -> DataFrame:
 def _per_text(gains_of, model_bytes):
     def run(batches):
         gains = gains_of(*model_bytes)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             rows = [gains.features(t).tolist() for t in utf8(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, type=pa.list_(pa.float64()))], names=["toxic", "features"])
 
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     trained = texts.filter(F.col("fold") > 0)
 
     def words_of(batches):
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             rows = [(t, w) for t, text in zip(batch.column("toxic").to_pylist(), utf8(batch, "text")) for w in windows(text)]
             yield pa.RecordBatch.from_arrays([pa.array([w for _, w in rows], pa.binary()), pa.array([t for t, _ in rows], pa.int32())], names=["window", "toxic"])
 
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         own[name] = samples
 
     def passages(batches):
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             out = []
             for text in utf8(batch, "text"):
                 words = spaced_words(text)
@@ -243,7 +243,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     def run(batches):
         gains = Gains(model.toxic, model.ordinary)
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             x = np.array([gains.features(t) for t in utf8(batch, text_col)]).reshape(batch.num_rows, -1)
             z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))] @ model.weights if len(x) else np.zeros(0)
             score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
