@@ -276,3 +276,55 @@ def test_grid_fits_classifiers_at_once(spark, train, monkeypatch):
     specs = [{"type": "logreg"}, {"type": "linear_svm"}, {"type": "naive_bayes"}]
     rows = experiments.grid_predictions(corpora, specs, {**CONFIG, "max_iter": 5}, ["eval_name", "id"], ["id"]).groupBy("run_name", "model_type").count().collect()
     assert {(r.run_name, r.model_type): r["count"] for r in rows} == {(f"{c}_{s['type']}", s["type"]): train.count() for c in corpora for s in specs}
+
+
+def test_parts_hold_little_more_than_their_terms(spark):
+    """An entry whose value is one takes two bytes, and what scales rows or terms isn't repeated by entry."""
+    n, size = 3000, 300
+    rng = np.random.default_rng(5)
+    picked = [np.sort(rng.choice(size, 40, replace=False)) for _ in range(n)]
+    values = [np.where(rng.random(40) < 0.2, 1 + math.log(2 + i % 3), 1.0) for i in range(n)]
+    scales = rng.random(n)
+    rows = [(i % 3, (p.tolist(), v.tolist()), float(s)) for i, (p, v, s) in enumerate(zip(picked, values, scales))]
+    df = spark.createDataFrame(rows, "target int, features struct<indices: array<int>, values: array<double>>, scale double").repartition(3)
+    parts = dense.packed(df, n, F.col("scale"))
+    held = sum(sum(len(r[c]) for c in dense.ARRAYS) for r in parts.collect())
+    assert held < 4 * 40 * n  # 12 bytes an entry before
+    x = np.zeros((n, size))
+    for i in range(n):
+        x[i, picked[i]] = values[i] * scales[i]
+    at = rng.normal(size=(3, size + 1))
+    found = dense._summed(dense.dealt(parts), at, lambda target, scores: ((scores**2).sum(axis=1), scores * (target == 2)), 1)
+    scores = x @ at[:, :-1].T + at[:, -1]
+    pulls = scores * (np.arange(n) % 3 == 2)[:, None]
+    assert np.allclose(found, np.c_[pulls.T @ x, pulls.sum(axis=0), (scores**2).sum(axis=0)])
+
+
+def test_passes_get_as_many_parts_each(spark, monkeypatch):
+    """Parts are dealt evenly to tasks, however files of them are read, and classifiers of one corpus share them."""
+    monkeypatch.setattr(blocks, "PART_ROWS", 15)
+    cores = spark.sparkContext.defaultParallelism
+    n = 15 * (dense.CORE_TASKS * cores + 1)
+    rows = [(i % 3, ([i % 7], [1.0])) for i in range(n)]
+    df = spark.createDataFrame(rows, "target int, features struct<indices: array<int>, values: array<double>>")
+    dealt = dense.dealt(dense.packed(df, n).cache())
+    assert dealt.glom().map(len).collect() == [2] * (dense.CORE_TASKS * cores)
+    train = spark.createDataFrame(corpus(), "id long, text string, label string")
+    features = linear.build_features(train, ["id"], CONFIG)
+    with features.dealt() as first, features.dealt() as second:
+        assert first is second and first.is_cached
+    assert not first.is_cached
+
+
+def test_known_terms_of_odd_texts(spark):
+    """Ids, frequencies and squares by text: unknown terms go, texts without known ones stay, keys may repeat or be null."""
+    rows = [(1, "aa bb aa", "x"), (1, "cc aa", "y"), (2, "! ?", "y"), (3, None, "x"), (None, "zz", "x"), (None, "bb cc", "x")]
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    numbered = spark.createDataFrame([(1, "bb", 3.0), (0, "aa", 2.0), (2, "cc", 1.5)], "term_id int, term string, idf double")
+    counted = tfidf.counted_texts(df, ["id"], (1, 1), ["label"])
+    found = {(r.id, r.label): (dict(zip(r.indices, r["values"])), r.squares) for r in tfidf.known_terms(counted, numbered, ["id", "label"]).collect()}
+    twice = 1 + math.log(2)
+    assert found == {
+        (1, "x"): ({0: pytest.approx(twice), 1: 1.0}, pytest.approx(4 * twice**2 + 9)), (1, "y"): ({0: 1.0, 2: 1.0}, 6.25),
+        (2, "y"): ({}, 0.0), (3, "x"): ({}, 0.0), (None, "x"): ({1: 1.0, 2: 1.0}, 11.25),
+    }

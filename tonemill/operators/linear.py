@@ -8,13 +8,16 @@ the estimator was.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+import threading
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from contextlib import ExitStack, contextmanager
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 from typing import Any
 
-from pyspark import inheritable_thread_target
+import numpy as np
+from pyspark import RDD, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,14 +67,21 @@ def class_weights(counts: Mapping[str, int], class_weight: str | Mapping[str, fl
 
 @dataclass
 class Features:
-    """Term counts, vocabulary and class sizes of one training corpus, shared by all classifiers."""
+    """Term counts by text, vocabulary and class sizes of one training corpus, shared by all classifiers."""
 
-    terms: DataFrame
+    texts: DataFrame
     vocabulary: DataFrame
     counts: dict[str, int]
     keys: list[str]
     ngrams: tuple[int, int]
     max_features: int | None
+    _users: int = 0
+    _lock: Any = field(default_factory=threading.Lock)
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        """(keys..., label, term, tf)."""
+        return tfidf.exploded(self.texts)
 
     @property
     def classes(self) -> list[str]:
@@ -90,22 +100,56 @@ class Features:
             raise ValueError("The vocabulary is empty.")
         return numbered
 
-    def _rows(self) -> DataFrame:
-        """(target, features) of all texts."""
-        weighted = tfidf.tfidf_weights(self.terms, self.numbered, self.keys, self.max_features, keep_empty=True)
+    @cached_property
+    def factors(self) -> np.ndarray:
+        """The idf of a bounded vocabulary by term id, and one for the intercept."""
+        table = self.numbered.select("term_id", "idf").toArrow()
+        found = np.ones(table.num_rows + 1)
+        found[table["term_id"].to_numpy()] = table["idf"].to_numpy()
+        return found
+
+    def _target(self) -> Column:
         index = F.create_map(*[F.lit(x) for i, c in enumerate(self.classes) for x in (c, i)])
-        rows = feature_rows(weighted, self.keys)
-        return rows.select(index[F.col("label")].alias("target"), F.struct("indices", "values").alias("features"))
+        return index[F.col("label")].alias("target")
+
+    def _rows(self) -> DataFrame:
+        """(target, features, scale) of all texts under a bounded vocabulary: ``scale`` times ``features`` times idf are the weights."""
+        known = tfidf.known_terms(self.texts, self.numbered, [*self.keys, "label"])
+        # Texts that share their keys share a norm, whatever their labels.
+        norm = F.sqrt(F.sum("squares").over(Window.partitionBy(*self.keys)))
+        scale = F.coalesce(F.try_divide(F.lit(1.0), norm), F.lit(0.0)).alias("scale")
+        return known.select(self._target(), F.struct("indices", "values").alias("features"), scale)
 
     @cached_property
     def parts(self) -> DataFrame:
-        """The sparse rows of all texts in parts, for solvers whose coefficients are bounded."""
-        return work_table(dense.packed(self._rows(), sum(self.counts.values())), "parts")
+        """The sparse rows of all texts in parts, for solvers whose coefficients are bounded: without idf, which ``factors`` hold."""
+        return work_table(dense.packed(self._rows(), sum(self.counts.values()), F.col("scale")), "parts")
+
+    @cached_property
+    def _dealt(self) -> RDD:
+        return dense.dealt(self.parts)
+
+    @contextmanager
+    def dealt(self) -> Iterator[RDD]:
+        """The parts as passes take them, kept until their last user leaves."""
+        with self._lock:
+            self._users += 1
+            found = self._dealt
+        try:
+            yield found
+        finally:
+            with self._lock:
+                self._users -= 1
+                if not self._users:
+                    del self._dealt
+                    found.unpersist()
 
     @cached_property
     def layout(self) -> blocks.Layout:
         """The same rows with their terms in blocks, for coefficients without a bound."""
-        return blocks.lay_out(self._rows(), sum(self.counts.values()))
+        weighted = tfidf.tfidf_weights(self.terms, self.numbered, self.keys, self.max_features, keep_empty=True)
+        rows = feature_rows(weighted, self.keys).select(self._target(), F.struct("indices", "values").alias("features"))
+        return blocks.lay_out(rows, sum(self.counts.values()))
 
 
 def build_features(docs: DataFrame, keys: list[str], config: Mapping[str, Any] | None = None) -> Features:
@@ -117,9 +161,9 @@ def build_features(docs: DataFrame, keys: list[str], config: Mapping[str, Any] |
     config = dict(config or {})
     ngrams = tuple(config.get("ngram_range") or (1, 2))
     max_features = config.get("max_features")
-    terms = work_table(tfidf.doc_terms(docs, keys, ngrams, carry=["label"]), "terms")
-    vocabulary = tfidf.fit_vocabulary(terms, docs, config.get("min_df", 1), max_features)
-    return Features(terms, work_table(vocabulary, "vocabulary"), class_counts(docs), keys, ngrams, max_features)
+    texts = work_table(tfidf.counted_texts(docs, keys, ngrams, carry=["label"]), "texts")
+    vocabulary = tfidf.fit_vocabulary(tfidf.exploded(texts), docs, config.get("min_df", 1), max_features)
+    return Features(texts, work_table(vocabulary, "vocabulary"), class_counts(docs), keys, ngrams, max_features)
 
 
 def fit(features: Features, config: Mapping[str, Any] | None = None) -> TermModel:
@@ -135,12 +179,15 @@ def fit(features: Features, config: Mapping[str, Any] | None = None) -> TermMode
 
 def fit_all(cells: Sequence[tuple[Features, Mapping[str, Any]]]) -> list[TermModel]:
     """The classifier of each (features, config), some fitted at once; see ``fit``."""
-    for features, config in cells:  # a corpus's classifiers share their rows, which are made before they start
-        if config.get("type", "logreg") != "naive_bayes" and len(features.classes) > 1:
-            _ = features.parts if tfidf.is_bounded(features.max_features) else features.layout
-    with ThreadPoolExecutor(FITTED_AT_ONCE) as pool:
+    with ThreadPoolExecutor(FITTED_AT_ONCE) as pool, ExitStack() as held:
+        for features, config in cells:  # a corpus's classifiers share their rows, which are made before they start
+            if config.get("type", "logreg") != "naive_bayes" and len(features.classes) > 1:
+                if tfidf.is_bounded(features.max_features):
+                    held.enter_context(features.dealt())
+                else:
+                    _ = features.layout
         # Each call inherits the caller's job properties, by a wrapper of its own.
-        return [f.result() for f in [pool.submit(inheritable_thread_target(features.terms.sparkSession)(fit), features, config) for features, config in cells]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(features.texts.sparkSession)(fit), features, config) for features, config in cells]]
 
 
 # --- naive Bayes --------------------------------------------------------------
@@ -202,12 +249,12 @@ def _fit_dense(kind: str, features: Features, config: Mapping[str, Any]) -> Term
     weights = list(class_weights(features.counts, config.get("class_weight")).values())
     penalty, gap = float(config.get("C", 1.0)), None
     if tfidf.is_bounded(features.max_features):
-        data, terms = features.parts, features.numbered.count()
-        if kind == "logreg":
-            coefficients, intercepts = dense.fit_logistic(data, terms, len(classes), weights, penalty, config.get("max_iter", 300))
-        else:
-            coefficients, intercepts, certificate = dense.fit_svm(data, terms, len(classes), weights, penalty, config.get("max_iter", 200))
-        found = dense.term_rows(data.sparkSession, coefficients)
+        with features.dealt() as data:
+            if kind == "logreg":
+                coefficients, intercepts = dense.fit_logistic(data, features.factors, len(classes), weights, penalty, config.get("max_iter", 300))
+            else:
+                coefficients, intercepts, certificate = dense.fit_svm(data, features.factors, len(classes), weights, penalty, config.get("max_iter", 200))
+        found = dense.term_rows(features.texts.sparkSession, coefficients)
     else:
         if kind == "logreg":
             vectors, intercepts = logistic.solve(features.layout, len(classes), weights, penalty, config.get("max_iter", 300))

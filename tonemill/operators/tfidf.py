@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +23,24 @@ def doc_terms(
     carry: list[str] | None = None,
     text: str = "text",
 ) -> DataFrame:
-    """(keys..., carry..., term, tf): lowercase, fold accents, words of two or more characters, n-grams.
+    """(keys..., carry..., term, tf) of ``counted_texts``. A text without terms keeps one row with a null term."""
+    return exploded(counted_texts(docs, keys, ngrams, carry, text))
+
+
+def counted_texts(
+    docs: DataFrame,
+    keys: list[str],
+    ngrams: tuple[int, int] = (1, 2),
+    carry: list[str] | None = None,
+    text: str = "text",
+) -> DataFrame:
+    """(keys..., carry..., counts ARRAY<STRUCT<term, tf>>): lowercase, fold accents, words of two or more characters, n-grams.
 
     Folded texts are partitioned by key once and counted within their row, so that no table
     of (text, term) pairs is kept in memory, and later per-text steps need no further exchange.
     The partitions are the session's, not merged by adaptive execution, as terms take many times
     the room of their texts. Folding comes first because a Python step would hide the
-    partitioning. A text without terms keeps one row with a null term.
+    partitioning.
     """
     carry = carry or []
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -35,8 +49,44 @@ def doc_terms(
     together = folded.groupBy(*keys, *carry).agg(F.collect_list("_text").alias("_texts"))
     tokens = together.select(*keys, *carry, F.transform("_texts", feature_tokens).alias("_tokens"))
     grams = F.flatten(F.transform("_tokens", lambda t: ngram_range(t, *ngrams)))
-    counted = tokens.select(*keys, *carry, F.inline_outer(run_lengths(F.sort_array(grams), "term", "tf")))
-    return counted.withColumn("tf", F.coalesce("tf", F.lit(1).cast("long")))
+    return tokens.select(*keys, *carry, run_lengths(F.sort_array(grams), "term", "tf").alias("counts"))
+
+
+def exploded(counted: DataFrame) -> DataFrame:
+    """``counted_texts`` with a row for each term."""
+    rows = counted.select(*[c for c in counted.columns if c != "counts"], F.inline_outer("counts"))
+    return rows.withColumn("tf", F.coalesce("tf", F.lit(1).cast("long")))
+
+
+def known_terms(counted: DataFrame, numbered: DataFrame, carry: list[str]) -> DataFrame:
+    """(carry..., indices, values, squares) of ``counted_texts`` by a bounded vocabulary (term_id, term, idf).
+
+    ``values`` are the sublinear frequencies of a text's known terms, ``squares`` the sum of the squares of their raw weights.
+    """
+    table = numbered.select("term_id", "term", "idf").toArrow().sort_by("term_id").combine_chunks()
+    vocabulary, idf = table["term"].chunk(0), table["idf"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            counts = batch.column("counts")
+            entries, offsets = counts.flatten(), counts.offsets.to_numpy()
+            found = pc.index_in(entries.field("term").cast(vocabulary.type), value_set=vocabulary)
+            known = found.is_valid().to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(known))[offsets - offsets[0]]
+            terms = found.drop_null().to_numpy()
+            values = np.log(entries.field("tf").to_numpy(zero_copy_only=False)[known]) + 1.0
+            owner = np.repeat(np.arange(len(counts)), np.diff(ends))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(data)) for data in (terms, values)]
+            squares = np.bincount(owner, (values * idf[terms]) ** 2, minlength=len(counts)).astype(float)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [*lists, pa.array(squares, pa.float64())], names=[*carry, "indices", "values", "squares"])
+
+    kept = counted.select(*carry, "counts")
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "counts"]
+    return kept.mapInArrow(run, ", ".join([*columns, "indices array<int>", "values array<double>", "squares double"]))
 
 
 def fit_vocabulary(
