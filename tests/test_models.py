@@ -328,3 +328,18 @@ def test_known_terms_of_odd_texts(spark):
         (1, "x"): ({0: pytest.approx(twice), 1: 1.0}, pytest.approx(4 * twice**2 + 9)), (1, "y"): ({0: 1.0, 2: 1.0}, 6.25),
         (2, "y"): ({}, 0.0), (3, "x"): ({}, 0.0), (None, "x"): ({1: 1.0, 2: 1.0}, 11.25),
     }
+
+
+@pytest.mark.parametrize("kind", ["logreg", "linear_svm"])
+def test_optimality_exchanges_sums_and_no_entries(spark, train, kind, monkeypatch):
+    """Under a bounded vocabulary the gradient's shares are those of the joins, without a row of the exchange for each (text, term)."""
+    config = {**CONFIG, "type": kind, "max_iter": 4}
+    features = linear.build_features(train, ["id"], config)
+    model = linear.fit(features, config)
+    monkeypatch.setattr(tfidf, "tfidf_weights", None)
+    found = linear.optimality(features, model, config).collect()
+    monkeypatch.undo()
+    monkeypatch.setattr(linear, "_sums_in_batches", linear._sums_in_joins)
+    joined = linear.optimality(features, model, config).collect()
+    assert [r[:4] for r in found] == [r[:4] for r in joined] and found[0].terms == 40
+    assert [r.gradient for r in found] == pytest.approx([r.gradient for r in joined], rel=1e-9) and min(r.gradient for r in found) > 1e-4

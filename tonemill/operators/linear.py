@@ -17,6 +17,7 @@ from functools import cached_property
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark import RDD, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -352,10 +353,29 @@ def optimality(features: Features, model: TermModel, config: Mapping[str, Any])
     """
     classes = list(model.classes)
     weights, penalty = class_weights(features.counts, config.get("class_weight")), float(config.get("C", 1.0))
+    coefficients = model.terms.select("term", *[f"coef_{c}" for c in classes])
+    sums = _sums_in_batches if tfidf.is_bounded(features.max_features) else _sums_in_joins
+    per_term, biases = sums(features, model, coefficients, weights)
+    lengths = per_term.agg(
+        F.count("*").alias("terms"),
+        *[F.sum(F.pow(penalty * F.col(f"_p{n}") + F.col(f"coef_{c}"), 2)).alias(f"_g{n}") for n, c in enumerate(classes)],
+        *[F.sum(F.pow(penalty * F.col(f"_z{n}"), 2)).alias(f"_h{n}") for n in range(len(classes))],
+    )
+    both = lengths.crossJoin(F.broadcast(biases))  # one row each
+    rows = []
+    for n, (c, b) in enumerate(zip(classes, model.intercepts)):
+        bias = penalty * F.col(f"_bp{n}") + (0.0 if model.kind == "prob" else b)
+        share = F.sqrt((F.col(f"_g{n}") + bias * bias) / (F.col(f"_h{n}") + F.pow(penalty * F.col(f"_bz{n}"), 2)))
+        rows.append(F.struct(F.lit(c).alias("label"), F.lit(features.counts[c]).alias("rows"), F.lit(weights[c]).alias("class_weight"), "terms", share.alias("gradient")))
+    return both.select(F.inline(F.array(*rows)))
+
+
+def _sums_in_joins(features: Features, model: TermModel, coefficients: DataFrame, weights: Mapping[str, float]) -> tuple[DataFrame, DataFrame]:
+    """(term, sums _p0.. and _z0.., coefficients) and (_bp0.., _bz0..): the loss's derivatives at the model and at zero by class."""
+    classes = list(model.classes)
     weighted = tfidf.tfidf_weights(
         features.terms, features.vocabulary.select("term", "idf"), features.keys, features.max_features, keep_empty=True
     )
-    coefficients = model.terms.select("term", *[f"coef_{c}" for c in classes])
     known = weighted.join(tfidf.bounded(coefficients, model.max_features), "term", "left")
     margins = known.groupBy(*features.keys, "label").agg(
         F.array(
@@ -382,16 +402,50 @@ def optimality(features: Features, model: TermModel, config: Mapping[str, Any])
     )
     sums = [F.sum(F.col("weight") * F.col(f"_{k}{n}")).alias(f"_{k}{n}") for k in "pz" for n in range(len(classes))]
     per_term = weighted.where(F.col("weight").isNotNull()).join(pulls, features.keys).groupBy("term").agg(*sums).join(coefficients, "term")
-    lengths = per_term.agg(
-        F.count("*").alias("terms"),
-        *[F.sum(F.pow(penalty * F.col(f"_p{n}") + F.col(f"coef_{c}"), 2)).alias(f"_g{n}") for n, c in enumerate(classes)],
-        *[F.sum(F.pow(penalty * F.col(f"_z{n}"), 2)).alias(f"_h{n}") for n in range(len(classes))],
-    )
-    biases = pulls.agg(*[F.sum(f"_{k}{n}").alias(f"_b{k}{n}") for k in "pz" for n in range(len(classes))])
-    both = lengths.crossJoin(F.broadcast(biases))  # one row each
-    rows = []
-    for n, (c, b) in enumerate(zip(classes, model.intercepts)):
-        bias = penalty * F.col(f"_bp{n}") + (0.0 if model.kind == "prob" else b)
-        share = F.sqrt((F.col(f"_g{n}") + bias * bias) / (F.col(f"_h{n}") + F.pow(penalty * F.col(f"_bz{n}"), 2)))
-        rows.append(F.struct(F.lit(c).alias("label"), F.lit(features.counts[c]).alias("rows"), F.lit(weights[c]).alias("class_weight"), "terms", share.alias("gradient")))
-    return both.select(F.inline(F.array(*rows)))
+    return per_term, pulls.agg(*[F.sum(f"_{k}{n}").alias(f"_b{k}{n}") for k in "pz" for n in range(len(classes))])
+
+
+def _sums_in_batches(features: Features, model: TermModel, coefficients: DataFrame, weights: Mapping[str, float]) -> tuple[DataFrame, DataFrame]:
+    """The same under a bounded vocabulary: each task adds up its texts' rows, and only its sums by term are exchanged."""
+    classes, names = list(model.classes), [f"_{k}{n}" for k in "pz" for n in range(len(model.classes))]
+    table = features.numbered.join(coefficients, "term").select("term_id", *[f"coef_{c}" for c in classes]).toArrow()
+    size, width, prob, step = len(features.factors), len(classes), model.kind == "prob", dense.SLICE
+    factors, at, weight = features.factors[:-1], np.zeros((width, size - 1)), np.array([weights[c] for c in classes])
+    at[:, table["term_id"].to_numpy()] = [table[f"coef_{c}"].to_numpy() for c in classes]
+    intercepts = np.array(model.intercepts)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        def pulls(margins, target):
+            own = target == np.arange(width)[:, None]
+            if prob:
+                shares = np.exp(margins - margins.max(axis=0))
+                return weight[target] * (shares / shares.sum(axis=0) - own)
+            sign = np.where(own, 1.0, -1.0)
+            return -2.0 * weight[target] * sign * np.maximum(0.0, 1.0 - sign * margins)
+
+        total, met = np.zeros((2 * width, size)), np.zeros(size, bool)
+        for whole in batches:
+            for low in range(0, whole.num_rows, step):
+                batch = whole.slice(low, step)
+                target = batch.column("target").to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(len(target)), np.diff(batch.column("indices").offsets.to_numpy()))
+                terms = batch.column("indices").flatten().to_numpy(zero_copy_only=False)
+                values = batch.column("values").flatten().to_numpy(zero_copy_only=False) * factors[terms]
+                values = values * batch.column("scale").to_numpy(zero_copy_only=False)[owner]
+                margins = np.array([np.bincount(owner, values * at[c, terms], minlength=len(target)) for c in range(width)]) + intercepts
+                found = np.concatenate([pulls(margins, target), pulls(np.zeros_like(margins), target)])
+                for c in range(2 * width):
+                    total[c, :-1] += np.bincount(terms, values * found[c, owner], minlength=size - 1)
+                total[:, -1] += found.sum(axis=1)
+                met[terms] = met[-1] = True
+        ids = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *[pa.array(t[ids]) for t in total]], names=["term_id", *names])
+
+    rows = features._rows().select("target", "features.indices", "features.values", "scale")
+    met = rows.mapInArrow(run, ", ".join(["term_id int", *[f"{n} double" for n in names]]))
+    sums = work_table(met.groupBy("term_id").agg(*[F.sum(n).alias(n) for n in names]), "sums")  # a row a term, and the intercept's
+    per_term = sums.join(F.broadcast(features.numbered.select("term_id", "term")), "term_id").drop("term_id").join(coefficients, "term")
+    return per_term, sums.where(F.col("term_id") == size - 1).select(*[F.col(n).alias(f"_b{n[1:]}") for n in names])
