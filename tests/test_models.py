@@ -343,3 +343,21 @@ def test_optimality_exchanges_sums_and_no_entries(spark, train, kind, monkeypatc
     joined = linear.optimality(features, model, config).collect()
     assert [r[:4] for r in found] == [r[:4] for r in joined] and found[0].terms == 40
     assert [r.gradient for r in found] == pytest.approx([r.gradient for r in joined], rel=1e-9) and min(r.gradient for r in found) > 1e-4
+
+
+@pytest.mark.parametrize("ngrams", [(1, 1), (1, 2), (2, 3), (1, 4)])
+def test_stored_counts_are_those_of_the_row(spark, ngrams, monkeypatch):
+    """Words numbered in Arrow give the counts of the expression, for short, empty, null and accented texts, repeated and null keys."""
+    monkeypatch.setattr(tfidf, "COUNTED_AT_ONCE", 2)
+    texts = ["bb aa bb aa bb", "aa cc", "! ?", None, "Café", "cafe dd ee dd ee dd", "", "aa\u0000bb naïve ßß 東京 東京 aa", "x yy", "zz " * 50]
+    rows = [(i // 2 if i % 5 else None, t, "xy"[i % 3 == 0]) for i, t in enumerate(texts * 2)]
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+
+    def counted(table):
+        return sorted((str(r.id), r.label, sorted((c.term, c.tf) for c in r.counts)) for r in table.collect())
+
+    expected = counted(tfidf.counted_texts(df, ["id"], ngrams, ["label"]))
+    stored = tfidf.stored_counts(df, ["id"], ngrams, ["label"])
+    assert counted(stored) == expected and any(c for _, _, c in expected)
+    assert dict(stored.dtypes) == dict(tfidf.counted_texts(df, ["id"], ngrams, ["label"]).dtypes)
+    assert sorted(map(str, tfidf.exploded(stored).collect())) == sorted(map(str, tfidf.doc_terms(df, ["id"], ngrams, ["label"]).collect()))

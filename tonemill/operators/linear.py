@@ -162,7 +162,7 @@ def build_features(docs: DataFrame, keys: list[str], config: Mapping[str, Any] |
     config = dict(config or {})
     ngrams = tuple(config.get("ngram_range") or (1, 2))
     max_features = config.get("max_features")
-    texts = work_table(tfidf.counted_texts(docs, keys, ngrams, carry=["label"]), "texts")
+    texts = tfidf.stored_counts(docs, keys, ngrams, carry=["label"])
     vocabulary = tfidf.fit_vocabulary(tfidf.exploded(texts), docs, config.get("min_df", 1), max_features)
     return Features(texts, work_table(vocabulary, "vocabulary"), class_counts(docs), keys, ngrams, max_features)
 
@@ -289,7 +289,7 @@ def score(docs: DataFrame, model: TermModel, keys: list[str], carry: list[str] |
 
 def stored_terms(docs: DataFrame, keys: list[str], ngrams: tuple[int, int], carry: list[str] | None = None) -> DataFrame:
     """The term counts of ``docs``, written once for any number of scoring passes."""
-    return work_table(tfidf.doc_terms(docs, keys, ngrams, carry), "terms")
+    return tfidf.exploded(tfidf.stored_counts(docs, keys, ngrams, carry))
 
 
 def score_terms(terms: DataFrame, models: Mapping[str, TermModel], keys: list[str], carry: list[str] | None = None) -> DataFrame:

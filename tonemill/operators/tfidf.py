@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from tonemill.functions.accents import fold_accents
 from tonemill.functions.arrays import run_lengths
 from tonemill.functions.tokens import feature_tokens, ngram_range
+from tonemill.runtime import work_table
 
 # A vocabulary is broadcast only when max_features bounds it to this many terms.
 MAX_BROADCAST_TERMS = 200_000
+# Texts whose words and n-grams are arrays at the same time.
+COUNTED_AT_ONCE = 256
 
 
 def doc_terms(
@@ -43,13 +46,67 @@ def counted_texts(
     partitioning.
     """
     carry = carry or []
+    tokens = _tokens(docs, keys, carry, text)
+    grams = F.flatten(F.transform("_tokens", lambda t: ngram_range(t, *ngrams)))
+    return tokens.select(*keys, *carry, run_lengths(F.sort_array(grams), "term", "tf").alias("counts"))
+
+
+def _tokens(docs: DataFrame, keys: list[str], carry: list[str], text: str) -> DataFrame:
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lowered = docs.select(*keys, *carry, F.lower(text).alias("_text"))
     folded = lowered.withColumn("_text", fold_accents(F.col("_text"))).repartition(partitions, *keys)
     together = folded.groupBy(*keys, *carry).agg(F.collect_list("_text").alias("_texts"))
-    tokens = together.select(*keys, *carry, F.transform("_texts", feature_tokens).alias("_tokens"))
-    grams = F.flatten(F.transform("_tokens", lambda t: ngram_range(t, *ngrams)))
-    return tokens.select(*keys, *carry, run_lengths(F.sort_array(grams), "term", "tf").alias("counts"))
+    return together.select(*keys, *carry, F.transform("_texts", feature_tokens).alias("_tokens"))
+
+
+def stored_counts(docs: DataFrame, keys: list[str], ngrams: tuple[int, int] = (1, 2), carry: list[str] | None = None) -> DataFrame:
+    """``counted_texts``, written once for several passes: words are numbered and their n-grams counted in Arrow, some texts at a time.
+
+    A stored table has no partitioning for the Python step to hide. A text's terms are in no order.
+    """
+    carry, step, (low, high) = carry or [], COUNTED_AT_ONCE, ngrams
+    tokens = _tokens(docs, keys, carry, "text")
+
+    def count(texts: pa.ListArray) -> pa.ListArray:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        inner = texts.flatten()  # a row's texts; n-grams don't cross from one to the next
+        coded = inner.flatten().dictionary_encode()
+        words, places = coded.dictionary, coded.indices.to_numpy()
+        ends = inner.offsets.to_numpy() - inner.offsets[0].as_py()
+        row = np.repeat(np.arange(len(texts)), np.diff(texts.offsets.to_numpy()))
+        left = np.repeat(ends[1:], np.diff(ends)) - np.arange(len(places))  # words of the text from here on
+        owner, gram, at = np.repeat(row, np.diff(ends)), np.zeros(len(places), np.int64), np.arange(len(places))
+        found = []
+        for n in range(1, high + 1):
+            kept = left[at] >= n
+            at, gram = at[kept], gram[kept]
+            _, gram = np.unique(gram * max(len(words), 1) + places[at + n - 1], return_inverse=True)
+            if n < low:
+                continue
+            _, first, tf = np.unique(owner[at] * (gram.max(initial=0) + 1) + gram, return_index=True, return_counts=True)
+            first = at[first]
+            parts = [words.take(pa.array(places[first + i])) for i in range(n)]
+            found.append((owner[first], parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " "), tf))
+        owners = np.concatenate([o for o, _, _ in found])
+        order = np.argsort(owners, kind="stable")
+        terms = pa.concat_arrays([t for _, t, _ in found]).take(pa.array(order))
+        entries = pa.StructArray.from_arrays([terms, pa.array(np.concatenate([c for _, _, c in found])[order].astype(np.int64))], names=["term", "tf"])
+        offsets = np.append(0, np.cumsum(np.bincount(owners, minlength=len(texts))))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*keys, *carry)], count(batch.column("_tokens"))], names=[*keys, *carry, "counts"])
+
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields if f.name != "_tokens"]
+    return work_table(tokens.mapInArrow(run, ", ".join([*columns, "counts array<struct<term: string, tf: bigint>>"])), "counts")
 
 
 def exploded(counted: DataFrame) -> DataFrame:
